@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, langid, quality
 
 QUERIES = {
     "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_language": langid.op4_language,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
