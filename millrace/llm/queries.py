@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, quality
+from . import chat, decontam, langid, mixing, quality
 
 QUERIES = {
+    "op2_mix": mixing.op2_mix,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_language": langid.op4_language,
+    "op7_chat": chat.op7_chat,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat": chat.OP7_SQL,
+}
