@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, mixing, quality
+from . import chat, decontam, langid, lines, mixing, quality, shards, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_mix": mixing.op2_mix,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_language": langid.op4_language,
+    "op6_shards": shards.op6_shards,
     "op7_chat": chat.op7_chat,
+    "op9_lines": lines.op9_lines,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
     "op7_chat": chat.OP7_SQL,
+    "op9_lines": lines.OP9_SQL,
 }
