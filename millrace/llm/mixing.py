@@ -123,9 +123,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     part = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     taken = stream.join(slot, ["k", "block"]).groupBy("row").agg(F.sum(part).alias("taken"))
 
-    out = rows.join(known.join(by_source.select("k", "target"), "k"), F.col("source").eqNullSafe(F.col("s"))).join(taken, "row", "left")
+    out = rows.join(known.join(by_source.select("k", "target"), "k"), F.col("source").eqNullSafe(F.col("s"))).join(taken.hint("shuffle_hash"), "row", "left")
     back = [F.col(f"c_{i}").alias(c) for i, c in enumerate(keep or [])]
-    return out.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *back)
+    own = ["doc_id"] if "doc_id" not in (keep or []) else []
+    return out.select(*own, "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *back)
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:

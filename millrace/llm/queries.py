@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, lines, mixing, quality, shards, warc
+from . import ann, chat, decontam, langid, lines, mixing, neardup, quality, shards, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix": mixing.op2_mix,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_language": langid.op4_language,
+    "op5_nearest": ann.op5_nearest,
     "op6_shards": shards.op6_shards,
     "op7_chat": chat.op7_chat,
+    "op8_jaccard": neardup.op8_jaccard,
     "op9_lines": lines.op9_lines,
     "op10_quality": quality.op10_quality,
 }

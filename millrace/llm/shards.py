@@ -146,7 +146,8 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text
         code_point_place(F.col(lang_col)).alias("d_lang"), F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0)).alias("d_id"),
         *(F.col(c).alias(f"c_{i}") for i, c in enumerate(keep or [])),
     )
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), path, "rows")
+    all_rows = written(rows.withColumn("row", F.monotonically_increasing_id()), path, "rows")
+    rows = all_rows.select("row", "doc_id", "size", "text_crc32", "h", "d_chars", "d_source", "d_lang", "d_id")
     facts = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     part = max(1, int((facts["b"] or 0) / shards / 10))
     groups = rows.groupBy("h", "text_crc32", "size").agg(F.count("*").alias("n"))
@@ -162,8 +163,14 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text
     out = rows.join(placed.select("unit", "shard"), "unit")
     cells = cells_for(facts["n"] // shards, 512)
     out = out.withColumn("order", F.xxhash64("doc_id", F.lit(29))).withColumn("cell", F.pmod(F.shiftrightunsigned("order", 40), F.lit(cells)).cast("int")).withColumn("one", F.lit(1))
-    out = prefix(out, "shard", cells, ["order", "doc_id", "row"], "one", "slot")
-    return out.select("doc_id", "size", "text_crc32", "shard", "slot", *(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep or [])))
+    out = prefix(out, "shard", cells, ["order", "doc_id", "row"], "one", "slot").select("row", "doc_id", "size", "text_crc32", "shard", "slot")
+    if not keep:
+        return out.drop("row")
+    # carried columns are dealt out once; the narrow side is hashed, so that texts aren't sorted
+    carried = all_rows.select("row", *(F.col(f"c_{i}").alias(f"c_{i}") for i in range(len(keep))))
+    out = carried.join(out.hint("shuffle_hash"), "row")
+    own = [c for c in ("doc_id", "size", "text_crc32", "shard", "slot") if c not in keep]
+    return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), *own)
 
 
 def op6_shards(spark, sf_dir: str) -> DataFrame:
