@@ -7,13 +7,30 @@ documents. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, mixing, neardup, quality, shards
 from millrace.llm.common import shared_dir, table, written
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_extras(stage):
+    """Further columns of docs pass a stage under names of their own, so that none clashes with the stage's."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        back = {f"extra_{i}": c for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        out = stage(spark, docs.withColumnsRenamed({c: k for k, c in back.items()}), sf_dir)
+        return out.withColumnsRenamed({k: c for k, c in back.items() if c not in out.columns})
+
+    return run_stage
+
 
+@with_extras
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     rows = quality.teachers(table(spark, sf_dir, "labels"))
@@ -23,11 +40,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where("predicted = 1").select(docs.columns)
 
 
+@with_extras
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id."""
     return neardup.one_of_each(docs)
 
 
+@with_extras
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go; lesser passages are cut out of the rest."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), clean_col="clean_text")
@@ -37,6 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
+@with_extras
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole copy: never, once or twice."""
     out = mixing.mix(docs, keep=docs.columns)
@@ -44,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
+@with_extras
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place there."""
     return shards.shard(docs, keep=docs.columns)
