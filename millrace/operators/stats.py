@@ -54,3 +54,27 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str) -> DataFrame:
 def z_scores(df: DataFrame, by: list[str], value: str) -> DataFrame:
     m = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     return df.join(m, by).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def dense_counts(df: DataFrame, value: str, top: int) -> DataFrame:
+    """(value, n) for every integer from 0 to top, 0 where absent; negatives and larger values are left out."""
+    all_ = df.sparkSession.range(top + 1).select(F.col("id").alias(value))
+    return all_.join(df.groupBy(F.col(value).cast("long").alias(value)).agg(F.count("*").alias("_n")), value, "left").select(value, F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+def one_norm(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Each value's share of its group's sum."""
+    total = df.groupBy(*by).agg(F.sum(value).alias("_t"))
+    return df.join(total, by).withColumn(out, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
+
+
+def log_sum(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """ln(sum(exp(x))) of each group, without the terms over 15 below the largest; two passes of partial sums."""
+    top = df.groupBy(*by).agg(F.max(value).alias("_m"))
+    near = df.join(top, by).where(F.col(value) >= F.col("_m") - 15)
+    return near.groupBy(*by, "_m").agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s")).select(*by, (F.col("_m") + F.ln("_s")).alias(out))
+
+
+def error(a: str, b: str) -> Column:
+    """Mean squared difference as an aggregate."""
+    return F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))

@@ -344,3 +344,31 @@ def hop_window(spark, d):
   SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts)) + 3600) AS BIGINT) AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, g""")
 def session_merge(spark, d):
     return streams.sessions(t(spark, d, "events"), "ts", ["user_id"], "1 hour")
+
+
+@query("SELECT CAST(g AS BIGINT) AS p_size, count(p_partkey) AS n FROM generate_series(0, 60) s(g) LEFT JOIN part ON p_size = g GROUP BY 1")
+def dense_counts(spark, d):
+    return stats.dense_counts(t(spark, d, "part").select("p_size"), "p_size", 60)
+
+
+@query("SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders")
+def one_norm(spark, d):
+    return stats.one_norm(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "share").select("o_orderkey", F.round("share", 6).alias("share"))
+
+
+@query("""SELECT p_brand, round(m + ln(sum(exp(x - m)) FILTER (WHERE x >= m - 15)), 6) AS v FROM (SELECT p_brand, p_size / 3.0::DOUBLE AS x,
+  max(p_size / 3.0::DOUBLE) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY p_brand, m""")
+def log_sum(spark, d):
+    x = t(spark, d, "part").select("p_brand", (F.col("p_size") / F.lit(3.0)).alias("x"))
+    return stats.log_sum(x, ["p_brand"], "x", "v").withColumn("v", F.round("v", 6))
+
+
+@query("SELECT l_returnflag, round(avg((l_tax - l_discount) * (l_tax - l_discount)), 8) AS mse FROM lineitem GROUP BY 1")
+def mean_squared_error(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.error("l_tax", "l_discount"), 8).alias("mse"))
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size IN (1, 2, 3) AND p_partkey <= 20")
+def submatrix(spark, d):
+    m = t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return relational.submatrix(m, "p_partkey", "p_size", list(range(1, 21)), [1, 2, 3])
