@@ -25,10 +25,53 @@ def cumsum(df: DataFrame, by: list[str], order: list[str], value: str, out: str)
     return df.withColumn(out, F.sum(value).over(w))
 
 
+def map_window(df: DataFrame, by: list[str], order: list[str], value: str, radius: int, f, out: str) -> DataFrame:
+    """f of the array of values up to radius away on both sides; towards the ends both sides shrink alike.
+
+    The radius differs by row, which no frame can do: the rows within the
+    largest radius are gathered and the middle cut out, so a row holds at most
+    2 * radius + 1 values.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    place = F.row_number().over(w) - 1
+    after = F.count(F.lit(1)).over(w.rowsBetween(0, Window.unboundedFollowing)) - 1
+    near = df.withColumn("_r", F.least(place, after, F.lit(radius)).cast("int")).withColumn("_b", F.least(place, F.lit(radius)))
+    # structs keep nulls in their places
+    near = near.withColumn("_w", F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-radius, radius)))
+    cut = F.slice("_w", F.col("_b") - F.col("_r") + 1, 2 * F.col("_r") + 1)
+    return near.withColumn(out, f(F.transform(cut, lambda x: x["v"]))).drop("_r", "_b", "_w")
+
+
 def smooth(df: DataFrame, by: list[str], order: list[str], value: str, radius: int, out: str) -> DataFrame:
-    """Mean of the rows up to radius away; fewer at the ends."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-radius, radius)
-    return df.withColumn(out, F.avg(value).over(w))
+    """map_window with the mean."""
+    return map_window(df, by, order, value, radius, lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a), out)
+
+
+def smooth_by_value(df: DataFrame, by: list[str], x: str, y: str, radius: float, min_size: int = 0) -> DataFrame:
+    """(by, x, mean_x, mean_y, n): means of the rows within a distance of x that shrinks towards the ends of x's range.
+
+    Rows meet their neighbours by cells as wide as the radius, so that long
+    groups spread; each row is sent to three cells.
+    """
+    ends = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    at = df.select(*by, F.col(x).alias("_x")).distinct().join(ends, by) if by else df.select(F.col(x).alias("_x")).distinct().crossJoin(F.broadcast(ends))
+    at = at.withColumn("_d", F.least(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_x"), F.lit(radius))).withColumn("_c", F.explode(F.sequence(F.floor(F.col("_x") / radius) - 1, F.floor(F.col("_x") / radius) + 1)))
+    # sums of equal x first, so that ties don't multiply
+    rows = df.groupBy(*by, F.col(x).alias("_p")).agg(F.sum(y).alias("_q"), F.count("*").alias("_k")).withColumn("_c", F.floor(F.col("_p") / radius))
+    met = at.join(rows, [*by, "_c"]).where((F.col("_p") >= F.col("_x") - F.col("_d")) & (F.col("_p") <= F.col("_x") + F.col("_d")))
+    out = met.groupBy(*by, F.col("_x").alias(x)).agg((F.sum(F.col("_p") * F.col("_k")) / F.sum("_k")).alias("mean_x"), (F.sum("_q") / F.sum("_k")).alias("mean_y"), F.sum("_k").alias("n"))
+    return out.where(F.col("n") >= min_size)
+
+
+def step_windows(df: DataFrame, by: list[str], x: str, width: float, step: float, value: str, min_size: int = 0) -> DataFrame:
+    """(by, low, n, mean): windows [low, low + width) from the smallest x on, a step apart, that begin before the largest."""
+    lo = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    rows = df.join(lo, by) if by else df.crossJoin(F.broadcast(lo))
+    far = F.col(x) - F.col("_lo")
+    first = F.greatest(F.lit(0), F.floor((far - width) / step) + 1)
+    rows = rows.withColumn("_i", F.explode(F.sequence(first, F.floor(far / step)))).withColumn("low", F.col("_lo") + F.col("_i") * step)
+    rows = rows.where((F.col(x) >= F.col("low")) & (F.col(x) < F.col("low") + width))
+    return rows.groupBy(*by, "low").agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= min_size)
 
 
 def rank_average(value: str, by: list[str]) -> Column:

@@ -51,8 +51,8 @@ def best_hits(hits: DataFrame, by: list[str], score: str, ties: list[str]) -> Da
 
 def best_bidirectional(hits: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """Pairs that are each other's best; one row a pair (a, b, score)."""
-    best_a = hits.groupBy(a).agg(F.max(F.struct(F.col(score), (-F.col(b)).alias("nb"))).alias("m")).select(a, (-F.col("m.nb")).alias(b), F.col(f"m.{score}").alias(score))
-    best_b = hits.groupBy(b).agg(F.max(F.struct(F.col(score), (-F.col(a)).alias("na"))).alias("m")).select(b, (-F.col("m.na")).alias(a))
+    best_a = hits.groupBy(a).agg(F.min(F.struct((-F.col(score)).alias("_s"), b)).alias("m")).select(a, F.col(f"m.{b}").alias(b), (-F.col("m._s")).alias(score))
+    best_b = hits.groupBy(b).agg(F.min(F.struct((-F.col(score)).alias("_s"), a)).alias("m")).select(b, F.col(f"m.{a}").alias(a))
     return best_a.join(best_b, [a, b]).select(a, b, score)
 
 

@@ -104,11 +104,13 @@ def gff_parents(regions: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, labelled: bool = False) -> DataFrame:
-    """Sparse triples of a text file: (i, j, v), or (rlabel, clabel, v)."""
+    """Sparse triples of a text file: (i, j, v) after a line of sizes, or (rlabel, clabel, v)."""
+    if not labelled:
+        from .formats import read_cells
+
+        return read_cells(spark, path).select("i", "j", "v")
     c = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.size(c) == 3)
-    kind, names = ("string", ("rlabel", "clabel")) if labelled else ("long", ("i", "j"))
-    return rows.select(c[0].cast(kind).alias(names[0]), c[1].cast(kind).alias(names[1]), c[2].cast("double").alias("v"))
+    return spark.read.text(path).where(F.size(c) == 3).select(c[0].alias("rlabel"), c[1].alias("clabel"), c[2].cast("double").alias("v"))
 
 
 NODES = "node string, parent string, child_ix int, dist double, data map<string,string>"
