@@ -78,3 +78,27 @@ def log_sum(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
 def error(a: str, b: str) -> Column:
     """Mean squared difference as an aggregate."""
     return F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
+
+
+def q_values(df: DataFrame, by: list[str], p: str, out: str = "q") -> DataFrame:
+    """The smallest share of false finds at which each p would be accepted (Benjamini and Hochberg).
+
+    Equal values are ranked once, so a window holds distinct ones only.
+    """
+    n = df.groupBy(*by, p).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    rank = F.sum("_k").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn("_q", F.col(p) * F.sum("_k").over(w) / rank)
+    n = n.withColumn("_q", F.min("_q").over(w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)))
+    return df.join(n.select(*by, p, F.least("_q", F.lit(1.0)).alias(out)), [*by, p])
+
+
+def enrich(inside: DataFrame, outside: DataFrame, item: str) -> DataFrame:
+    """(item, n_in, n_out, p, q): how surprising the number of each item among the inside rows is, by the hypergeometric tail."""
+    from ..functions.special import hypergeometric_tail
+
+    both = inside.select(item, F.lit(1).alias("x")).union(outside.select(item, F.lit(0)))
+    each = both.groupBy(item).agg(F.sum("x").alias("n_in"), F.count_if(F.col("x") == 0).alias("n_out"))
+    tot = each.agg(F.sum("n_in").alias("_a"), F.sum("n_out").alias("_b"))  # one row
+    p = hypergeometric_tail(F.col("n_in"), F.col("_a"), F.col("n_in") + F.col("n_out"), F.col("_a") + F.col("_b"))
+    return q_values(each.join(F.broadcast(tot)).select(item, "n_in", "n_out", p.alias("p")), [], "p")
