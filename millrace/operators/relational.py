@@ -96,3 +96,37 @@ def prediction_scores(actual: DataFrame, predicted: DataFrame, keys: list[str])
     out = both.agg(F.count("a").alias("n_actual"), F.count("p").alias("n_predicted"), F.count(F.when(F.col("a") == F.col("p"), 1)).alias("n_both"))
     inf = F.lit(float("inf"))
     return out.withColumn("sensitivity", F.coalesce(F.try_divide("n_both", "n_actual"), inf)).withColumn("ppv", F.coalesce(F.try_divide("n_both", "n_predicted"), inf))
+
+
+def same_parts(left: DataFrame, right: DataFrame, item: str, part: str) -> DataFrame:
+    """(p1, p2): parts of both sides with exactly the same items."""
+    a = left.groupBy(part).agg(F.count("*").alias("_n")).withColumnRenamed(part, "p1")
+    b = right.groupBy(part).agg(F.count("*").alias("_m")).withColumnRenamed(part, "p2")
+    met = left.select(item, F.col(part).alias("p1")).join(right.select(item, F.col(part).alias("p2")), item).groupBy("p1", "p2").agg(F.count("*").alias("_k"))
+    return met.join(a, "p1").join(b, "p2").where("_k = _n and _k = _m").select("p1", "p2")
+
+
+def one_to_ones(members: DataFrame, part: str, species: str) -> DataFrame:
+    """Members of parts that have every species at most once, of those with the most members."""
+    sizes = members.groupBy(part).agg(F.count("*").alias("_n"), F.countDistinct(species).alias("_s")).where("_n = _s")
+    top = sizes.agg(F.max("_n").alias("_t"))
+    return members.join(sizes.join(F.broadcast(top)).where("_n = _t").select(part), part, "left_semi")
+
+
+def families(members: DataFrame, part: str, item: str, first: int = 0) -> DataFrame:
+    """(famid, genes): parts numbered from `first` in order, their items joined by commas."""
+    rows = members.groupBy(part).agg(F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), ",").alias("genes"))
+    return rows.select((F.row_number().over(Window.orderBy(part)) - 1 + first).alias("famid"), "genes")
+
+
+def family_members(families_: DataFrame) -> DataFrame:
+    """(famid, gene) of families()."""
+    return families_.select("famid", F.explode(F.split("genes", ",")).alias("gene"))
+
+
+def stable_unique(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
+    """The first row of equal values by the order; one aggregation, no window."""
+    rest = [c for c in df.columns if c not in cols and c not in order]
+    picked = df.groupBy(*cols).agg(F.min(F.struct(*[c for c in order if c not in cols], F.struct(*rest).alias("_x") if rest else F.lit(0).alias("_x"))).alias("_m"))
+    have = {c: F.col(c) if c in cols else F.col("_m")[c] if c in order else F.col("_m._x")[c] for c in df.columns}
+    return picked.select(*(v.alias(c) for c, v in have.items()))

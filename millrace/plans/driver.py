@@ -387,3 +387,15 @@ def mean_squared_error(spark, d):
 def submatrix(spark, d):
     m = t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     return relational.submatrix(m, "p_partkey", "p_size", list(range(1, 21)), [1, 2, 3])
+
+
+@query("""WITH a AS (SELECT p_brand, p_partkey AS item FROM part), b AS (SELECT p_size, p_partkey AS item FROM part WHERE p_size < 5), k AS (SELECT p_brand, p_size, count(*) AS k FROM a JOIN b USING (item) GROUP BY 1, 2)
+  SELECT k.p_brand AS p1, k.p_size AS p2 FROM k JOIN (SELECT p_brand, count(*) AS n FROM a GROUP BY 1) x USING (p_brand) JOIN (SELECT p_size, count(*) AS m FROM b GROUP BY 1) y USING (p_size) WHERE k = n AND k = m""")
+def same_parts(spark, d):
+    p = t(spark, d, "part")
+    return relational.same_parts(p.select("p_partkey", F.col("p_brand").alias("q")), p.where("p_size < 5").select("p_partkey", F.col("p_size").alias("q")), "p_partkey", "q")
+
+
+@query("SELECT p_brand, p_size, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1, 2")
+def stable_unique(spark, d):
+    return relational.stable_unique(t(spark, d, "part").select("p_brand", "p_size", "p_partkey", "p_name"), ["p_brand", "p_size"], ["p_partkey"])
