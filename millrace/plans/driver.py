@@ -201,17 +201,17 @@ def smooth(spark, d):
 
 
 @query("""WITH e AS (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), a AS (SELECT DISTINCT p_brand, p_retailprice AS x, least(p_retailprice - lo, hi - p_retailprice, 50) AS d FROM part JOIN e USING (p_brand))
-  SELECT p_brand, x AS p_retailprice, round(avg(p_retailprice), 4) AS mean_x, round(avg(p_size), 6) AS mean_y, count(*) AS n FROM a JOIN part USING (p_brand) WHERE p_retailprice BETWEEN x - d AND x + d GROUP BY 1, 2 HAVING count(*) >= 3""")
+  SELECT p_brand, x AS p_retailprice, round(avg(p_retailprice), 7) AS mean_x, round(avg(p_size), 6) AS mean_y, count(*) AS n FROM a JOIN part USING (p_brand) WHERE p_retailprice BETWEEN x - d AND x + d GROUP BY 1, 2 HAVING count(*) >= 3""")
 def smooth_by_value(spark, d):
     out = ordered.smooth_by_value(t(spark, d, "part"), ["p_brand"], "p_retailprice", "p_size", 50.0, 3)
-    return out.withColumns({"mean_x": F.round("mean_x", 4), "mean_y": F.round("mean_y", 6)})
+    return out.withColumns({"mean_x": F.round("mean_x", 7), "mean_y": F.round("mean_y", 6)})
 
 
 @query("""WITH e AS (SELECT p_brand, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1), w AS (SELECT p_brand, lo + 3 * i AS low FROM e, range(0, 40) r(i) WHERE lo + 3 * i <= hi)
-  SELECT p_brand, CAST(low AS DOUBLE) AS low, count(*) AS n, round(avg(p_retailprice), 4) AS mean FROM w JOIN part USING (p_brand) WHERE p_size >= low AND p_size < low + 7 GROUP BY 1, 2""")
+  SELECT p_brand, CAST(low AS DOUBLE) AS low, count(*) AS n, round(avg(p_retailprice), 7) AS mean FROM w JOIN part USING (p_brand) WHERE p_size >= low AND p_size < low + 7 GROUP BY 1, 2""")
 def step_windows(spark, d):
     out = ordered.step_windows(t(spark, d, "part"), ["p_brand"], "p_size", 7.0, 3.0, "p_retailprice")
-    return out.withColumn("mean", F.round("mean", 4))
+    return out.withColumn("mean", F.round("mean", 7))
 
 
 @query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS r FROM part")
