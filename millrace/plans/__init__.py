@@ -1,3 +1,3 @@
 """Queries over the driver tables with their SQL; every module adds its own to driver.QUERIES and driver.ORACLES."""
 
-from . import driver, forests, graphs, sequences  # noqa: F401
+from . import driver, forests, graphs, rearranged, sequences  # noqa: F401
