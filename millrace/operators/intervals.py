@@ -73,3 +73,20 @@ def rectangle_join(a: DataFrame, b: DataFrame, key: list[str], width: float) ->
     met = cells(a, "x1", "y1", "x2", "y2").join(cells(b, "u1", "v1", "u2", "v2"), [*key, "_cx", "_cy"])
     first = (F.col("_cx") == F.floor(F.greatest("x1", "u1") / width)) & (F.col("_cy") == F.floor(F.greatest("y1", "v1") / width))
     return met.where(first & (F.col("x2") > F.col("u1")) & (F.col("x1") <= F.col("u2")) & (F.col("y2") > F.col("v1")) & (F.col("y1") <= F.col("v2"))).drop("_cx", "_cy")
+
+
+def segments(df: DataFrame, key: list[str], ident: str, width: int) -> DataFrame:
+    """(key, s, e, n, ids): the parts between neighbouring ends of any intervals, with the sorted ids of those that cover them.
+
+    Parts without a cover are left out. Ends are ordered a key at a time.
+    """
+    at = df.select(*key, F.col("s").alias("s")).union(df.select(*key, "e")).distinct()
+    parts = at.withColumn("e", F.lead("s").over(Window.partitionBy(*key).orderBy("s"))).where("e is not null")
+    met = overlap_join(parts, df.select(*key, F.col(ident).alias("_id"), F.col("s").alias("s2"), F.col("e").alias("e2")), key, width, inclusive=False)
+    return met.groupBy(*key, "s", "e").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_id")).alias("ids"))
+
+
+def clip(df: DataFrame, pos: float, left: bool) -> DataFrame:
+    """What of the intervals lies left or right of pos; those without any go."""
+    got = df.withColumn("e", F.least("e", F.lit(pos))) if left else df.withColumn("s", F.greatest("s", F.lit(pos)))
+    return got.where("s < e")

@@ -353,3 +353,19 @@ def multispecies_log_prob(nodes: DataFrame, species: DataFrame, recon: DataFrame
     stay = F.when(root, 0.0).otherwise(F.log(prob_coal_counts(F.col("low"), F.col("high"), F.col("t"), F.col("n"))))
     each = stay + log_factorial(F.coalesce("met", F.lit(0)).cast("double")) - log_labelled_histories(F.col("low"), high)
     return b.groupBy("tree_id").agg(F.sum(each).alias("p")).join(orders, "tree_id", "left").select("tree_id", (F.col("p") - F.coalesce("orders", F.lit(0.0))).alias("log_p"))
+
+
+def duplication_consistency(nodes: DataFrame, recon: DataFrame) -> DataFrame:
+    """(tree_id, node, consistency): of the species below a duplication, the share that more than one of its children leads to."""
+    at = recon.where("event = 'dup'").select(*ID)
+    kids = nodes.select("tree_id", F.col("node").alias("side"), F.col("parent").alias("node")).join(at, ID)
+    tips = recon.where("event = 'gene'").select(*ID, "snode")
+    below = trees.paths(nodes).join(tips, ID).select("tree_id", F.col("ancestor").alias("side"), "snode").distinct()
+    per = kids.join(below, ["tree_id", "side"]).groupBy(*ID, "snode").agg(F.count("*").alias("n"))
+    return per.groupBy(*ID).agg((F.count_if(F.col("n") > 1) / F.count("*")).alias("consistency"))
+
+
+def relabelled(recon: DataFrame, consistency: DataFrame) -> DataFrame:
+    """recon with duplications of consistency 0 made speciations: no species shows that there were two genes."""
+    none = consistency.where("consistency = 0").select(*ID, F.lit(1).alias("_none"))
+    return recon.join(none, ID, "left").withColumn("event", F.when(F.col("_none") == 1, "spec").otherwise(F.col("event"))).drop("_none")

@@ -130,3 +130,27 @@ def stable_unique(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame
     picked = df.groupBy(*cols).agg(F.min(F.struct(*[c for c in order if c not in cols], F.struct(*rest).alias("_x") if rest else F.lit(0).alias("_x"))).alias("_m"))
     have = {c: F.col(c) if c in cols else F.col("_m")[c] if c in order else F.col("_m._x")[c] for c in df.columns}
     return picked.select(*(v.alias(c) for c, v in have.items()))
+
+
+def brackets(df: DataFrame, table: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
+    """Adds `below` and `above` to df: the nearest values of the table's rows of the same key, at most and at least `at`; null where there is none.
+
+    Both sides are sorted together within each key, twice, so no rows are paired;
+    a key's sort runs in one task and spills.
+    """
+    mine = df.select(*key, F.col(at).alias("_v"), F.lit(None).cast(table.schema[value].dataType).alias("_t"), F.struct(*df.columns).alias("_row"))
+    theirs = table.select(*key, F.col(value).alias("_v"), F.col(value).alias("_t")).where("_v is not null").distinct().withColumn("_row", F.lit(None).cast(mine.schema["_row"].dataType))
+    # ranges take in rows of the same value; a frame to the end would be summed anew for every row, so the order is turned instead
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    below = F.max("_t").over(Window.partitionBy(*key).orderBy("_v").rangeBetween(*so_far))
+    above = F.min("_t").over(Window.partitionBy(*key).orderBy(F.desc("_v")).rangeBetween(*so_far))
+    known = F.col("_v").isNotNull()
+    got = mine.unionByName(theirs).withColumns({"below": F.when(known, below), "above": F.when(known, above)})
+    return got.where("_row is not null").select("_row.*", "below", "above")
+
+
+def block_best(hits: DataFrame, block: str, a: str, b: str, score: str) -> DataFrame:
+    """(block, n, total): number and sum of the scores of the hits in each block that are the best of both their sides there."""
+    whole = hits.select(block, F.struct(block, a).alias("_a"), F.struct(block, b).alias("_b"), F.col(score).alias("_score"))
+    best = best_bidirectional(whole, "_a", "_b", "_score")
+    return best.groupBy(F.col(f"_a.{block}").alias(block)).agg(F.count("*").alias("n"), F.sum("_score").alias("total"))

@@ -102,3 +102,22 @@ def enrich(inside: DataFrame, outside: DataFrame, item: str) -> DataFrame:
     tot = each.agg(F.sum("n_in").alias("_a"), F.sum("n_out").alias("_b"))  # one row
     p = hypergeometric_tail(F.col("n_in"), F.col("_a"), F.col("n_in") + F.col("n_out"), F.col("_a") + F.col("_b"))
     return q_values(each.join(F.broadcast(tot)).select(item, "n_in", "n_out", p.alias("p")), [], "p")
+
+
+def divergence(counts: DataFrame, p: str, q: str, by: list[str]) -> DataFrame:
+    """(by, cross_entropy, kl) in bits, of the shares that rows have of the sums of p and q.
+
+    Rows without p count nothing; one with p but without q makes both infinite.
+    """
+    w = Window.partitionBy(*by)
+    x = F.try_divide(F.col(p), F.sum(p).over(w)).cast("double")
+    y = F.try_divide(F.col(q), F.sum(q).over(w)).cast("double")
+    rows = counts.select(*by, x.alias("_x"), y.alias("_y")).where("_x > 0")
+    bits = F.when(F.col("_y") > 0, -F.log2("_y")).otherwise(F.lit(float("inf")))
+    return rows.groupBy(*by).agg(F.sum(F.col("_x") * bits).alias("cross_entropy"), F.sum(F.col("_x") * (bits + F.log2("_x"))).alias("kl"))
+
+
+def rank_of(df: DataFrame, by: list[str], value: str, x: float) -> DataFrame:
+    """(by, rank, share): how many values are at most x, and their share of one more than all."""
+    n = F.count_if(F.col(value) <= x)
+    return df.groupBy(*by).agg(n.alias("rank"), (n / (F.count(value) + 1)).alias("share"))
