@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, population, samplers
-from ..operators import intervals, rearrange, relational, stats
+from ..operators import intervals, rearrange, relational, stats, synteny
 from .driver import IV, query, spans, t
 from .forests import RECON, reconciled
 
@@ -92,3 +92,15 @@ def popsize(spark, d):
 def duplication_consistency(spark, d):
     nodes, _, recon = reconciled(spark, d)
     return rearrange.duplication_consistency(nodes, recon).withColumn("consistency", F.round("consistency", 6))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, o_orderpriority AS c, o_orderkey AS pos1, o_orderkey + o_custkey % 4 * 6 AS pos2, CASE WHEN o_custkey % 9 = 0 THEN -1 ELSE 1 END AS strand FROM orders),
+  a AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY pos2, id) AS r FROM p), b AS (SELECT *, row_number() OVER w AS i, coalesce(r - lag(r) OVER w, 0) AS d FROM a WINDOW w AS (PARTITION BY c ORDER BY pos1, id)),
+  e AS (SELECT *, CASE WHEN abs(d) = 1 THEN d ELSE 0 END AS s FROM b), f AS (SELECT *, s = lag(s) OVER (PARTITION BY c ORDER BY i) AND strand = s AS fits FROM e),
+  g AS (SELECT *, max(CASE WHEN s = 0 THEN 2 * i + 1 WHEN fits THEN 2 * i END) OVER (PARTITION BY c ORDER BY i) AS z FROM f), h AS (SELECT *, (z % 2 + i - z // 2) % 2 AS n FROM g),
+  k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY c ORDER BY i) AS BIGINT) AS block FROM h)
+  SELECT id, c AS chrom1, block, CAST(coalesce(max(CASE WHEN n = 0 THEN s END) OVER (PARTITION BY c, block), 0) AS INTEGER) AS direction FROM k""")
+def collinear_blocks(spark, d):
+    strand = F.when(F.col("o_custkey") % 9 == 0, -1).otherwise(1)
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("chrom1"), F.col("o_orderkey").alias("pos1"), F.col("o_orderpriority").alias("chrom2"), (F.col("o_orderkey") + F.col("o_custkey") % 4 * 6).alias("pos2"), strand.alias("strand"))
+    return synteny.collinear(o)

@@ -62,6 +62,32 @@ def test_synteny_against_all_pairs(spark):
     assert box.agg(F.sum("n")).first()[0] == 120
 
 
+def test_collinear_against_a_scan(spark):
+    rng = random.Random(9)
+    data = []
+    for i in range(400):
+        near = i if rng.random() < 0.8 else i + rng.choice((-3, -1, 1, 4))
+        data.append((i, "AB"[i // 250], i, "XY"[i // 180 % 2], near if i % 100 < 60 else -near, rng.choice((1, 1, 1, -1)) if i % 100 < 60 else rng.choice((-1, -1, 1))))
+    at2 = {p[0]: (c, k) for c in "XY" for k, p in enumerate(sorted((p for p in data if p[3] == c), key=lambda p: (p[4], p[0])))}
+    want, last, way = [], None, 0
+    for p in data:
+        step = 0
+        if last and last[1] == p[1] and last[3] == p[3]:
+            step = at2[p[0]][1] - at2[last[0]][1]
+        if abs(step) == 1 and way == 0 or step != 0 and step == way and p[5] == way:
+            want[-1].append(p[0])
+            way = step
+        else:
+            want.append([p[0]])
+            way = 0
+        last = p
+    got = {}
+    for r in synteny.collinear(spark.createDataFrame(data, "id int, chrom1 string, pos1 int, chrom2 string, pos2 int, strand int")).collect():
+        got.setdefault((r.chrom1, r.block), []).append((r.id, r.direction))
+    assert sorted(sorted(i for i, _ in b) for b in got.values()) == sorted(want)
+    assert any(len(b) > 5 and b[0][1] == 1 for b in got.values()) and any(len(b) > 5 and b[0][1] == -1 for b in got.values())
+
+
 def test_q_values(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5), (5, 0.5)], "i int, p double")
     got = {r.i: r.q for r in stats.q_values(df, [], "p").collect()}
