@@ -167,6 +167,55 @@ def sample_birth_death_trees(rows: DataFrame, until: str, birth: float, death: f
     return rows.select(F.col(until).cast("double").alias("until"), F.col(seed).cast("long").alias("seed")).mapInPandas(run, NODES)
 
 
+def gene_tree(species, birth: float, death: float, rng: random.Random):
+    """A Tree of genes grown down a species Tree, duplicated and lost on its branches; None if no gene lives.
+
+    A gene is named by its species and a number. Nodes of one child are left out.
+    """
+    from ..operators.trees import Tree, keep_leaves
+
+    rows: list[tuple] = []
+    genes, free = set(), iter(range(1 << 62))
+
+    def name(s):
+        return f"{s}_{next(free)}"
+
+    todo = [(species.root, None)]  # the species branch that a gene enters, and the node above it
+    while todo:
+        s, up = todo.pop()
+        grown = birth_death_tree(species.dist[s], birth, death, rng)
+        to = {n: name(s) for n, _, _ in grown}
+        inner = {p for _, p, _ in grown}
+        for n, p, d in grown:
+            rows.append((to[n], up if p is None else to[p], d))
+            if n in inner:
+                continue
+            if species.kids[s]:
+                todo += [(k, to[n]) for k in species.kids[s]]
+            else:
+                genes.add(to[n])
+    return keep_leaves(Tree(rows), genes) if genes else None
+
+
+def sample_gene_trees(rows: DataFrame, species: DataFrame, birth: float, death: float, seed: str) -> DataFrame:
+    """A gene tree for every row as (tree_id, node, parent, dist), tree_id being the seed. The species tree (node, parent, dist) goes to the tasks."""
+    import pandas as pd
+
+    from ..operators.trees import Tree
+
+    nodes = [(str(n), None if p is None else str(p), d) for n, p, d in species.select("node", "parent", "dist").collect()]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for s in pdf["seed"]:
+                got = gene_tree(Tree(nodes), birth, death, random.Random(int(s)))
+                out += [(str(s), *r) for r in got.rows()] if got else []
+            yield pd.DataFrame(out, columns=["tree_id", "node", "parent", "dist"])
+
+    return rows.select(F.col(seed).cast("long").alias("seed")).mapInPandas(run, NODES)
+
+
 # Recombination graphs
 
 

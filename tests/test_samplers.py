@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import population, samplers
-from millrace.operators import arg
+from millrace.operators import arg, trees
 
 
 def test_frequency_density_leaves_what_isnt_fixed(spark):
@@ -106,3 +106,25 @@ def test_mutations(spark):
     assert m.count() == pytest.approx(1200, rel=0.1)
     assert m.where("pos between 0 and 5 and age between 1 and 3").count() == m.count()
     assert sorted(m.collect()) == sorted(samplers.sample_mutations(b.repartition(3), 0.4, 7).collect())
+
+
+def test_gene_trees(spark):
+    species = trees.Tree([("r", None, 0.5), ("ab", "r", 1.0), ("a", "ab", 1.0), ("b", "ab", 1.0), ("c", "r", 2.0)])
+    plain = samplers.gene_tree(species, 0.0, 0.0, random.Random(1))
+    assert trees.topology(plain, lambda n: n.split("_")[0]) == "((a,b),c)"
+    assert sorted(d for _, p, d in plain.rows() if p is not None) == [1.0, 1.0, 1.0, 2.0]
+    assert samplers.gene_tree(species, 0.0, 80.0, random.Random(1)) is None
+    rng, sizes = random.Random(2), []
+    for _ in range(1500):
+        t = samplers.gene_tree(species, 0.5, 0.3, rng)
+        sizes.append(len(t.leaves()) if t else 0)
+        if t and len(t.leaves()) > 1:
+            assert all(len(k) != 1 for k in t.kids.values())
+            far = {}
+            for n in t.preorder():
+                far[n] = 0.0 if n == t.root else far[t.parent[n]] + t.dist[n]
+            assert max(far[n] for n in t.leaves()) == pytest.approx(min(far[n] for n in t.leaves()))
+    # three species, each after 2.5 of growth at 0.2
+    assert statistics.mean(sizes) == pytest.approx(3 * math.exp(0.2 * 2.5), rel=0.1)
+    df = samplers.sample_gene_trees(spark.range(5), spark.createDataFrame(species.rows(), "node string, parent string, dist double"), 0.5, 0.0, "id")
+    assert df.where("parent is null").count() == 5 and df.collect() == df.collect()
