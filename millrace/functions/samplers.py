@@ -198,12 +198,12 @@ def gene_tree(species, birth: float, death: float, rng: random.Random):
 
 
 def sample_gene_trees(rows: DataFrame, species: DataFrame, birth: float, death: float, seed: str) -> DataFrame:
-    """A gene tree for every row as (tree_id, node, parent, dist), tree_id being the seed. The species tree (node, parent, dist) goes to the tasks."""
+    """A gene tree for every row as (tree_id, node, parent, dist), tree_id being the seed. The species tree (node, parent, dist) goes to the tasks, up to the bound of small_tree()."""
     import pandas as pd
 
-    from ..operators.trees import Tree
+    from ..operators.trees import Tree, small_tree
 
-    nodes = [(str(n), None if p is None else str(p), d) for n, p, d in species.select("node", "parent", "dist").collect()]
+    nodes = small_tree(species)
 
     def run(batches):
         for pdf in batches:

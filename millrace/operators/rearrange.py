@@ -263,10 +263,10 @@ def _meet_all(way: Lineage, parts: list):
 
 
 def rooted_forest(nodes: DataFrame, species: DataFrame, tips: DataFrame, dup: float = 1, loss: float = 1) -> DataFrame:
-    """root_by_events() of every tree. The species tree goes to the tasks, so it must fit there, as must a tree."""
+    """root_by_events() of every tree. The species tree goes to the tasks, up to the bound of small_tree(); a tree must fit in one."""
     import pandas as pd
 
-    rows = [(str(r[0]), None if r[1] is None else str(r[1]), 0.0) for r in species.select("node", "parent").collect()]
+    rows = trees.small_tree(species)
     marked = trees._as_text(nodes).join(tips.select(F.col("tree_id").cast("string"), F.col("node").cast("string"), F.col("species").cast("string")), ID, "left")
 
     def run(pdf):

@@ -374,6 +374,15 @@ def neighbour_trees(cells: DataFrame) -> DataFrame:
     return rows.groupBy("tree_id").applyInPandas(run, "tree_id string, node string, parent string, dist double")
 
 
+def small_tree(nodes: DataFrame, most: int = 100_000) -> list[tuple]:
+    """The (node, parent, dist) rows of a single tree that tasks are to have whole, such as a species tree; an error above `most`."""
+    dist = F.col("dist").cast("double") if "dist" in nodes.columns else F.lit(0.0)
+    rows = nodes.select(F.col("node").cast("string"), F.col("parent").cast("string"), dist).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a tree of more than {most} nodes doesn't go to the tasks")
+    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
+
+
 def _as_text(nodes: DataFrame) -> DataFrame:
     return nodes.select(*(F.col(c).cast("string").alias(c) for c in ("tree_id", "node", "parent")), F.col("dist").cast("double"))
 

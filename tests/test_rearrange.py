@@ -80,6 +80,8 @@ def test_rooted_forest(spark):
     tips = trees.leaves(n).select("tree_id", "node", F.substring("node", 1, 1).alias("species"))
     got = {r[0]: r[1] for r in trees.each_string(rearrange.rooted_forest(n, sp, tips), trees.topology, "s").collect()}
     assert got == {"0": "((a1,b1),(c1,d1))", "1": "(a1,b1)"}
+    with pytest.raises(ValueError, match="more than 3 nodes"):
+        trees.small_tree(sp, 3)
 
 
 def test_moves():
