@@ -8,6 +8,12 @@ blocks of equal numbers of words, and repeated for a second round where the
 target asks for it. A document's share of the mix is what the taken blocks
 cover of it, so every word is accounted for.
 
+A source gets exactly the slots that its target needs, and its last block is
+cut where the target ends: points beyond that leave their slots empty, and
+slots that the points left out (of a source smaller than a block, all) follow
+at the end. So each source takes its target, to the nearest word, whatever the
+block.
+
 Targets: the sources by code point (null last) weigh 3, 1, 2, repeating. They
 share ``total`` times all words; a target stops at ``repeat`` times its
 source's words, and the excess goes to the others by weight until none is
@@ -91,7 +97,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(ASCII_WORD)), F.lit(0)).cast("long").alias("size"), *carried)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), path, "rows")
     by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total, repeat)
-    by_source = written(by_source, path, "targets")
+    by_source = written(by_source.withColumn("want", F.round("target").cast("long")), path, "targets")
     n, words = rows.count(), int(by_source.agg(F.sum("source_size")).first()[0] or 0)
     block = max(1, min(LARGEST_BLOCK, math.ceil(total * words / slots)))
     n_slots = math.ceil(total * words / block)
@@ -108,7 +114,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     slot = slot.join(stretch, "at").where("u >= lo and u < hi").select("k", "i")
     n_cells = cells_for(n_slots, 512)
     slot = slot.withColumn("cell", F.floor(F.col("i") * n_cells / max(1, n_slots)).cast("int")).withColumn("one", F.lit(1))
-    slot = prefix(slot, "k", n_cells, ["i"], "one", "block").select("k", "block")
+    slot = written(prefix(slot, "k", n_cells, ["i"], "one", "block").select("k", "block"), path, "slots")
+    # what the points gave too much or too little, up to the exact number
+    need = by_source.withColumn("need", F.ceil(F.col("want") / block)).join(slot.groupBy("k").agg(F.count("*").alias("have")), "k", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    late = need.where("have < need").select("k", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("block"))
+    slot = slot.union(late).join(by_source.select("k", "want"), "k").where(F.col("block") * block < F.col("want"))
 
     # the streams: each document's stretch of its source's shuffled words, in every round
     n_cells = cells_for(n, 512)
@@ -120,7 +130,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     stream = stream.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     stream = stream.withColumn("start", F.col("start") + F.col("round") * F.col("source_size")).withColumn("end", F.col("start") + F.col("size"))
     stream = stream.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
-    part = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    part = F.greatest(F.lit(0), F.least(F.col("end"), (F.col("block") + 1) * block, F.col("want")) - F.greatest(F.col("start"), F.col("block") * block))
     taken = stream.join(slot, ["k", "block"]).groupBy("row").agg(F.sum(part).alias("taken"))
 
     out = rows.join(known.join(by_source.select("k", "target"), "k"), F.col("source").eqNullSafe(F.col("s"))).join(taken.hint("shuffle_hash"), "row", "left")

@@ -119,6 +119,17 @@ def test_mix(spark, odd):
     assert abs(sum(size) - 1.5 * sum(size.values())) < 1
 
 
+def test_mix_of_sources_below_a_block(spark):
+    words = {"big": [1000] * 400, **{f"s{i:02}": [3 + i, 40 + 7 * i] for i in range(20)}}
+    docs = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s in words for n in words[s])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = [(r["source"], r["size"], r["target"], r["taken"]) for r in mixing.mix(df, slots=100, keep=["source"]).select("source", "size", "target", "taken").collect()]
+    assert sum(r[1] for r in rows) * 1.5 / 100 > mixing.LARGEST_BLOCK
+    for s in words:
+        assert sum(r[3] for r in rows if r[0] == s) == round(next(r[2] for r in rows if r[0] == s))
+    assert all(taken == 2 * size for s, size, _, taken in rows if s != "big")
+
+
 def test_decontamination(spark, odd):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{odd}/benchmark.parquet").collect() if r["item_id"] is not None]
