@@ -324,6 +324,14 @@ def components(spark, d):
     return graph.components(pairs.select("a", "b"))
 
 
+@query(None)
+def components_all(spark, d):
+    """Parts linked by orders, over every line item: a star from an order's smallest part instead of all pairs."""
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey is not null and l_partkey is not null")
+    hub = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
+    return graph.components(li.join(hub, "l_orderkey").select("a", F.col("l_partkey").alias("b")))
+
+
 @query("SELECT doc_id, reverse(translate(text, 'ACGTUNacgtun', 'TGCAANtgcaan')) AS rc, length(text) AS n FROM documents")
 def reverse_complement(spark, d):
     return t(spark, d, "documents").select("doc_id", S.reverse_complement(F.col("text")).alias("rc"), F.length("text").cast("long").alias("n"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import arg, stats, synteny
+from millrace.plans import driver
 
 
 def rows(df, *cols):
@@ -92,3 +93,30 @@ def test_q_values(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5), (5, 0.5)], "i int, p double")
     got = {r.i: r.q for r in stats.q_values(df, [], "p").collect()}
     assert got == pytest.approx({1: 0.05, 2: 0.2 / 3, 3: 0.2 / 3, 4: 0.5, 5: 0.5})
+
+
+def brute_components(lines):
+    items = {p: p for _, p in lines}
+    by_order = {}
+    for o, p in lines:
+        by_order.setdefault(o, set()).add(p)
+    while True:
+        new = dict(items)
+        for ps in by_order.values():
+            low = min(new[p] for p in ps)
+            new |= {p: low for p in ps}
+        if new == items:
+            return sorted(items.items())
+        items = new
+
+
+def test_components_over_all_lines(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(o, 40 * (o % 6) + rng.randrange(40)) for o in range(150) for _ in range(rng.randint(1, 3))] + [(900, 7), (901, 999)]
+    spark.createDataFrame([(o, p, 1.0, 0.0) for o, p in lines], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = brute_components(lines)
+    assert len({c for _, c in want}) > 6
+    assert rows(driver.QUERIES["components_all"](spark, str(tmp_path)), "item", "component") == want
+    data = "/root/testdata/sf0.001"
+    lines = [tuple(r) for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    assert rows(driver.QUERIES["components_all"](spark, data), "item", "component") == brute_components(lines)
