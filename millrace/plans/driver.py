@@ -175,6 +175,18 @@ def rectangle_overlap(spark, d):
     return intervals.rectangle_join(q, b, ["k"], 20.0).where("id < id2").select("k", "id", "id2")
 
 
+RECT_ALL = "q AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_quantity) AS x1, max(l_quantity) AS x2, min(l_linenumber) * 5.0 AS y1, max(l_linenumber) * 5.0 AS y2 FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {RECT_ALL} SELECT a.k, a.id, b.id AS id2 FROM q a JOIN q b ON a.k = b.k AND a.id < b.id AND a.x2 > b.x1 AND a.x1 <= b.x2 AND a.y2 > b.y1 AND a.y1 <= b.y2")
+def rectangle_overlap_all(spark, d):
+    """As rectangle_overlap, of the rectangles of every line item."""
+    five = F.lit(5.0)
+    q = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), (F.min("l_linenumber") * five).alias("y1"), (F.max("l_linenumber") * five).alias("y2"))
+    b = q.withColumnsRenamed({"id": "id2", "x1": "u1", "x2": "u2", "y1": "v1", "y2": "v2"})
+    return intervals.rectangle_join(q, b, ["k"], 20.0).where("id < id2").select("k", "id", "id2")
+
+
 EV = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
 

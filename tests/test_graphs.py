@@ -120,3 +120,15 @@ def test_components_over_all_lines(spark, tmp_path):
     data = "/root/testdata/sf0.001"
     lines = [tuple(r) for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
     assert rows(driver.QUERIES["components_all"](spark, data), "item", "component") == brute_components(lines)
+
+
+def test_rectangles_of_all_lines(spark, tmp_path):
+    rng = random.Random(4)
+    lines = [(rng.randrange(3), rng.randrange(40), float(rng.randint(1, 50)), rng.randint(1, 7), rng.randrange(11) / 100) for _ in range(300)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double, l_linenumber int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    boxes = {}
+    for k, i, x, y, _ in lines:
+        a, b, c, e = boxes.get((k, i), (x, x, y, y))
+        boxes[k, i] = min(a, x), max(b, x), min(c, y), max(e, y)
+    want = [(k, i, j) for (k, i), (x1, x2, y1, y2) in boxes.items() for (k2, j), (u1, u2, v1, v2) in boxes.items() if k == k2 and i < j and x2 > u1 and x1 <= u2 and y2 > v1 and y1 <= v2]
+    assert want and rows(driver.QUERIES["rectangle_overlap_all"](spark, str(tmp_path)), "k", "id", "id2") == sorted(want)
