@@ -2,7 +2,8 @@
 
 Three passes. Every task writes its rows as response records into archives of
 bounded size (one gzip member a record) in the shared folder, and keeps only
-headers: file, place, id, length and SHA-1 of the payload. The headers are
+headers: file, the record's offset and length there, id, length and SHA-1 of the
+payload. The headers are
 shuffled by digest to elect, among equal payloads of at least ``min_bytes``,
 the one of the largest id as the original; the others are joined to it. Then
 each archive is read again beside its decisions and rewritten: originals with
@@ -74,11 +75,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, dict[str, str], bytes]:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+    """The gzip members of an archive, read in steps, so that what follows a member is copied but once."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts, step = zlib.decompressobj(31), [], 2048
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + step]
+            parts.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+            step = min(2 * step, 1 << 20)
+        yield b"".join(parts)
 
 
 class ArchiveWriter:
@@ -88,20 +96,21 @@ class ArchiveWriter:
         self.fs, self.folder = local_path(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.prefix, self.limit, self.level = prefix, limit, level
-        self.number, self.parts, self.held, self.seq = 0, [], 0, 0
+        self.number, self.parts, self.held, self.at = 0, [], 0, 0
 
     @property
     def name(self) -> str:
         return f"{self.prefix}-{self.number:04d}.warc.gz"
 
-    def add(self, rec: bytes) -> tuple[str, int]:
+    def add(self, rec: bytes) -> tuple[str, int, int]:
+        """(archive, offset, length) of the record's gzip member."""
         if self.parts and self.held + len(rec) > self.limit:
             self.close()
-        c = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-        self.parts.append(c.compress(rec) + c.flush())
+        member = zlib.compress(rec, self.level, 31)
+        self.parts.append(member)
         self.held += len(rec)
-        self.seq += 1
-        return self.name, self.seq - 1
+        self.at += len(member)
+        return self.name, self.at - len(member), len(member)
 
     def close(self) -> None:
         if self.parts:
@@ -110,7 +119,7 @@ class ArchiveWriter:
                 for p in self.parts:
                     out.write(p)
             self.fs.move(aside, f"{self.folder}/{self.name}")
-            self.number, self.parts, self.held, self.seq = self.number + 1, [], 0, 0
+            self.number, self.parts, self.held, self.at = self.number + 1, [], 0, 0
 
 
 def _read(folder: str, name: str) -> bytes:
@@ -119,7 +128,7 @@ def _read(folder: str, name: str) -> bytes:
         return f.read()
 
 
-HEADERS = "file string, seq long, page_id long, payload_bytes long, digest string"
+HEADERS = "file string, offset long, length long, page_id long, payload_bytes long, digest string"
 
 
 def write_archives(rows: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
@@ -134,11 +143,11 @@ def write_archives(rows: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) ->
                 digest = hashlib.sha1(payload).hexdigest()
                 page = page.as_py()
                 uri = "".join((url.as_py() or "").split())
-                file, seq = out.add(record("response", "" if page is None else str(page), uri, digest, len(payload), payload))
-                got.append((file, seq, page, len(payload), digest))
-            cols = list(zip(*got, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["file", "seq", "page_id", "payload_bytes", "digest"])
+                place = out.add(record("response", "" if page is None else str(page), uri, digest, len(payload), payload))
+                got.append((*place, page, len(payload), digest))
+            cols = list(zip(*got, strict=True)) or [[]] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["file", "offset", "length", "page_id", "payload_bytes", "digest"])
         out.close()
 
     return rows.select("page_id", "url", "payload").mapInArrow(run, HEADERS)
@@ -146,27 +155,27 @@ def write_archives(rows: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) ->
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Adds `original` (the response's id, null for a response) and `revisit`."""
-    me = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "file", "seq")
+    me = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "file", "offset")
     best = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max(me).alias("best"), F.count("*").alias("n")).where("n > 1")
     out = headers.join(best, "digest", "left")
-    revisit = F.col("best").isNotNull() & ~((F.col("best.file") == F.col("file")) & (F.col("best.seq") == F.col("seq")))
-    return out.select("file", "seq", "page_id", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("original"), "digest")
+    revisit = F.col("best").isNotNull() & ~((F.col("best.file") == F.col("file")) & (F.col("best.offset") == F.col("offset")))
+    return out.select("file", "offset", "length", "page_id", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("original"), "digest")
 
 
 def rewrite(decisions: DataFrame, source: str, target: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Every archive again, with revisits in place of copies; returns the new archives' names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, left, done = None, None, iter(()), []
+        now, out, raw, done = None, None, memoryview(b""), []
         for batch in batches:
-            for file, revisit, original in zip(*(batch.column(c).to_pylist() for c in ("file", "revisit", "original")), strict=True):
+            for file, offset, length, revisit, original in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "revisit", "original")), strict=True):
                 if file != now:
                     if out:
                         out.close()
                         done += [f"{out.prefix}-{i:04d}.warc.gz" for i in range(out.number)]
-                    now, left = file, members(_read(source, file))
+                    now, raw = file, memoryview(_read(source, file))
                     out = ArchiveWriter(target, f"dedup-{file.removesuffix('.warc.gz')}", limit, 4)
-                warc, _, http, payload = parse(next(left))
+                warc, _, http, payload = parse(zlib.decompress(raw[offset : offset + length], 31))
                 digest = base64.b32decode(warc["warc-payload-digest"][5:]).hex()
                 n, page, uri = int(http["content-length"]), warc["x-page-id"], warc["warc-target-uri"]
                 if revisit:
@@ -180,11 +189,16 @@ def rewrite(decisions: DataFrame, source: str, target: str, limit: int = ARCHIVE
             done += [f"{out.prefix}-{i:04d}.warc.gz" for i in range(out.number)]
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
 
-    files = decisions.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = decisions.select("file", "seq", "revisit", "original").repartition(int(files), "file").sortWithinPartitions("file", "seq")
+    files = decisions.select("file").distinct().count()
+    dealt = decisions.select("file", "offset", "length", "revisit", "original").repartition(tasks_for(decisions.sparkSession, files), "file").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "file string")
 
 
+def tasks_for(spark, files: int) -> int:
+    """Tasks for so many archives: a few archives each, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), files // 4)
+
+
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
@@ -216,8 +230,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
         if rows:
             yield batch_of(rows)
 
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "file").mapInArrow(run, READ)
+    return files.repartition(tasks_for(files.sparkSession, files.count()), "file").mapInArrow(run, READ)
 
 
 def deduplicate(rows: DataFrame, min_bytes: int = MIN_BYTES, limit: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
@@ -238,8 +251,9 @@ OP1_SQL = f"""
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
 ), m AS (
-  SELECT *, CASE WHEN payload_bytes >= {MIN_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM p
+  SELECT *, payload_bytes >= {MIN_BYTES} AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) > 1 AS again,
+    max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p
 )
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN best <> page_id THEN best END AS refers_to FROM m
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN best END AS refers_to FROM m
 """
