@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The whitespace and word classes that several operators name.
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests on one machine), a temporary folder of
-    this process is set as the checkpoint folder.
+    Where that setting is absent, a session on one machine (tests) gets a
+    temporary folder as its checkpoint folder, and one on a cluster an error.
     """
     root = spark.sparkContext.getCheckpointDir()
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = conf
     elif root:
         base = root
+    elif not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
@@ -54,13 +56,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have."""
-    names = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in names:
-        name = "_" + name
-    return name
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's, part of the plan itself; schema names int, long, double and boolean columns."""
+    names, kinds = zip(*(x.strip().split(" ") for x in schema.split(",")), strict=True)
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, arrow[k]) for c, k in zip(cols, kinds, strict=True)], names=list(names)))
+
+
+#: A key with more than this share of the rows is joined by broadcast; so there are fewer than HOT_KEYS of them.
+HOT_KEYS = 1024
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are distinct and whose column `n` says how many rows of left have the key.
+
+    Keys of more than total / HOT_KEYS rows, fewer than HOT_KEYS by that, go to
+    the tasks by broadcast, so that no task gathers a hot key's rows; the others are
+    shuffled. `how` is inner or left; keys of `on` are never null.
+    """
+    bound = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(n) > bound))
+    cold = right.where(F.col(n) <= bound)
+    few = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return left.join(hot, on).unionByName(few.join(cold, on, how))
+
+
+def ranks(values: DataFrame, path: str, name: str) -> tuple[DataFrame, int]:
+    """(value, rank from 0 by value, null first) of the distinct values of a one-column table, and their number.
+
+    Sorted by ranges; only a count for each range is put in order in one task.
+    """
+    sorted_ = values.toDF("value").distinct().sort(F.col("value").asc_nulls_first())
+    sorted_ = written(sorted_.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), path, name)
+    per = sorted_.groupBy("part").agg(F.count("*").alias("n"))
+    before = per.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return sorted_.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("at")).alias("rank")), sorted_.count()
 
 
 def local_path(uri: str):
@@ -72,9 +103,3 @@ def local_path(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), os.path.abspath(uri)
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
-def clear_at_exit(path: str) -> None:
-    import shutil
-
-    atexit.register(shutil.rmtree, path, True)

@@ -5,13 +5,20 @@ the pages that contain a line are counted and divided by the host's pages; a
 line on at least ``min_pages`` pages of its host and above ``ratio`` of them is
 boilerplate, and every copy of it is dropped from the host's pages.
 
-Only hashes are counted and shuffled (128 bits a line), map-side first; the
-verdicts go back to the pages as lists of line numbers, by the hash of host and
-page. A line counts once a page; a page given twice counts twice. All of it is
-DataFrame functions.
-
-Defined cases: null html has no lines; a url without a host has the host "";
-empty lines aren't lines.
+``min_pages`` is there for small hosts: on a host of fewer than 1 / ratio pages
+any line of any page is above the ratio, and all text would go; a line has to
+recur before it counts as the site's.
+
+The html is parsed once. Only hashes are counted and shuffled (128 bits a
+line), map-side first; a line of a very common host and text meets its verdict
+by broadcast, others by a shuffle; verdicts return to a page, by its row number,
+as line positions. A line counts once a page; a page given twice counts twice. All
+of it is DataFrame functions.
+
+Defined cases: null html has no lines; a url without a host, or a null one, has
+the host ""; empty lines aren't lines; a script, style or comment that isn't closed
+ends with the page; "<" within a tag starts another one. Work is in
+proportion to a page's length and number of lines, however long it is.
 """
 
 from __future__ import annotations
@@ -19,13 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_split, shared_dir, table, written
 
 RATIO, MIN_PAGES = 0.1, 3
 #: What ends a line of text in a page; other tags go away within the line.
-HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
-BREAKS = r"(?i)</?(p|br|div|h[1-6]|li|ul|ol|nav|article|section|footer|header|table|tr|td|title|head|body|html)\b[^>]*>"
-TAGS = r"<[^>]*>"
+HIDDEN = r"(?is)<(script|style)\b.*?(</(script|style)>|\z)|<!--.*?(-->|\z)"
+BREAKS = r"(?i)</?(p|br|div|h[1-6]|li|ul|ol|nav|article|section|footer|header|table|tr|td|title|head|body|html)\b[^<>]*>"
+TAGS = r"<[^<>]*>"
 
 
 def host(url: Column) -> Column:
@@ -38,23 +45,28 @@ def lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
+def without(items: Column, drop: Column) -> Column:
+    """An array without the elements at the sorted positions `drop` (from 0): the stretches between them, joined."""
+    edge = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(items)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda k: F.slice(items, F.get(edge, k) + 2, F.get(edge, k + 1) - F.get(edge, k) - 1)))
+
+
 def drop_boilerplate(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all at default) with n_lines, n_dropped and kept_text; those names give way."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("n_lines", "n_dropped", "kept_text")]
     src = pages.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
-    src = src.withColumn("page", F.md5(F.concat_ws("\n", "host", F.array_join("lines", "\n"))))
-    hashes = F.transform("lines", lambda x: F.md5(x))
-    # pages of equal host and lines are one row with their number, before lines are spread out
-    kinds = src.groupBy("page").agg(F.first("host").alias("host"), F.first(hashes).alias("hashes"), F.count("*").alias("n"))
+    path = shared_dir(pages.sparkSession)
+    src = written(src.withColumn("row", F.monotonically_increasing_id()), path, "parsed")
     total = src.groupBy("host").agg(F.count("*").alias("pages"))
-    each = kinds.select("page", "host", "n", F.posexplode("hashes").alias("at", "line"))
-    seen = kinds.select("host", "n", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.sum("n").alias("with")).where(F.col("with") >= min_pages)
-    bad = seen.join(total, "host").where(F.col("with") > F.col("pages") * ratio).select("host", "line")
-    verdict = each.join(bad, ["host", "line"]).groupBy("page").agg(F.collect_list("at").alias("drop"))
-    out = src.join(verdict, "page", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("drop", i)))
+    hashes = F.transform("lines", lambda x: F.unhex(F.md5(x)))
+    each = written(src.select("row", "host", F.posexplode(hashes).alias("at", "line")), path, "lines")
+    seen = src.select("host", F.explode(F.array_distinct(hashes)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("with")).where(F.col("with") >= min_pages)
+    bad = written(seen.join(total, "host").where(F.col("with") > F.col("pages") * ratio).select("host", "line", "with"), path, "bad")
+    verdict = join_split(each, bad, ["host", "line"], "with", each.count()).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("drop"))
+    out = src.join(verdict, "row", "left")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("drop")))
     n = F.size("lines").cast("long")
-    return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), n.alias("n_lines"), (n - F.size(kept)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), n.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
