@@ -1,10 +1,12 @@
 """Sharding by a k-d tree over metadata, to near-equal bytes.
 
-A unit is the documents of one text (so that copies stay together); its
-coordinates are its metadata: length, source, language and id. A node that is
-to become m shards is split along its widest dimension, measured against the
-whole table's range, at the weighted median (the m//2 : m rest quantile of its
-bytes), until a node is one shard. All nodes of a level are split together.
+A unit is the documents of one text, so copies share a shard; its coordinates
+are its metadata: length, source and language (their ranks by code point) and
+id. A node that is to become m shards is split along its widest dimension,
+measured against the whole table's range, at the weighted median (the quantile
+of its bytes that its left half of shards is to take), until a node is one
+shard. All nodes of a level are split together, and what is known of the nodes is
+a small table that is joined to the units, so a plan doesn't grow with the shards.
 
 The median is found by counting, not by sorting: every round is one aggregate
 of bytes by node and bin, of which the driver sees at most ``bins`` a node; the
@@ -12,129 +14,138 @@ bin that holds the quantile is divided again until it has less than
 ``tolerance`` of a shard's bytes, or one value. A value that many units share
 is divided by the hash of the unit.
 
-A text with so many copies that it exceeds a tenth of a shard is cut into
-units of equal numbers of copies by the copies' ids, as a shard of equal size
-can't hold it.
+Texts whose copies make more than ``heavy`` of a shard are placed before the
+tree, whole, largest first, each in the shard that has least; there are fewer than
+shards / heavy of them. The tree then fills every shard up to one level, so they
+don't unbalance it. Only a text whose copies exceed a whole shard is cut: into whole
+shards' worth and a rest, by a hash of its rows.
 
 A document's slot counts the documents of its shard by hash order, by prefix
 sums over hash cells, so that no window holds a shard.
 
-Defined cases: null text has no bytes, weighs 8 and is a text of its own;
-repeated rows are copies; null metadata comes first; without rows there are
+Defined cases: null text has no bytes, weighs 8 and is a text of its own for each
+id; repeated rows are copies; null metadata comes first; without rows there are
 no shards.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import ranks, shared_dir, small_table, table, written
 from .mixing import cells_for, prefix
 
 SHARDS = 24
 BINS = 2048
+HEAVY = 0.02
+_HASH = (-9.3e18, 9.3e18)
+_SEARCH = "node int, dim int, lo double, width double, key_dim int, key_value double"
+_CUTS = "node int, dim int, cut double, inclusive boolean, key_dim int, key_value double, below int, above int"
 
 
-def code_point_place(c: Column) -> Column:
-    """The first six bytes of a string as a number: keeps the order, needs no dictionary; null is -1."""
-    first = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(first, 16, 10).cast("double"), F.lit(-1.0))
-
+def _value(dim: Column) -> Column:
+    return F.get("x", dim)
 
-def _pick(node: Column, values: dict[int, Column]) -> Column:
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(node == k, v).otherwise(out)
-    return out
 
+def kd_tree(units: DataFrame, n_dims: int, room: list[float], path: str, bins: int = BINS, tolerance: float = 1e-3) -> DataFrame:
+    """Adds `shard` to units (bytes long, x array<double> whose last element, after n_dims dimensions, is the unit's hash).
 
-def kd_tree(units: DataFrame, dims: list[str], shards: int, path: str, bins: int = BINS, tolerance: float = 1e-3) -> DataFrame:
-    """Adds `shard` to units (bytes long, h long, and a double column for each dimension)."""
-    ranges = units.agg(F.sum("bytes"), F.count("*"), *(f(d) for d in dims for f in (F.min, F.max))).first()
+    `room` says in what proportion the shards are to take the bytes.
+    """
+    spark = units.sparkSession
+    ranges = units.agg(F.sum("bytes"), *(f(F.get("x", F.lit(d))) for d in range(n_dims) for f in (F.min, F.max))).first()
     units = units.withColumn("node", F.lit(0))
-    if not ranges[0]:
-        return units.withColumn("shard", F.lit(0)).drop("node")
-    spread = {d: max(1e-300, float(ranges[2 * i + 3] - ranges[2 * i + 2])) for i, d in enumerate(dims)}
-    small = ranges[0] / shards * tolerance
-    nodes = {0: (0, shards)}  # node: first shard, number of shards
+    spread = [max(1e-300, float(ranges[2 * d + 2] - ranges[2 * d + 1])) if ranges[0] else 1.0 for d in range(n_dims)]
+    small = (ranges[0] or 0) / len(room) * tolerance
+    nodes = {0: (0, len(room))}  # node: first shard, number of shards
     level = 0
     while any(m > 1 for _, m in nodes.values()):
         level += 1
-        open_ = [k for k, (_, m) in nodes.items() if m > 1]
-        mine = units.where(F.col("node").isin(open_))
-        facts = {r["node"]: r for r in mine.groupBy("node").agg(F.sum("bytes").alias("b"), *(f(d).alias(f"{d}_{n}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).collect()}
+        open_ = {k: v for k, v in nodes.items() if v[1] > 1}
+        mine = units.join(F.broadcast(small_table(spark, [(k,) for k in open_], "node int")), "node")
+        facts = {r["node"]: r for r in mine.groupBy("node").agg(F.sum("bytes").alias("b"), *(f(F.get("x", F.lit(d))).alias(f"{n}{d}") for d in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max)))).collect()}
         search = {}
-        for k in open_:
-            if k not in facts:  # no unit at all
-                continue
-            r, m = facts[k], nodes[k][1]
-            d = max(dims, key=lambda x: (r[f"{x}_hi"] - r[f"{x}_lo"]) / spread[x])
-            lo, hi = float(r[f"{d}_lo"]), float(r[f"{d}_hi"])
+        for k, r in facts.items():
+            first, m = nodes[k]
+            d = max(range(n_dims), key=lambda x: (r[f"hi{x}"] - r[f"lo{x}"]) / spread[x])
+            lo, hi = float(r[f"lo{d}"]), float(r[f"hi{d}"])
             if hi <= lo:
-                d, lo, hi = "hd", -9.3e18, 9.3e18
-            search[k] = {"on": d, "lo": lo, "hi": hi, "left": r["b"] * (m // 2) / m, "keys": [], "done": False}
-        # a unit is left if it is below every level of (dimension, then hash) that was found
-        while live := {k: s for k, s in search.items() if not s["done"]}:
-            width = {k: (s["hi"] - s["lo"]) / bins for k, s in live.items()}
-            at = _pick(F.col("node"), {k: F.col(s["on"]) for k, s in live.items()})
-            lo = _pick(F.col("node"), {k: F.lit(s["lo"]) for k, s in live.items()})
-            w = _pick(F.col("node"), {k: F.lit(max(width[k], 5e-324)) for k in live})
-            inside = F.lit(False)
-            for k, s in live.items():
-                c = (F.col("node") == k) & (F.col(s["on"]) >= s["lo"]) & (F.col(s["on"]) <= s["hi"])
-                for d, v in s["keys"]:
-                    c = c & (F.col(d) == v)
-                inside = inside | c
-            cell = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((at - lo) / w))).cast("int")
+                d, (lo, hi) = n_dims, _HASH
+            whole = sum(room[first : first + m])
+            share = sum(room[first : first + m // 2]) / whole if whole else (m // 2) / m
+            search[k] = {"on": d, "lo": lo, "hi": hi, "left": r["b"] * share, "key": (None, None), "cut": None}
+        # a unit is left if it is below the cut of (dimension, then hash) that was found
+        while live := {k: s for k, s in search.items() if s["cut"] is None}:
+            known = [(k, s["on"], s["lo"], max((s["hi"] - s["lo"]) / bins, 5e-324), *s["key"]) for k, s in live.items()]
+            at = units.join(F.broadcast(small_table(spark, known, _SEARCH)), "node").withColumn("v", _value(F.col("dim")))
+            at = at.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("lo") + F.col("width") * (bins + 1)) & (F.col("key_dim").isNull() | (_value(F.col("key_dim")) == F.col("key_value"))))
+            cell = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.col("width"))).cast("int")
             got: dict[int, list] = {}
-            counted = units.where(inside).select("node", cell.alias("bin"), at.alias("v"), "bytes").groupBy("node", "bin").agg(F.sum("bytes").alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            for r in counted.collect():
-                got.setdefault(r["node"], []).append((r["bin"], r["b"], float(r["lo"]), float(r["hi"])))
+            for r in at.groupBy("node", cell.alias("bin")).agg(F.sum("bytes").alias("b"), F.min("v").alias("first"), F.max("v").alias("last")).collect():
+                if r["first"] <= live[r["node"]]["hi"]:
+                    got.setdefault(r["node"], []).append((r["bin"], r["b"], float(r["first"]), float(r["last"])))
             for k, s in live.items():
-                cells = sorted(got.get(k, []))
                 here = None
-                for c in cells:
+                for c in sorted(got.get(k, [])):
                     if c[1] > s["left"]:
                         here = c
                         break
                     s["left"] -= c[1]
                 if here is None:
-                    s["cut"], s["done"] = (s["on"], s["hi"], True), True
-                elif here[1] <= small or here[2] >= here[3] and s["on"] == "hd":
+                    s["cut"] = (s["hi"], True)
+                elif here[1] <= small or here[2] >= here[3] and s["on"] == n_dims:
                     # the whole bin goes to the nearer side
                     over = s["left"] * 2 >= here[1]
-                    s["cut"], s["done"] = (s["on"], here[3] if over else here[2], over), True
+                    s["cut"] = (here[3] if over else here[2], over)
                 elif here[2] >= here[3]:
-                    s["keys"].append((s["on"], here[2]))
-                    s["on"], s["lo"], s["hi"] = "hd", -9.3e18, 9.3e18
+                    s["key"] = (s["on"], here[2])
+                    s["on"], (s["lo"], s["hi"]) = n_dims, _HASH
                 else:
                     s["lo"], s["hi"] = here[2], here[3]
-        to = F.col("node")
-        grown = {}
-        for k, (first, m) in nodes.items():
-            if m == 1:
-                grown[k] = (first, m)
-        number = max(nodes) + 1
-        for k in open_:
-            first, m = nodes[k]
-            a, b = number, number + 1
+        grown = {k: v for k, v in nodes.items() if v[1] == 1}
+        number, cuts = max(nodes) + 1, []
+        for k, (first, m) in open_.items():
+            grown[number], grown[number + 1] = (first, m // 2), (first + m // 2, m - m // 2)
+            if k in search:
+                s = search[k]
+                cuts.append((k, s["on"], *s["cut"], *s["key"], number, number + 1))
             number += 2
-            grown[a], grown[b] = (first, m // 2), (first + m // 2, m - m // 2)
-            if k not in search:
-                continue
-            s = search[k]
-            d, v, inclusive = s["cut"]
-            left, fixed = (F.col(d) <= v if inclusive else F.col(d) < v), F.lit(True)
-            for kd, kv in reversed(s["keys"]):
-                left, fixed = (F.col(kd) < kv) | ((F.col(kd) == kv) & left), fixed
-            to = F.when(F.col("node") == k, F.when(left, a).otherwise(b)).otherwise(to)
-        units = written(units.withColumn("node", to.cast("int")), path, f"level{level}")
+        cut = F.broadcast(small_table(spark, cuts, _CUTS))
+        v, tie = _value(F.col("dim")), _value(F.col("key_dim"))
+        left = F.when(F.col("inclusive"), v <= F.col("cut")).otherwise(v < F.col("cut"))
+        left = F.when(F.col("key_dim").isNull(), left).otherwise((tie < F.col("key_value")) | ((tie == F.col("key_value")) & left))
+        to = F.when(F.col("below").isNull(), F.col("node")).when(left, F.col("below")).otherwise(F.col("above"))
+        units = written(units.join(cut, "node", "left").select(*(c for c in units.columns if c != "node"), to.alias("node")), path, f"level{level}")
         nodes = grown
-    return units.withColumn("shard", _pick(F.col("node"), {k: F.lit(first) for k, (first, _) in nodes.items()}).cast("int")).drop("node")
+    leaves = small_table(spark, [(k, first) for k, (first, _) in nodes.items()], "node int, shard int")
+    return units.join(F.broadcast(leaves), "node").drop("node")
+
+
+def place_heavy(sizes: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
+    """Of (unit, bytes): the shard of each, largest first into the emptiest, and the bytes that each shard then has."""
+    heap, where = [(0, s) for s in range(shards)], {}
+    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        held, s = heapq.heappop(heap)
+        where[unit] = s
+        heapq.heappush(heap, (held + size, s))
+    held = dict((s, b) for b, s in heap)
+    return where, [held[s] for s in range(shards)]
+
+
+def room_left(held: list[int], more: int) -> list[float]:
+    """How the shards take `more` bytes to be at one level, as far as what they hold allows."""
+    level, below = 0.0, sorted(held)
+    for i, b in enumerate(below):
+        level = (more + sum(below[: i + 1])) / (i + 1)
+        if i + 1 == len(below) or level <= below[i + 1]:
+            break
+    return [max(0.0, level - b) for b in held]
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = SHARDS, heavy: float = HEAVY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, size, text_crc32, shard, slot; `keep` names more columns to carry."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -142,27 +153,43 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text
     key = F.when(F.col(text_col).isNull(), F.xxhash64(F.col(id_col), F.lit(3))).otherwise(F.xxhash64(text))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        key.alias("h"), F.length(text).cast("double").alias("d_chars"), code_point_place(F.col(source_col)).alias("d_source"),
-        code_point_place(F.col(lang_col)).alias("d_lang"), F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0)).alias("d_id"),
+        key.alias("h"), F.length(text).cast("double").alias("chars"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
         *(F.col(c).alias(f"c_{i}") for i, c in enumerate(keep or [])),
     )
     all_rows = written(rows.withColumn("row", F.monotonically_increasing_id()), path, "rows")
-    rows = all_rows.select("row", "doc_id", "size", "text_crc32", "h", "d_chars", "d_source", "d_lang", "d_id")
+    rows = all_rows.select("row", "doc_id", "size", "text_crc32", "h", "chars", "source", "lang")
     facts = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    part = max(1, int((facts["b"] or 0) / shards / 10))
-    groups = rows.groupBy("h", "text_crc32", "size").agg(F.count("*").alias("n"))
-    pieces = F.ceil(F.col("n") * F.col("size") / part).cast("long")
-    big = written(groups.where(F.col("n") > 1).where(F.col("n") * F.col("size") > part).select("h", "text_crc32", "size", pieces.alias("pieces")), path, "big")
-    # at most ten pieces' worth of texts a shard are that big
-    rows = rows.join(F.broadcast(big), ["h", "text_crc32", "size"], "left")
-    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces")), F.lit(0))
-    rows = rows.withColumn("unit", F.xxhash64("h", "text_crc32", "size", piece)).drop("pieces")
-    dims = ["d_chars", "d_source", "d_lang", "d_id"]
-    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in dims)).withColumn("hd", F.col("unit").cast("double"))
-    placed = kd_tree(written(units, path, "units"), dims, shards, path)
-    out = rows.join(placed.select("unit", "shard"), "unit")
+    part = max(1.0, (facts["b"] or 0) / shards)
+    text_key = ["h", "text_crc32", "size"]
+    groups = rows.groupBy(*text_key).agg(F.count("*").alias("n"))
+    # a text above a shard: fewer than `shards` of them
+    big = groups.where(F.col("n") * F.col("size") > part).select(*text_key, (F.col("n") * F.col("size") / part).alias("parts"))
+    rows = rows.join(F.broadcast(big), text_key, "left")
+    even = F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 11).cast("double") / float(1 << 53)
+    piece = F.coalesce(F.floor(even * F.col("parts")), F.lit(0))
+    rows = written(rows.withColumn("unit", F.xxhash64(*text_key, piece)).drop("parts"), path, "pieces")
+    names = {}
+    for c in ("source", "lang"):
+        number, n = ranks(rows.select(c), path, c)
+        names[c] = (number.withColumnsRenamed({"value": c, "rank": f"{c}_rank"}), n)
+    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.min("chars").alias("chars"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("doc_id").alias("id"))
+    for c, (number, n) in names.items():
+        number = number.where(F.col(c).isNotNull())
+        units = units.join(F.broadcast(number) if n <= 100_000 else number, c, "left")
+    dims = ["chars", "source_rank", "lang_rank", "id", "unit"]
+    x = F.array(*(F.coalesce(F.col(d).cast("double"), F.lit(-1.0)) for d in dims))
+    units = written(units.select("unit", "bytes", x.alias("x")), path, "units")
+    # fewer than shards / heavy of them
+    first = units.where(F.col("bytes") > part * heavy).select("unit", "bytes").collect()
+    where, held = place_heavy([tuple(r) for r in first], shards)
+    light = units.where(F.col("bytes") <= part * heavy)
+    room = room_left(held, (facts["b"] or 0) - sum(held))
+    placed = kd_tree(light, len(dims) - 1, room, path).select("unit", "shard")
+    fixed = F.broadcast(small_table(spark, list(where.items()), "unit long, shard int"))
+    rows = rows.select("row", "doc_id", "size", "text_crc32", "unit")
+    out = rows.join(fixed, "unit").unionByName(rows.join(fixed.select("unit"), "unit", "left_anti").join(placed, "unit"))
     cells = cells_for(facts["n"] // shards, 512)
-    out = out.withColumn("order", F.xxhash64("doc_id", F.lit(29))).withColumn("cell", F.pmod(F.shiftrightunsigned("order", 40), F.lit(cells)).cast("int")).withColumn("one", F.lit(1))
+    out = out.withColumn("order", F.xxhash64("doc_id", "row", F.lit(29))).withColumn("cell", F.pmod(F.shiftrightunsigned("order", 40), F.lit(cells)).cast("int")).withColumn("one", F.lit(1))
     out = prefix(out, "shard", cells, ["order", "doc_id", "row"], "one", "slot").select("row", "doc_id", "size", "text_crc32", "shard", "slot")
     if not keep:
         return out.drop("row")
