@@ -44,10 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, path: str, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet under path and read again: later plans start there."""
+def written(df: DataFrame, path: str, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df, written once as Parquet under path (a folder for each value of `by`) and read again: later plans start there."""
     target = f"{path}/{name}"
-    df.write.mode("overwrite").parquet(target)
+    (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 

@@ -9,10 +9,11 @@ matrix with rank blocks, and every eighth suffix position. All phrases are
 searched backwards at once; occurrences are located by walking to a sampled
 position, and overlapping spans merge into removal spans.
 
-The phrases come in blocks of at most ``block_bytes`` of text, so that what a
-task holds is bounded whatever the size of the benchmark; a shard is searched
-for each block in turn. There is no shuffle: documents stay where they are
-read.
+The phrases come in blocks of about ``block_bytes`` of text (dealt by hash and
+written to the shared folder, where each task reads them one by one), so that
+what a task holds is bounded whatever the size of the benchmark, and neither
+driver nor broadcast holds it; a shard is searched for each block in turn.
+Documents aren't shuffled: they stay where they are read.
 
 Defined cases: null text has no words; null or wordless items, and items
 without an id, take no part; a document given twice is judged twice; equal
@@ -27,11 +28,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import local_path, shared_dir, table, written
 
 WINDOW = 13
 #: Upper-case ASCII goes to lower case, other ASCII that isn't a letter or digit to a blank.
@@ -230,16 +233,27 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
-def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int) -> list:
-    """Broadcasts, each of the items of about block_bytes of text at most (one longer item is its own block)."""
-    sc, out, block, held = benchmark.sparkSession.sparkContext, [], [], 0
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    for item, text in rows.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        block.append((item, text))
-        held += len(text)
-        if held >= block_bytes:
-            out, block, held = [*out, sc.broadcast(block)], [], 0
-    return [*out, sc.broadcast(block)] if block else out
+def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[str]:
+    """Folders in the shared one, each of the items of about block_bytes of text (one longer item is at least its own block)."""
+    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    path = shared_dir(benchmark.sparkSession)
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    if not n:
+        return []
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+    written(dealt.repartition(n, "block").sortWithinPartitions("block"), path, "items", by="block")
+    fs, root = local_path(f"{path}/items")
+    return sorted(f"{path}/items/{x.base_name}" for x in fs.get_file_info(pa.fs.FileSelector(root)) if x.base_name.startswith("block="))
+
+
+def read_block(folder: str) -> list[tuple[str, str]]:
+    fs, path = local_path(folder)
+    got = []
+    for f in sorted(x.path for x in fs.get_file_info(pa.fs.FileSelector(path)) if x.path.endswith(".parquet")):
+        with fs.open_input_file(f) as source:
+            t = pq.ParquetFile(source).read(columns=["item", "text"])
+        got += zip(t["item"].to_pylist(), t["text"].to_pylist(), strict=True)
+    return got
 
 
 RESULT = [
@@ -268,7 +282,7 @@ def contamination(
     without its spans. A shard is the documents of a task with about shard_words alphabet words.
     Columns of docs named like a result column give way to it.
     """
-    blocks = phrase_blocks(benchmark, item_col, item_text, block_bytes, window)
+    blocks = phrase_blocks(benchmark, item_col, item_text, block_bytes)
     extra = [*RESULT, *([T.StructField(clean_col, T.StringType())] if clean_col else [])]
     names = {f.name for f in extra}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names or c == text_col]
@@ -282,7 +296,7 @@ def contamination(
         held: list[pa.RecordBatch] = []
         texts: list[list[str | None]] = []
         counts: list[int] = []
-        phrases = None if many else [Phrases(b.value, window) for b in blocks]
+        phrases = None if many else [Phrases(read_block(b), window) for b in blocks]
         shards = [Shard(p) for p in phrases or []]
 
         def search() -> Iterator[pa.RecordBatch]:
@@ -291,8 +305,7 @@ def contamination(
             items: dict[int, set[str]] = {}
             for k, b in enumerate(blocks):
                 if many:  # one block in memory at a time; the shard's texts are read again for each
-                    p = Phrases(b.value, window)
-                    b.__dict__.pop("_value", None)
+                    p = Phrases(read_block(b), window)
                     shard = Shard(p)
                     for i, t in enumerate(t for part in texts for t in part):
                         shard.add(i, words(t))
