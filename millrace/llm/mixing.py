@@ -20,13 +20,17 @@ source's words, and the excess goes to the others by weight until none is
 above. One number is found for that, the words per unit of weight, by raising
 it until it settles; only sums come to the driver.
 
+A block has 1.5 x all words / ``slots`` words, from 1 to LARGEST_BLOCK, so its
+length depends on the table's words, and above that the number of slots does.
+
 Ranks and offsets are prefix sums in two steps (sums of small cells, then
-rows within a cell), so that no window holds a source. Points meet their
+rows within a cell), so that no window holds a source, nor all sources. Points meet their
 source through equal cells of the unit interval. All rows are narrow: texts
 are read once, to count their words.
 
 Defined cases: null text has no words and is taken 0 times; repeated rows are
-rows of their own; without any word all is 0. Reruns agree.
+rows of their own; rows without id are ordered by their place; without any
+word all is 0. Reruns on the same files agree.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, shared_dir, table, written
+from .common import ASCII_WORD, ranks, shared_dir, table, written
 
 WEIGHTS = (3, 1, 2)
 SLOTS = 1 << 16
@@ -58,14 +62,15 @@ def golden_point(i):
 
 def targets(sizes: DataFrame, total: float = 1.5, repeat: int = 2) -> DataFrame:
     """Of rows (source, source_size): adds k (its number by code point), weight and target."""
-    # one row a source: the numbering is the only step in one task
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    t = sizes.withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    path = shared_dir(sizes.sparkSession)
+    number, n = ranks(sizes.select("source").where("source is not null"), path, "names")
+    number = number.withColumnsRenamed({"value": "_name", "rank": "k"})
+    t = sizes.join(F.broadcast(number) if n <= 100_000 else number, F.col("source") == F.col("_name"), "left").withColumn("k", F.coalesce("k", F.lit(n)).cast("long")).drop("_name")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("k") % len(WEIGHTS)).cast("int") + 1)
-    t = written(t.withColumn("weight", weight.cast("long")), shared_dir(sizes.sparkSession), "sources")
+    t = written(t.withColumn("weight", weight.cast("long")), path, "sources")
     want = total * (t.agg(F.sum("source_size")).first()[0] or 0)
     unit = 0.0
-    while True:  # each round stops one source more at least
+    while True:  # Newton's method on a concave, piecewise linear sum: each round stops all sources that are full
         full = F.col("source_size") * repeat <= F.lit(unit) * F.col("weight")
         held, weights = t.agg(F.sum(F.when(full, F.col("source_size") * repeat).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
         new = (want - held) / weights if weights else unit
@@ -103,10 +108,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     n_slots = math.ceil(total * words / block)
 
     # the schedule: stretches of the unit interval, met through equal cells
-    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = by_source.where("target > 0").withColumn("lo", F.coalesce(F.sum("target").over(upto), F.lit(0.0)))
-    stretch = stretch.withColumn("hi", F.col("lo") + F.col("target"))
-    whole = by_source.agg(F.sum("target")).first()[0] or 1.0
+    stretch = by_source.where("want > 0").select("k", "want", F.lit(0).alias("all"), F.floor(F.col("k") / 1024).cast("int").alias("cell"))
+    stretch = prefix(stretch, "all", 0, ["k"], "want", "lo").withColumn("hi", F.col("lo") + F.col("want"))
+    whole = by_source.agg(F.sum("want")).first()[0] or 1
     stretch = stretch.select("k", (F.col("lo") / whole).alias("lo"), (F.col("hi") / whole).alias("hi"))
     stretch = stretch.withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))))
     slot = spark.range(n_slots).select(F.col("id").alias("i"), golden_point(F.col("id")).alias("u"))
@@ -122,7 +126,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     # the streams: each document's stretch of its source's shuffled words, in every round
     n_cells = cells_for(n, 512)
-    stream = rows.where("size > 0").select("row", "doc_id", "source", "size").withColumn("h", F.xxhash64("doc_id", F.lit(17)))
+    stream = rows.where("size > 0").select("row", "doc_id", "source", "size").withColumn("h", F.xxhash64(F.coalesce("doc_id", "row"), F.lit(17)))
     stream = stream.withColumn("cell", F.pmod(F.shiftrightunsigned("h", 40), F.lit(n_cells)).cast("int"))
     known = by_source.select(F.col("source").alias("s"), "k", "source_size")
     stream = stream.join(known, F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "k", "size", "source_size", "h", "cell")
