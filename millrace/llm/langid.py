@@ -8,8 +8,9 @@ sum of the unit profiles of its training texts. A text gets the language
 whose prototype has the largest cosine with its profile, ties to the smaller
 name; that cosine, held to 0..1, is the score.
 
-Bound: at most ``max_rows`` training rows (those of smallest id hash) are
-learned from; the prototypes are 1,024 numbers a language.
+Bound: at most ``max_rows`` training rows are learned from, those of the smallest
+id hashes (ids whose hash ties at the bound are left out); the prototypes are
+1,024 numbers a language, of ``max_langs`` at most, else an error.
 
 Defined cases: text that is null or has no letter is `und` with score 0, as is
 every text when nothing could be learned; rows without lang, or held out,
@@ -87,13 +88,13 @@ def _parts(texts: list[str | None], chars: int = 1 << 17) -> Iterator[tuple[int,
         yield start, texts[start:]
 
 
-def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000) -> dict[str, np.ndarray]:
+def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_langs: int = 1000) -> dict[str, np.ndarray]:
     """A unit vector for each language of the rows that may teach."""
     may = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = may.select(id_col).count()
+    h = F.xxhash64(id_col, F.lit(5))
+    n, bound = may.select(h.alias("h")).orderBy("h").limit(max_rows + 1).agg(F.count("*"), F.max("h")).first()
     if n > max_rows:
-        share = int(max_rows / n * (1 << 31))
-        may = may.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 31)) < share)
+        may = may.where(h < bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, total = Profiles(), {}
@@ -109,6 +110,8 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     parts = may.select(F.col(text_col).alias("t"), F.col(lang_col).alias("g")).mapInArrow(run, "lang string, i int, v double")
     out: dict[str, np.ndarray] = {}
+    if may.select(lang_col).distinct().limit(max_langs + 1).count() > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     for lang, i, v in parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
         out.setdefault(lang, np.zeros(DIM))[i] = v
     return {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(out.items()) if np.linalg.norm(v)}
