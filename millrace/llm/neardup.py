@@ -172,7 +172,7 @@ def candidates(nodes: DataFrame, path: str, *, trees: int = TREES, longest: int
     free = F.get(miss, F.lit(0)) * (trees - F.col("n"))
     enough = F.array_position(F.transform("missed", lambda m: m + free <= float(np.log(1 - recall))), True).cast("int")
     less = sums.select("node", (F.when(enough == 0, levels).otherwise(enough) - 1).alias("less"))
-    deep = crowded.join(less, "node").withColumn("use", F.greatest(F.lit(0), F.col("level") - F.col("less")))
+    deep = crowded.join(less.hint("merge"), "node").withColumn("use", F.greatest(F.lit(0), F.col("level") - F.col("less")))
     used = deep.where("use < level").select(F.get("cell", "use").alias("cell"), F.get("size", "use").alias("n")).distinct()
     member = crowded.select("node", F.explode(F.slice(F.arrays_zip("cell", "centre"), F.lit(1), F.col("level"))).alias("x")).select("node", "x.cell", "x.centre")
     more = join_split(member, written(used, path, "used"), ["cell"], "n", nodes.count() * trees)
