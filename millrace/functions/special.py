@@ -225,3 +225,37 @@ def cubic_roots(a: Column, b: Column, c: Column) -> Column:
     s = -F.signum(r) * F.cbrt(F.abs(r) + F.sqrt(F.greatest(r * r - q * q * q, F.lit(0.0))))
     one = F.array(s + F.when(s == 0, 0.0).otherwise(q / F.when(s == 0, 1.0).otherwise(s)) - a / 3)
     return F.when((r * r < q * q * q), three).otherwise(one)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (Lentz's way of evaluating one)."""
+    if not 0 < x < 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    top, low, out = 1.0, 0.0, 1.0
+    for i in range(2000):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        low = 1 / (1 + step * low or 1e-300)
+        top = 1 + step / top or 1e-300
+        out *= top * low
+        if i and abs(top * low - 1) < 1e-15:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) * (out - 1) / a
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """The share of a beta distribution below x."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([_beta_share(*v) if all(c == c for c in v) else None for v in zip(a, b, x, strict=True)], dtype="float64")
+
+    return run(lit(a), lit(b), lit(x))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import trees
+from . import intervals, trees
+from .ordered import numbered
 
 
 def edges(arg: DataFrame, start: float, end: float) -> DataFrame:
@@ -27,11 +28,12 @@ def recombinations(arg: DataFrame, start: float, end: float) -> DataFrame:
 
 
 def blocks(arg: DataFrame, start: float, end: float) -> DataFrame:
-    """(lo, hi): the parts between neighbouring recombinations. Their positions are ordered in one task."""
+    """(lo, hi): the parts between neighbouring recombinations."""
     spark = arg.sparkSession
     at = recombinations(arg, start, end).select(F.col("pos").cast("double").alias("lo")).union(spark.createDataFrame([(float(start),)], "lo double")).distinct()
-    out = at.withColumn("hi", F.coalesce(F.lead("lo").over(Window.partitionBy(F.lit(0)).orderBy("lo")), F.lit(float(end))))
-    return out.where("lo < hi")
+    n = numbered(at, ["lo"], "i")
+    after = n.select((F.col("i") - 1).alias("i"), F.col("lo").alias("hi"))
+    return n.join(after, "i", "left").select("lo", F.coalesce("hi", F.lit(float(end))).alias("hi")).where("lo < hi")
 
 
 def local_trees(arg: DataFrame, parts: DataFrame, start: float, end: float) -> DataFrame:
@@ -40,8 +42,9 @@ def local_trees(arg: DataFrame, parts: DataFrame, start: float, end: float) -> D
     Nodes that no leaf reaches are left out, as is all above the lowest
     common ancestor of the leaves.
     """
-    e = edges(arg, start, end)
-    met = parts.select(F.col("lo").alias("tree_id")).join(e, (F.col("lo") <= F.col("tree_id")) & (F.col("tree_id") < F.col("hi")))
+    e = edges(arg, start, end).withColumnsRenamed({"lo": "s", "hi": "e"})
+    width = (end - start) / max(1, parts.count()) or 1.0
+    met = intervals.stab(parts.select(F.col("lo").alias("tree_id")), e, [], width, "tree_id").where("tree_id < e")
     ups = met.select("tree_id", F.col("child").alias("node"), "parent")
     tops = ups.select("tree_id", F.col("parent").alias("node")).distinct().join(ups.select("tree_id", "node"), trees.ID, "left_anti")
     nodes = ups.union(tops.select("tree_id", "node", F.lit(None).cast("string")))

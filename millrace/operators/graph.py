@@ -11,6 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not conf:
             import tempfile
 
@@ -32,6 +34,8 @@ def closure(tree: DataFrame, node: str = "node", parent: str = "parent", rounds:
         far = paths.where("depth > 0").select(F.col(node).alias("_n"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
         on = new.join(far, F.col("ancestor") == F.col("_n")).select(node, F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
         paths, hop = cut(paths.union(new).union(on).distinct()), new
+    else:
+        raise ValueError(f"not settled after {rounds} rounds: the table has a cycle")
     return paths
 
 

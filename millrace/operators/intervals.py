@@ -41,26 +41,41 @@ def subtract(a: DataFrame, b: DataFrame, key: list[str], s: str = "s", e: str =
     return cut.where("on").groupBy(*key, "run").agg(F.min(s).alias(s), F.max(e).alias(e)).drop("run")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: list[str], width: int, inclusive: bool = True) -> DataFrame:
+def _cell_width(df: DataFrame, s: str, e: str) -> float:
+    """The mean length of the intervals and one: an interval then reaches two cells or so."""
+    return float(df.agg(F.avg(F.col(e) - F.col(s))).first()[0] or 0) + 1
+
+
+def _starts_in(points: DataFrame, df: DataFrame, key: list[str], point: str, s: str, e: str, width: float) -> DataFrame:
+    """Rows of points beside the intervals of df whose cells hold the point."""
+    cells = df.withColumn("_c", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    return points.withColumn("_c", F.floor(F.col(point) / width)).join(cells, [*key, "_c"]).drop("_c")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, key: list[str], width: float | None = None, inclusive: bool = True) -> DataFrame:
     """Pairs of overlapping intervals of a (s, e) and b (s2, e2) of equal key.
 
-    Both are dealt into cells of `width`; a pair is made in the first cell that
-    both reach, so that long groups spread over tasks and no pair is made twice.
+    Of two that overlap, one starts within the other: each side's starts meet the
+    other side's intervals, dealt into cells of `width` (at default their mean length
+    and one), so that long groups spread over tasks and no pair is made twice.
     """
+    touch = (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) if inclusive else (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))
+    one = _starts_in(a, b, key, "s", "s2", "e2", width or _cell_width(b, "s2", "e2")).where(touch & (F.col("s2") <= F.col("s")))
+    two = _starts_in(b, a, key, "s2", "s", "e", width or _cell_width(a, "s", "e")).where(touch & (F.col("s2") > F.col("s")))
+    return one.unionByName(two)
 
-    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("_c", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
 
-    met = cells(a, "s", "e").join(cells(b, "s2", "e2"), [*key, "_c"])
-    first = F.col("_c") == F.floor(F.greatest("s", "s2") / width)
-    touch = (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) if inclusive else (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))
-    return met.where(first & touch).drop("_c")
+def stab(points: DataFrame, df: DataFrame, key: list[str], width: float | None = None, point: str = "p") -> DataFrame:
+    """Intervals (s, e) of df that hold a point of the same key; cells as in overlap_join()."""
+    met = _starts_in(points, df, key, point, "s", "e", width or _cell_width(df, "s", "e"))
+    return met.where((F.col("s") <= F.col(point)) & (F.col(point) <= F.col("e")))
+
 
+def following(points: DataFrame, df: DataFrame, key: list[str], point: str = "p") -> DataFrame:
+    """Adds to points `next`: the start of the first interval of df, of equal key, that starts at the point or after; null without one."""
+    from .relational import brackets
 
-def stab(points: DataFrame, df: DataFrame, key: list[str], width: int, point: str = "p") -> DataFrame:
-    """Intervals (s, e) of df that hold a point of the same key."""
-    cells = df.withColumn("_c", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
-    return points.withColumn("_c", F.floor(F.col(point) / width)).join(cells, [*key, "_c"]).where((F.col("s") <= F.col(point)) & (F.col(point) <= F.col("e"))).drop("_c")
+    return brackets(points, df.select(*key, "s"), key, point, "s").drop("below").withColumnRenamed("above", "next")
 
 
 def rectangle_join(a: DataFrame, b: DataFrame, key: list[str], width: float) -> DataFrame:

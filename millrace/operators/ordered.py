@@ -91,3 +91,47 @@ def percentile(df: DataFrame, by: list[str], value: str, p: float, ceil: bool =
     n = F.count("*").over(Window.partitionBy(*by))
     at = F.least(n - 1, F.greatest(F.lit(0), (F.ceil if ceil else F.floor)(n * p)))
     return df.withColumn("_n", F.row_number().over(w) - 1).withColumn("_at", at).where("_n = _at").select(*by, F.col(value).alias("v"))
+
+
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """The rows sorted by ranges, with `_part` (the range's number) and `_at` (the place in it), written to the checkpoint folder."""
+    from .graph import cut
+
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(df.sort(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}))
+
+
+def numbered(df: DataFrame, order: list, out: str, first: int = 0) -> DataFrame:
+    """Adds the rows' numbers in an order over the whole table: only the ranges' sizes meet in one task."""
+    rows = ranged(df, order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")
+
+
+def event_windows(df: DataFrame, by: list[str], x: str, width: int, min_size: int = 0) -> DataFrame:
+    """(by, low, high, n, mean): windows of a width that slide over the distinct values of x and stop wherever a value enters or leaves.
+
+    The first window is [least, least + width); a later one holds what is above low and
+    at most high. The largest value in a window isn't counted in n and mean. A group's
+    values meet its windows by cells of the window's width, so long groups spread.
+    """
+    xs = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")).distinct()
+    ends = xs.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    stops = xs.select(*by, F.explode(F.array(F.col("_x"), F.col("_x") - width)).alias("low")).distinct()
+    stops = stops.join(ends, by) if by else stops.join(F.broadcast(ends))
+    stops = stops.where((F.col("low") == F.col("_lo")) | ((F.col("low") > F.col("_lo")) & (F.col("low") <= F.col("_hi") - width)))
+    stops = stops.withColumn("_c", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("low") / width) + 1)))
+    met = stops.join(xs.withColumn("_c", F.floor(F.col("_x") / width)), [*by, "_c"])
+    first = F.col("low") == F.col("_lo")
+    inside = F.when(first, (F.col("_x") >= F.col("low")) & (F.col("_x") < F.col("low") + width)).otherwise((F.col("_x") > F.col("low")) & (F.col("_x") <= F.col("low") + width))
+    got = met.where(inside).groupBy(*by, "low").agg((F.count("*") - 1).alias("n"), (F.sum("_x") - F.max("_x")).alias("_s"))
+    return got.where(F.col("n") >= min_size).select(*by, "low", (F.col("low") + width).alias("high"), "n", F.try_divide("_s", "n").alias("mean"))
+
+
+def spearman_z(df: DataFrame, by: list[str], a: str, b: str, tie: str) -> DataFrame:
+    """(by, z): the rank test's score (6R - n(n^2 - 1)) / (n (n + 1) sqrt(n - 1)), of ranks whose ties go by `tie`."""
+    n = F.count("*")
+    ranks = df.select(*by, *(F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).alias(f"_{k}") for k, c in (("a", a), ("b", b))))
+    r = F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b"))).cast("double")
+    return ranks.groupBy(*by).agg(F.try_divide(6 * r - n * (n * n - 1), n * (n + 1) * F.sqrt(n - 1)).alias("z"))

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def histtab(df: DataFrame, cols: list[str], count: str = "count", percent: str | None = "percent") -> DataFrame:
-    """Frequency table: distinct values, count and share of all rows. The sum runs over groups, not rows."""
+    """Frequency table: distinct values, count and share of all rows; the number of rows is one row that is broadcast."""
     out = df.groupBy(*cols).agg(F.count("*").alias(count))
     if percent:
-        out = out.withColumn(percent, F.col(count) / F.sum(count).over(Window.partitionBy(F.lit(0))))
+        total = df.agg(F.count("*").alias("_total"))
+        out = out.join(F.broadcast(total)).withColumn(percent, F.col(count) / F.col("_total")).drop("_total")
     return out
 
 
@@ -78,9 +81,14 @@ def transpose(df: DataFrame, i: str, j: str) -> DataFrame:
     return df.withColumnsRenamed({i: "_i", j: i}).withColumnRenamed("_i", j)
 
 
-def submatrix(df: DataFrame, i: str, j: str, rows: list | None = None, cols: list | None = None) -> DataFrame:
-    df = df.where(F.col(i).isin(rows)) if rows is not None else df
-    return df.where(F.col(j).isin(cols)) if cols is not None else df
+def submatrix(df: DataFrame, i: str, j: str, rows: list | DataFrame | None = None, cols: list | DataFrame | None = None) -> DataFrame:
+    """The cells of the rows and columns of a list, or of a table with one column."""
+    for c, keep in ((i, rows), (j, cols)):
+        if isinstance(keep, DataFrame):
+            df = df.join(keep.toDF(c), c, "left_semi")
+        elif keep is not None:
+            df = df.where(F.col(c).isin(keep))
+    return df
 
 
 def all_extreme(df: DataFrame, by: list[str], value: str, largest: bool = True) -> DataFrame:
@@ -116,7 +124,7 @@ def one_to_ones(members: DataFrame, part: str, species: str) -> DataFrame:
 def families(members: DataFrame, part: str, item: str, first: int = 0) -> DataFrame:
     """(famid, genes): parts numbered from `first` in order, their items joined by commas."""
     rows = members.groupBy(part).agg(F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), ",").alias("genes"))
-    return rows.select((F.row_number().over(Window.orderBy(part)) - 1 + first).alias("famid"), "genes")
+    return numbered(rows, [part], "famid", first).select("famid", "genes")
 
 
 def family_members(families_: DataFrame) -> DataFrame:
@@ -154,3 +162,24 @@ def block_best(hits: DataFrame, block: str, a: str, b: str, score: str) -> DataF
     whole = hits.select(block, F.struct(block, a).alias("_a"), F.struct(block, b).alias("_b"), F.col(score).alias("_score"))
     best = best_bidirectional(whole, "_a", "_b", "_score")
     return best.groupBy(F.col(f"_a.{block}").alias(block)).agg(F.count("*").alias("n"), F.sum("_score").alias("total"))
+
+
+def unpivot(df: DataFrame, row: str, columns: list[str] | None = None) -> DataFrame:
+    """(rlabel, clabel, v) of a table whose column `row` names its rows; the other columns, or those given, are its columns."""
+    columns = columns if columns is not None else [c for c in df.columns if c != row]
+    return df.select(F.col(row).alias("rlabel"), *columns).unpivot("rlabel", columns, "clabel", "v")
+
+
+def joined_parts(memberships: list[DataFrame], item: str, part: str) -> DataFrame:
+    """(item, part): the parts of several partitions that share items, joined; a part is named by its smallest item."""
+    from . import graph
+
+    stars = [m.join(m.groupBy(part).agg(F.min(item).alias("_a")), part).select(F.col("_a").alias("a"), F.col(item).alias("b")) for m in memberships]
+    return graph.components(reduce(DataFrame.union, stars)).select(F.col("item").alias(item), F.col("component").alias(part))
+
+
+def region_lookup(regions: DataFrame, key: str = "ID") -> DataFrame:
+    """The rows of regions with an attribute `key`, by it in column `id`; a value given twice is an error, rows without it are left out."""
+    got = regions.withColumn("id", F.try_element_at("attrs", F.lit(key))).where("id is not null")
+    twice = Window.partitionBy("id")
+    return got.withColumn("_n", F.count("*").over(twice)).withColumn("id", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key "), F.col("id"))).cast("string")).otherwise(F.col("id"))).drop("_n")

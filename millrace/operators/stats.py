@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranged
+
 
 def bins(df: DataFrame, value: str, n: int = 20, low: float | None = None, width: float | None = None) -> DataFrame:
     """Adds `bin`: min(int((x - low) / width), n - 1); low and width from the data at default. The limits are one row."""
@@ -68,10 +70,11 @@ def one_norm(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     return df.join(total, by).withColumn(out, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
 
 
-def log_sum(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """ln(sum(exp(x))) of each group, without the terms over 15 below the largest; two passes of partial sums."""
+def log_sum(df: DataFrame, by: list[str], value: str, out: str, within: float | None = None) -> DataFrame:
+    """ln(sum(exp(x))) of each group, by two passes of partial sums; `within` leaves out the terms that far below the largest."""
     top = df.groupBy(*by).agg(F.max(value).alias("_m"))
-    near = df.join(top, by).where(F.col(value) >= F.col("_m") - 15)
+    near = df.join(top, by)
+    near = near.where(F.col(value) >= F.col("_m") - within) if within is not None else near
     return near.groupBy(*by, "_m").agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s")).select(*by, (F.col("_m") + F.ln("_s")).alias(out))
 
 
@@ -86,10 +89,20 @@ def q_values(df: DataFrame, by: list[str], p: str, out: str = "q") -> DataFrame:
     Equal values are ranked once, so a window holds distinct ones only.
     """
     n = df.groupBy(*by, p).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    rank = F.sum("_k").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
-    n = n.withColumn("_q", F.col(p) * F.sum("_k").over(w) / rank)
-    n = n.withColumn("_q", F.min("_q").over(w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)))
+    if by:
+        w = Window.partitionBy(*by)
+        n = n.withColumn("_q", F.col(p) * F.sum("_k").over(w) / F.sum("_k").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)))
+        n = n.withColumn("_q", F.min("_q").over(w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)))
+    else:  # in ranges, of which only the sums and least values meet in one task
+        n = ranged(n, [p])
+        part, parts = Window.partitionBy("_part"), Window.orderBy("_part")
+        sums = n.groupBy("_part").agg(F.sum("_k").alias("_s"))
+        sums = sums.select("_part", F.coalesce(F.sum("_s").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+        rank = F.col("_before") + F.sum("_k").over(part.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+        n = n.join(F.broadcast(sums), "_part").withColumn("_q", F.col(p) * F.col("_all") / rank)
+        later = n.groupBy("_part").agg(F.min("_q").alias("_l")).select("_part", F.min("_l").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        here = F.min("_q").over(part.orderBy("_at").rowsBetween(0, Window.unboundedFollowing))
+        n = n.join(F.broadcast(later), "_part").withColumn("_q", F.least(here, "_later"))
     return df.join(n.select(*by, p, F.least("_q", F.lit(1.0)).alias(out)), [*by, p])
 
 
@@ -121,3 +134,66 @@ def rank_of(df: DataFrame, by: list[str], value: str, x: float) -> DataFrame:
     """(by, rank, share): how many values are at most x, and their share of one more than all."""
     n = F.count_if(F.col(value) <= x)
     return df.groupBy(*by).agg(n.alias("rank"), (n / (F.count(value) + 1)).alias("share"))
+
+
+def pair_matrix(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, x, y, cov, r) of every two of the columns, x and y in both orders: sample covariance and correlation() in one pass."""
+    pairs = [(x, y) for x in columns for y in columns]
+    aggs = [f(x, y).alias(f"{k}{i}") for i, (x, y) in enumerate(pairs) for k, f in (("c", F.covar_samp), ("r", correlation))]
+    rows = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("cov"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(pairs)))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(rows))
+
+
+def modes(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, mode, n): the commonest value of each group; of equals the smallest."""
+    n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return n.groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col(value).alias("v"))).alias("_m")).select(*by, F.col("_m.v").alias("mode"), (-F.col("_m.k")).alias("n"))
+
+
+def products(value: str) -> list[Column]:
+    """prod and log_prod of values above 0, as aggregates."""
+    log = F.sum(F.ln(value))
+    return [F.product(value).alias("prod"), log.alias("log_prod")]
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """The chance of a correlation above r in n samples, by Student's t: half an incomplete beta function."""
+    from ..functions.special import beta_share
+
+    df = n.cast("double") - 2
+    tail = 0.5 * beta_share(df / 2, F.lit(0.5), 1 - r * r)
+    return F.when(r >= 0, tail).otherwise(1 - tail)
+
+
+def goodness_of_fit(df: DataFrame, value: str, cdf, divisions: int = 20, least: int = 5) -> DataFrame:
+    """(chi2, df): observed against expected numbers in bins of equal counts, cdf being a function of a column.
+
+    A bin has n // divisions rows in order of value, or where that is under `least`
+    n // (n // least) of them; the last bin has the rest. A bin reaches from its first value to the next bin's, the
+    first and the last bin to the ends.
+    """
+    from .ordered import numbered
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if n == 0:
+        return df.sparkSession.range(0).select(F.lit(0.0).alias("chi2"), F.lit(0).cast("long").alias("df"))
+    size = n // divisions
+    size = size if size >= least else n // max(1, n // least)
+    bins = numbered(rows, ["v"], "_i").groupBy(F.floor(F.col("_i") / size).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    w = Window.orderBy("bin")  # about `divisions` rows
+    high = F.lead("low").over(w)
+    low = F.when(F.lag("low").over(w).isNull(), F.lit(0.0)).otherwise(cdf(F.col("low")))
+    bins = bins.withColumn("expected", n * (F.coalesce(cdf(high), F.lit(1.0)) - low))
+    return bins.agg(F.sum((F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")) / F.col("expected")).alias("chi2"), (F.count("*") - 1).alias("df"))
+
+
+def weighted_pick(choices: DataFrame, item: str, weight: str, u: Column, rows: DataFrame) -> DataFrame:
+    """Adds `item` to rows: that whose stretch of the cumulative weights, in order of item, holds u (0..1). Choices are few and broadcast."""
+    w = Window.orderBy(item)
+    if choices.limit(100_001).count() > 100_000:
+        raise ValueError("more than 100,000 choices")
+    part = choices.where(F.col(weight) > 0).select(F.col(item).alias("_item"), F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"), F.sum(weight).over(Window.partitionBy()).alias("_all"))
+    table = part.agg(F.sort_array(F.collect_list(F.struct((F.col("_hi") / F.col("_all")).alias("h"), F.col("_item").alias("i")))).alias("_t"))
+    found = F.filter("_t", lambda x: x["h"] > F.col("_u"))
+    return rows.withColumn("_u", u).join(F.broadcast(table)).withColumn(item, F.coalesce(F.get(found, F.lit(0))["i"], F.element_at("_t", -1)["i"])).drop("_u", "_t")

@@ -201,6 +201,25 @@ def topology(t: Tree, name: Callable = str) -> str:
     return t.fold(lambda n, got: f"({','.join(sorted(got))})" if got else name(n))[t.root]
 
 
+def in_topology_order(t: Tree) -> Tree:
+    """The children of every node in the order of their topology strings; names are those the table order gives them."""
+    key = t.fold(lambda n, got: f"({','.join(sorted(got))})" if got else str(n))
+    for kids in t.kids.values():
+        kids.sort(key=lambda k: key[k])
+    return t
+
+
+def unrooted(t: Tree) -> Tree:
+    """A root of two children gives way to one that isn't a leaf, whose branch takes both lengths; others stay."""
+    inner = [k for k in t.kids[t.root] if t.kids[k]]
+    if len(t.kids[t.root]) != 2 or not inner:
+        return t
+    top = inner[0]
+    other = next(k for k in t.kids[t.root] if k != top)
+    rows = [(n, None if n == top else top if n == other else p, 0.0 if n == top else d + t.dist[top] if n == other else d) for n, p, d in t.rows() if n != t.root]
+    return Tree(rows)
+
+
 def newick(t: Tree, lengths: bool = True) -> str:
     def one(n, got):
         end = f":{t.dist[n]:f}" if lengths and n != t.root else ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -91,11 +91,10 @@ def part_lookup(spark, d):
     return relational.part_lookup(a, t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("p2")), "k", "p1", "p2")
 
 
-@query("""SELECT c_mktsegment, count(*) FILTER (WHERE c_nationkey = 0) AS c0, count(*) FILTER (WHERE c_nationkey = 1) AS c1,
-  count(*) FILTER (WHERE c_nationkey = 2) AS c2 FROM customer GROUP BY 1""")
+@query(f"SELECT c_mktsegment, {', '.join(f'count(*) FILTER (WHERE c_nationkey = {i}) AS c{i}' for i in range(25))} FROM customer GROUP BY 1")
 def matrix_pivot(spark, d):
     cells = t(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("v"))
-    return relational.to_matrix(cells, "c_mktsegment", "c_nationkey", "v", [0, 1, 2])
+    return relational.to_matrix(cells, "c_mktsegment", "c_nationkey", "v", list(range(25)))
 
 
 @query("SELECT c_nationkey AS i, c_mktsegment AS j, count(*) AS v FROM customer GROUP BY 1, 2")
@@ -155,32 +154,20 @@ def interval_subtract(spark, d):
 @query(f"WITH {IV} SELECT a.k, a.id, b.id AS id2 FROM iv a JOIN iv b ON a.k = b.k AND a.id < b.id AND a.s <= b.e AND b.s <= a.e")
 def overlap_join(spark, d):
     iv = spans(spark, d).drop("pr")
-    return intervals.overlap_join(iv, iv.withColumnsRenamed({"id": "id2", "s": "s2", "e": "e2"}), ["k"], 60).where("id < id2").select("k", "id", "id2")
+    return intervals.overlap_join(iv, iv.withColumnsRenamed({"id": "id2", "s": "s2", "e": "e2"}), ["k"]).where("id < id2").select("k", "id", "id2")
 
 
 @query(f"WITH {IV} SELECT k, o_orderkey, id FROM iv JOIN (SELECT o_custkey AS k, o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS p FROM orders) USING (k) WHERE s <= p AND p <= e")
 def stab(spark, d):
     p = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("p"))
-    return intervals.stab(p, spans(spark, d), ["k"], 60).select("k", "o_orderkey", "id")
+    return intervals.stab(p, spans(spark, d), ["k"]).select("k", "o_orderkey", "id")
 
 
-RECT = "q AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_quantity) AS x1, max(l_quantity) AS x2, min(l_linenumber) * 5.0 AS y1, max(l_linenumber) * 5.0 AS y2 FROM lineitem WHERE l_discount < 0.03 GROUP BY 1, 2)"
+RECT = "q AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_quantity) AS x1, max(l_quantity) AS x2, min(l_linenumber) * 5.0 AS y1, max(l_linenumber) * 5.0 AS y2 FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f"WITH {RECT} SELECT a.k, a.id, b.id AS id2 FROM q a JOIN q b ON a.k = b.k AND a.id < b.id AND a.x2 > b.x1 AND a.x1 <= b.x2 AND a.y2 > b.y1 AND a.y1 <= b.y2")
 def rectangle_overlap(spark, d):
-    five = F.lit(5.0)
-    q = t(spark, d, "lineitem").where("l_discount < 0.03").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), (F.min("l_linenumber") * five).alias("y1"), (F.max("l_linenumber") * five).alias("y2"))
-    b = q.withColumnsRenamed({"id": "id2", "x1": "u1", "x2": "u2", "y1": "v1", "y2": "v2"})
-    return intervals.rectangle_join(q, b, ["k"], 20.0).where("id < id2").select("k", "id", "id2")
-
-
-RECT_ALL = "q AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_quantity) AS x1, max(l_quantity) AS x2, min(l_linenumber) * 5.0 AS y1, max(l_linenumber) * 5.0 AS y2 FROM lineitem GROUP BY 1, 2)"
-
-
-@query(f"WITH {RECT_ALL} SELECT a.k, a.id, b.id AS id2 FROM q a JOIN q b ON a.k = b.k AND a.id < b.id AND a.x2 > b.x1 AND a.x1 <= b.x2 AND a.y2 > b.y1 AND a.y1 <= b.y2")
-def rectangle_overlap_all(spark, d):
-    """As rectangle_overlap, of the rectangles of every line item."""
     five = F.lit(5.0)
     q = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), (F.min("l_linenumber") * five).alias("y1"), (F.max("l_linenumber") * five).alias("y2"))
     b = q.withColumnsRenamed({"id": "id2", "x1": "u1", "x2": "u2", "y1": "v1", "y2": "v2"})
@@ -325,15 +312,14 @@ def tree_lca(spark, d):
     return graph.lca(graph.closure(tree(spark, d)), pairs, "a", "b")
 
 
-EDGES = "SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity > 45 AND b.l_quantity > 45 AND a.l_discount > 0.07 AND b.l_discount > 0.07"
-
-
-@query(f"""WITH RECURSIVE e AS ({EDGES}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c AS (SELECT a AS item, a AS x FROM s UNION SELECT c.item, s.b FROM c JOIN s ON c.x = s.a)
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS b, lag(o_orderkey) OVER w AS a, date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+  e AS (SELECT a, b FROM o WHERE gap <= 120), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c AS (SELECT o_orderkey AS item, o_orderkey AS x FROM orders UNION SELECT c.item, s.b FROM c JOIN s ON c.x = s.a)
   SELECT item, min(x) AS component FROM c GROUP BY item""")
 def components(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity > 45 and l_discount > 0.07").select("l_orderkey", "l_partkey")
-    pairs = li.select("l_orderkey", F.col("l_partkey").alias("a")).join(li.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b")
-    return graph.components(pairs.select("a", "b"))
+    """Orders linked by the same customer's next one within 120 days; one alone is its own component."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("b"), F.lag("o_orderkey").over(w).alias("a"), F.datediff(F.col("o_orderdate").cast("date"), F.lag("o_orderdate").over(w).cast("date")).alias("gap"))
+    return graph.components(o.select(F.when(F.col("gap") <= 120, F.col("a")).otherwise(F.col("b")).alias("a"), "b"))
 
 
 @query(None)
@@ -391,7 +377,7 @@ def one_norm(spark, d):
     return stats.one_norm(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "share").select("o_orderkey", F.round("share", 6).alias("share"))
 
 
-@query("""SELECT p_brand, round(m + ln(sum(exp(x - m)) FILTER (WHERE x >= m - 15)), 6) AS v FROM (SELECT p_brand, p_size / 3.0::DOUBLE AS x,
+@query("""SELECT p_brand, round(m + ln(sum(exp(x - m))), 6) AS v FROM (SELECT p_brand, p_size / 3.0::DOUBLE AS x,
   max(p_size / 3.0::DOUBLE) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY p_brand, m""")
 def log_sum(spark, d):
     x = t(spark, d, "part").select("p_brand", (F.col("p_size") / F.lit(3.0)).alias("x"))
@@ -403,17 +389,17 @@ def mean_squared_error(spark, d):
     return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.error("l_tax", "l_discount"), 8).alias("mse"))
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size IN (1, 2, 3) AND p_partkey <= 20")
+@query("SELECT l_suppkey, l_linenumber, n FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE l_linenumber IN (1, 3, 5, 7) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def submatrix(spark, d):
-    m = t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    return relational.submatrix(m, "p_partkey", "p_size", list(range(1, 21)), [1, 2, 3])
+    m = t(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    return relational.submatrix(m, "l_suppkey", "l_linenumber", t(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey"), [1, 3, 5, 7])
 
 
-@query("""WITH a AS (SELECT p_brand, p_partkey AS item FROM part), b AS (SELECT p_size, p_partkey AS item FROM part WHERE p_size < 5), k AS (SELECT p_brand, p_size, count(*) AS k FROM a JOIN b USING (item) GROUP BY 1, 2)
+@query("""WITH a AS (SELECT p_brand, p_partkey AS item FROM part), b AS (SELECT p_brand AS p_size, p_partkey AS item FROM part), k AS (SELECT p_brand, p_size, count(*) AS k FROM a JOIN b USING (item) GROUP BY 1, 2)
   SELECT k.p_brand AS p1, k.p_size AS p2 FROM k JOIN (SELECT p_brand, count(*) AS n FROM a GROUP BY 1) x USING (p_brand) JOIN (SELECT p_size, count(*) AS m FROM b GROUP BY 1) y USING (p_size) WHERE k = n AND k = m""")
 def same_parts(spark, d):
     p = t(spark, d, "part")
-    return relational.same_parts(p.select("p_partkey", F.col("p_brand").alias("q")), p.where("p_size < 5").select("p_partkey", F.col("p_size").alias("q")), "p_partkey", "q")
+    return relational.same_parts(p.select("p_partkey", F.col("p_brand").alias("q")), p.select("p_partkey", F.col("p_brand").alias("q")), "p_partkey", "q")
 
 
 @query("SELECT p_brand, p_size, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1, 2")

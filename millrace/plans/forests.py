@@ -62,10 +62,13 @@ def species_events(spark, d):
 
 
 def _pairs(event: str, skip: str) -> str:
-    return f"""WITH {RECON}, c AS (SELECT tree_id, leaf, f AS node, leaf AS side, s FROM g UNION ALL SELECT tree_id, leaf, 'o', f, s FROM g),
-  k AS (SELECT *, count(*) OVER (PARTITION BY tree_id, node, side, s) AS n FROM c)
-  SELECT a.tree_id, a.node, a.leaf AS a, b.leaf AS b, a.n AS n_a, b.n AS n_b FROM k a JOIN k b ON a.tree_id = b.tree_id AND a.node = b.node AND a.side <> b.side AND a.leaf < b.leaf
-  JOIN recon ON recon.tree_id = a.tree_id AND recon.node = a.node WHERE event = '{event}'{skip}"""
+    """Pairs from lists of the leaves under a node, as DuckDB would compare all leaves otherwise."""
+    once = RECON.replace("recon AS (", "recon AS MATERIALIZED (").replace("g AS (", "g AS MATERIALIZED (", 1)
+    return f"""WITH {once}, ev AS MATERIALIZED (SELECT tree_id, node FROM recon WHERE event = '{event}'{skip}),
+  c AS (SELECT tree_id, leaf, f AS node, leaf AS side, s FROM g UNION ALL SELECT tree_id, leaf, 'o', f, s FROM g),
+  k AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree_id, node, side, s) AS n FROM c JOIN ev USING (tree_id, node)),
+  m AS (SELECT tree_id, node, list({{'leaf': leaf, 'side': side, 'n': n}}) AS kin FROM k GROUP BY 1, 2), x AS (SELECT tree_id, node, unnest(kin) AS a, kin FROM m), y AS (SELECT tree_id, node, a, unnest(kin) AS b FROM x)
+  SELECT tree_id, node, a.leaf AS a, b.leaf AS b, a.n AS n_a, b.n AS n_b FROM y WHERE a.side <> b.side AND a.leaf < b.leaf"""
 
 
 @query(_pairs("spec", ""))

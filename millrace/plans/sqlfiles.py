@@ -7,9 +7,10 @@ a result needn't fit in the driver.
 from __future__ import annotations
 
 import argparse
+import itertools
 import string
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import text
 
 
+def letters() -> Iterator[str]:
+    """a, b, ..., z, aa, ab, ..."""
+    return ("".join(x) for n in itertools.count(1) for x in itertools.product(string.ascii_lowercase, repeat=n))
+
+
 def add_views(spark: SparkSession, inputs: Iterable[str], types: dict[str, str] | None = None, delim: str = "\t", header: bool = True) -> list[str]:
-    """Registers `path` or `name=path` inputs and returns the views' names."""
+    """Registers `path` or `name=path` inputs and returns the views' names; a name given twice is an error."""
     names = []
-    for letter, item in zip(string.ascii_lowercase, inputs, strict=False):
+    for letter, item in zip(letters(), inputs, strict=False):
         name, _, path = item.rpartition("=")
         name = name or letter
+        if name.lower() in (n.lower() for n in names):
+            raise ValueError(f"two inputs are named {name}")
         text.read_table(spark, path, delim=delim, types=types, header=header).createOrReplaceTempView(name)
         names.append(name)
     return names

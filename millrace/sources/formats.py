@@ -215,15 +215,6 @@ def _sizes(line: str) -> tuple[int, int, int]:
     return n[0], n[-2], n[-1]
 
 
-def _cells(text: str) -> Iterator[tuple]:
-    lines = text.splitlines()
-    _sizes(lines[0])
-    for line in lines[1:]:
-        if line.strip():
-            i, j, v = line.split()
-            yield int(i), int(j), float(v)
-
-
 def _row_pairs(text: str) -> Iterator[tuple]:
     lines = text.splitlines()
     _sizes(lines[0])
@@ -233,8 +224,12 @@ def _row_pairs(text: str) -> Iterator[tuple]:
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(file, i, j, v) of `i j v` lines after a line of sizes."""
-    return per_file(spark, path, _cells, "i long, j long, v double")
+    """(file, i, j, v) of `i j v` lines after a line of sizes, each file's first; a file is split over tasks."""
+    c = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.csv(path, schema="value string", sep="\x01", header=True, quote="", escape="", mode="FAILFAST")
+    bad = F.raise_error(F.concat(F.lit("not three cells: "), F.col("value"))).cast("array<string>")
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.when(F.size(c) == 3, c).otherwise(bad).alias("c"))
+    return rows.select("file", F.col("c")[0].cast("long").alias("i"), F.col("c")[1].cast("long").alias("j"), F.col("c")[2].cast("double").alias("v"))
 
 
 def read_row_pairs(spark: SparkSession, path: str) -> DataFrame:

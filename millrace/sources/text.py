@@ -5,6 +5,8 @@ Headers are read on the driver (a few lines); rows are parsed by Spark.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,20 +29,46 @@ def _guess(cell: str) -> T.DataType:
     return T.BooleanType() if cell.strip().lower() in ("true", "false") else T.StringType()
 
 
-def read_table(spark: SparkSession, path: str, delim: str = "\t", header: bool = True, types: dict | None = None, guess: bool = True) -> DataFrame:
+def _head(lines: DataFrame) -> list[str]:
+    """The type directives before the second row, and the first two rows, of the first part of a text; the rest isn't read."""
+
+    def run(batches):
+        rows = 0
+        if TaskContext.get().partitionId() == 0:
+            for batch in batches:
+                got = [x for x in batch.column(0).to_pylist() if x.strip()]
+                keep = []
+                for x in got:
+                    rows += not x.startswith("#")
+                    if not x.startswith("#") or x.startswith("##types:"):
+                        keep.append(x)
+                    if rows == 2:
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["value"])
+                if rows == 2:
+                    return
+
+    return [r[0] for r in lines.mapInArrow(run, "value string").collect()]
+
+
+def read_table(spark: SparkSession, path: str, delim: str = "\t", header: bool = True, types: dict | None = None, guess: bool = True, names: list[str] | None = None) -> DataFrame:
     """A tab table with an optional ##types: line, # comments, blank lines and a header row.
 
     Types: the given ones, else those of the directive, else a guess from the
     first row, else string. A row of another width, or a cell that isn't of its
-    type, raises an error.
+    type, raises an error. With `names` the columns are named so and every line is a
+    row. A header is the first line of a file that is neither blank nor a comment, and
+    only that one: a row that repeats it is a row. The directive stands before the
+    second row, in the first part of the first file.
     """
-    head = [r[0] for r in spark.read.text(path).where("trim(value) <> ''").limit(200).collect()]
+    head = _head(spark.read.text(path))
     directive = next((x.split(":", 1)[1].split(delim) for x in head if x.startswith("##types:")), None)
     body = [x for x in head if not x.startswith("#")]
     if not body:
         raise TableError(f"{path}: no rows")
+    header = header and names is None
     first = body[0].split(delim)
-    names = first if header else [f"_{i}" for i in range(len(first))]
+    names = names or (first if header else [f"_{i}" for i in range(len(first))])
     if len(set(names)) < len(names):
         raise TableError(f"{path}: duplicate header in {names}")
     row = body[1 if header else 0].split(delim) if len(body) > int(header) else None
@@ -52,13 +80,50 @@ def read_table(spark: SparkSession, path: str, delim: str = "\t", header: bool =
             kinds.append(TYPES[directive[i].strip()])
         else:
             kinds.append(_guess(row[i]) if guess and row and i < len(row) else T.StringType())
-    lines = spark.read.text(path).where("trim(value) <> ''").where(~F.col("value").startswith("#"))
-    if header:
-        lines = lines.where(F.col("value") != body[0])
-    cells = F.split("value", delim, -1)
-    bad = F.raise_error(F.concat(F.lit(f"{path}: wrong number of cells: "), F.col("value")))
-    checked = lines.select(F.when(F.size(cells) == len(names), cells).otherwise(bad.cast("array<string>")).alias("c"))
-    return checked.select(*(F.col("c")[i].cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
+    cells = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField("bad", T.StringType())])
+    reader = spark.read.option("columnPruning", "false").option("columnNameOfCorruptRecord", "bad")
+    got = reader.csv(path, schema=cells, sep=delim, header=header, comment="#", quote="", escape="", mode="PERMISSIVE", nullValue="\0", emptyValue="", enforceSchema=True, maxColumns=len(names) + 1024)
+    wrong = F.raise_error(F.concat(F.lit(f"{path}: wrong number of cells: "), F.col("bad")))
+    return got.select(*(F.when(F.col("bad").isNotNull(), wrong.cast("string")).otherwise(F.col(f"c{i}")).cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
+
+
+def list_files(spark: SparkSession, path: str, ext: str = "") -> DataFrame:
+    """(path, length) of the files of a folder whose names end with ext, sorted; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}").load(path).select("path", "length").sort("path")
+
+
+def read_labelled_dense(spark: SparkSession, path: str, delim: str = "\t") -> DataFrame:
+    """(rlabel, clabel, v) of a matrix whose first line names its columns and whose lines start with their row's name."""
+    rows = read_table(spark, path, delim, guess=False)
+    first, *rest = rows.columns
+    return rows.select(F.col(first).alias("rlabel"), *(F.col(f"`{c}`").cast("double").alias(c) for c in rest)).unpivot("rlabel", [f"`{c}`" for c in rest], "clabel", "v")
+
+
+def read_recon(spark: SparkSession, path: str) -> DataFrame:
+    """(node, snode, event) of a reconciliation's lines; event is null where a line has two cells."""
+    c = F.split("value", "\t")
+    return spark.read.text(path).where("trim(value) <> ''").select(c[0].alias("node"), c[1].alias("snode"), F.get(c, F.lit(2)).alias("event"))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return read_recon(spark, path).select("node", F.col("snode").alias("event"))
+
+
+def recon_lines(recon: DataFrame, events: bool = True) -> DataFrame:
+    """Lines of a reconciliation, with its events or without."""
+    return recon.select(F.concat_ws("\t", "node", "snode", *([F.coalesce("event", F.lit(""))] if events else [])).alias("value"))
+
+
+def parent_lines(nodes: DataFrame, data: list[str] | None = None) -> DataFrame:
+    """A tree's nodes as lines of node, parent (-1 for the root), distance, and the named entries of its data."""
+    more = [F.coalesce(F.try_element_at("data", F.lit(k)), F.lit("")) for k in data or []]
+    return nodes.select(F.concat_ws("\t", "node", F.coalesce("parent", F.lit("-1")), F.coalesce(F.col("dist").cast("string"), F.lit("0.0")), *more).alias("value"))
+
+
+def read_parents(spark: SparkSession, path: str) -> DataFrame:
+    """(node, parent, dist) of the lines of parent_lines()."""
+    c = F.split("value", "\t")
+    return spark.read.text(path).where("trim(value) <> ''").select(c[0].alias("node"), F.when(c[1] != "-1", c[1]).alias("parent"), c[2].cast("double").alias("dist"))
 
 
 def table_lines(df: DataFrame, delim: str = "\t") -> Column:

@@ -131,4 +131,4 @@ def test_rectangles_of_all_lines(spark, tmp_path):
         a, b, c, e = boxes.get((k, i), (x, x, y, y))
         boxes[k, i] = min(a, x), max(b, x), min(c, y), max(e, y)
     want = [(k, i, j) for (k, i), (x1, x2, y1, y2) in boxes.items() for (k2, j), (u1, u2, v1, v2) in boxes.items() if k == k2 and i < j and x2 > u1 and x1 <= u2 and y2 > v1 and y1 <= v2]
-    assert want and rows(driver.QUERIES["rectangle_overlap_all"](spark, str(tmp_path)), "k", "id", "id2") == sorted(want)
+    assert want and rows(driver.QUERIES["rectangle_overlap"](spark, str(tmp_path)), "k", "id", "id2") == sorted(want)

@@ -94,3 +94,33 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_comments_and_repeated_headers(spark, tmp_path):
+    f = tmp_path / "x.tab"
+    f.write_text("# note\n" * 250 + "##types:string\tint\n\nname\tn\na\t1\nname\t2\n# later\nb\t3\n")
+    assert [tuple(r) for r in text.read_table(spark, str(f)).collect()] == [("a", 1), ("name", 2), ("b", 3)]
+    assert [tuple(r) for r in text.read_table(spark, str(f), names=["p", "q"], types={"q": "string"}).collect()][:2] == [("name", "n"), ("a", "1")]
+
+
+def test_lists_and_labels(spark, tmp_path):
+    for n in ("b.txt", "a.txt", "c.tab"):
+        (tmp_path / n).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in text.list_files(spark, str(tmp_path), ".txt").collect()] == ["a.txt", "b.txt"]
+    m = tmp_path / "m" / "x.tab"
+    m.parent.mkdir()
+    m.write_text("row\tc1\tc2\nr1\t1\t2\nr2\t3\t4\n")
+    assert sorted(map(tuple, text.read_labelled_dense(spark, str(m)).collect())) == [("r1", "c1", 1.0), ("r1", "c2", 2.0), ("r2", "c1", 3.0), ("r2", "c2", 4.0)]
+
+
+def test_tree_tables(spark, tmp_path):
+    recon = spark.createDataFrame([("g1", "s1", "gene"), ("1", "s", "dup")], "node string, snode string, event string")
+    for events in (True, False):
+        at = str(tmp_path / f"r{events}")
+        text.recon_lines(recon, events).write.text(at)
+        want = recon.collect() if events else [(a, b, None) for a, b, _ in recon.collect()]
+        assert sorted(map(tuple, text.read_recon(spark, at).collect())) == sorted(map(tuple, want))
+    nodes = spark.createDataFrame([("r", None, 0.0, {"k": "1"}), ("a", "r", 2.5, {})], "node string, parent string, dist double, data map<string,string>")
+    text.parent_lines(nodes).write.text(str(tmp_path / "p"))
+    assert sorted(text.read_parents(spark, str(tmp_path / "p")).collect()) == [("a", "r", 2.5), ("r", None, 0.0)]
+    assert [r["value"] for r in text.parent_lines(nodes, ["k"]).collect()] == ["r\t-1\t0.0\t1", "a\tr\t2.5\t"]

@@ -32,3 +32,10 @@ def test_parts(spark):
     assert relational.family_members(fam).where(F.col("gene") == "d").first()["famid"] == 11
     other = m.select((F.col("part") * 10).alias("part"), "gene").where("gene <> 'e'")
     assert sorted(map(tuple, relational.same_parts(m.select("part", "gene"), other, "gene", "part").collect())) == [(1, 10), (2, 20)]
+
+
+def test_many_views(spark, files):
+    names = sqlfiles.add_views(spark, [files[0]] * 28)
+    assert len(names) == 28 and names[25:] == ["z", "aa", "ab"]
+    with pytest.raises(ValueError, match="two inputs"):
+        sqlfiles.add_views(spark, [files[0], f"A={files[0]}"])
