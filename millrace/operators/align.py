@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import reverse_complement
+
 #: Amino acids of the codons TTT, TTC, TTA, TTG, TCT, ... in the standard code.
 BASES = "TCAG"
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -164,7 +166,7 @@ def stops_masked(seq: Column) -> Column:
 
 def local_to_align(seq: Column) -> Column:
     """The places in the gapped sequence of its letters, from 0."""
-    return F.filter(F.transform(F.split(seq, "(?!$)"), lambda c, i: F.when(c != GAP, i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(F.split(seq, "(?!$)"), lambda c, i: F.when(~c.isin(GAP, ""), i)), lambda i: i.isNotNull())
 
 
 def align_to_local(seq: Column) -> Column:
@@ -195,3 +197,9 @@ def sampled_columns(aln: DataFrame, seed: int) -> DataFrame:
     n = aln.groupBy("aln_id").agg(F.max(F.length("seq")).alias("n")).where("n > 0")
     picks = n.select("aln_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to")).select("aln_id", F.pmod(F.xxhash64("aln_id", "to", F.lit(seed)), F.col("n")).cast("int").alias("pos"), "to")
     return _joined(letters(aln).join(picks, ["aln_id", "pos"]).select("aln_id", "name", F.col("to").alias("pos"), "c"))
+
+
+def subsequence(seq: Column, start: Column, end: Column, strand: Column) -> Column:
+    """Letters start to end (from 1, both in it; a null end is the last letter); on strand -1 their reverse complement."""
+    part = F.substring(seq, start, F.coalesce(end, F.length(seq)) - start + 1)
+    return F.when(strand == -1, reverse_complement(part)).otherwise(part)
