@@ -8,6 +8,7 @@ that tree's rows in one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -393,6 +394,92 @@ def neighbour_trees(cells: DataFrame) -> DataFrame:
     return rows.groupBy("tree_id").applyInPandas(run, "tree_id string, node string, parent string, dist double")
 
 
+def fitted_lengths(t: Tree, d: dict, weighted: bool = False, non_negative: bool = True) -> Tree:
+    """The tree with the branch lengths whose paths come nearest, by squares, to the distances of leaves (a, b) in d.
+
+    Weighted, an error counts in proportion to the distance. What the distances
+    don't settle is shared out evenly, as between the two branches of a root of two
+    children. Negative lengths become 0. Pairs without a distance don't count.
+    """
+    import numpy as np
+
+    leaves, edges = t.leaves(), [n for n in t.preorder() if n != t.root]
+    below = t.fold(lambda n, got: {n}.union(*got))
+    within = np.array([[x in below[n] for n in edges] for x in leaves], dtype=bool).reshape(len(leaves), len(edges))
+    pairs = [(i, j, d.get((a, b), d.get((b, a)))) for (i, a), (j, b) in combinations(enumerate(leaves), 2)]
+    pairs = [p for p in pairs if p[2] is not None]
+    if not pairs:
+        return t
+    i, j, far = (np.array(x) for x in zip(*pairs, strict=True))
+    crossed, far = (within[i] != within[j]).astype(float), far.astype(float)
+    if weighted:
+        root = np.sqrt(far)
+        crossed, far = np.divide(crossed, root[:, None], out=np.zeros_like(crossed), where=root[:, None] > 0), root
+    lengths = np.linalg.lstsq(crossed, far, rcond=None)[0]
+    lengths = dict(zip(edges, (np.maximum(lengths, 0.0) if non_negative else lengths).tolist(), strict=True))
+    return Tree([(n, p, lengths.get(n, 0.0)) for n, p, _ in t.rows()])
+
+
+def fitted_trees(nodes: DataFrame, cells: DataFrame, weighted: bool = False, non_negative: bool = True) -> DataFrame:
+    """Every tree with branch lengths fitted to its (tree_id, a, b, distance); a tree and its distances must fit in a task."""
+    import pandas as pd
+
+    def run(key, pdf, dist):
+        if pdf.empty:
+            return pd.DataFrame(columns=["tree_id", "node", "parent", "dist"])
+        d = {(a, b): v for a, b, v in zip(dist["a"], dist["b"], dist["distance"], strict=True)}
+        t = fitted_lengths(Tree(_clean(pdf)), d, weighted, non_negative)
+        return pd.DataFrame([(key[0], *r) for r in t.rows()], columns=["tree_id", "node", "parent", "dist"])
+
+    rows = cells.select(F.col("tree_id").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"), F.col("distance").cast("double"))
+    return _as_text(nodes).groupBy("tree_id").cogroup(rows.groupBy("tree_id")).applyInPandas(run, "tree_id string, node string, parent string, dist double")
+
+
+def _found(actual: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
+    """(tree_id, name_actual, name_pred, name_both): numbers of different things, things being all columns but tree_id."""
+    keys = predicted.columns
+    met = actual.select(keys).distinct().withColumn("_a", F.lit(1)).join(predicted.distinct().withColumn("_p", F.lit(1)), keys, "full_outer")
+    return met.groupBy("tree_id").agg(F.count("_a").alias(f"{name}_actual"), F.count("_p").alias(f"{name}_pred"), F.count(F.col("_a") + F.col("_p")).alias(f"{name}_both"))
+
+
+def accuracy(actual: DataFrame, predicted: DataFrame, species: DataFrame, tips: DataFrame, rooted: bool = False) -> DataFrame:
+    """How near each predicted gene tree is to the actual one of its id: topology, branches, duplications, losses, orthologs.
+
+    Branches count by the Robinson-Foulds error, not at all for three leaves or fewer. A duplication
+    is known by the leaves below each of its children, a loss by those below its branch
+    and the species. Shares (sn of the actual, ppv of the predicted) are 1 where there
+    is nothing to find. Trees without a counterpart are left out.
+    """
+    things = []
+    for nodes in (actual, predicted):
+        recon = graph.cut(reconcile(nodes, species, tips))  # read several times
+        tops = recon.where("event = 'gene'").select("tree_id", F.col("node").alias("leaf"))
+        clades = paths(nodes).select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("node")).join(tops, ["tree_id", "leaf"])
+        clades = clades.groupBy(*ID).agg(F.array_sort(F.collect_list("leaf")).alias("below"))
+        kids = nodes.where("parent is not null").join(clades, ID).groupBy("tree_id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("below")).alias("sides"))
+        things.append({
+            "dup": kids.join(recon.where("event = 'dup'").select(*ID), ID).select("tree_id", "sides"),
+            "loss": losses(nodes, species, recon).join(clades, ID).select("tree_id", "below", "lost"),
+            "orth": relations(nodes, recon).select("tree_id", "a", "b"),
+        })
+    names = lambda nodes, out: leaves(nodes).groupBy("tree_id").agg(F.array_sort(F.collect_set("node")).alias(out))
+    size = predicted.groupBy("tree_id").agg(F.count("*").alias("_n")).join(names(predicted, "_is"), "tree_id")
+    size = size.withColumn("ngenes", F.size("_is").cast("long")).withColumn("nbranches", F.col("_n") - F.col("ngenes") - 1)
+    same = robinson_foulds(actual, predicted, rooted).withColumnRenamed("error", "_same")
+    rf = same if not rooted else robinson_foulds(actual, predicted).withColumnRenamed("error", "_rf")
+    out = size.join(names(actual, "_was"), "tree_id").join(same, "tree_id")
+    out = out.join(rf, "tree_id") if rooted else out.withColumn("_rf", F.col("_same"))
+    right = F.when(F.size("_was") <= 3, 0).otherwise(F.floor((1 - F.col("_rf")) * F.col("nbranches") + 1e-9)).cast("long")
+    out = out.withColumn("top_correct", ((F.col("_was") == F.col("_is")) & (F.col("_same") == 0)).cast("int")).withColumn("branch_correct", right)
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(1.0))
+    cols = ["tree_id", "ngenes", "nbranches", "top_correct", "branch_correct", share("branch_correct", "nbranches").alias("branch_percent")]
+    for name in ("dup", "loss", "orth"):
+        counts = [f"{name}_{x}" for x in ("actual", "pred", "both")]
+        out = out.join(_found(things[0][name], things[1][name], name), "tree_id", "left").fillna(0, counts)
+        cols += [*counts[:2], share(counts[2], counts[0]).alias(f"{name}_sn"), share(counts[2], counts[1]).alias(f"{name}_ppv")]
+    return out.select(cols)
+
+
 def small_tree(nodes: DataFrame, most: int = 100_000) -> list[tuple]:
     """The (node, parent, dist) rows of a single tree that tasks are to have whole, such as a species tree; an error above `most`."""
     dist = F.col("dist").cast("double") if "dist" in nodes.columns else F.lit(0.0)

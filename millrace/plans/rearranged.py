@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import rearrange, trees
-from .driver import TREE, query, tree
-from .forests import RECON, _sides, gene_trees, reconciled, tips
+from .driver import ORACLES, TREE, query, tree
+from .forests import LI, LOST, NAME, RECON, _pairs, _sides, gene_trees, leaf_distances, reconciled, tips
 
 ALL = f"WITH RECURSIVE {TREE}, {RECON}"
 
@@ -51,3 +52,51 @@ def split_support(spark, d):
 @query(None)
 def rooted_by_events(spark, d):
     return rearrange.rooted_forest(gene_trees(spark, d), tree(spark, d), tips(spark, d))
+
+
+@query(f"""WITH a AS {_sides('l_returnflag')}, b AS {_sides('l_linestatus')}, x AS (SELECT a.tree_id, a.side, a.other, b.side AS side2, b.other AS other2, len(list_intersect(a.side, b.side)) AS n FROM a JOIN b USING (tree_id))
+  SELECT tree_id, array_to_string(side, ' ') AS one, array_to_string(side2, ' ') AS two, CASE WHEN n = 0 THEN 'disjoint' WHEN n = len(side) AND n = len(side2) THEN 'equal' WHEN n = len(side) THEN 'child' WHEN n = len(side2) THEN 'parent' ELSE 'conflict' END AS relation,
+    n = 0 OR len(list_intersect(side, other2)) = 0 OR len(list_intersect(other, side2)) = 0 OR len(list_intersect(other, other2)) = 0 AS fits FROM x""")
+def split_relations(spark, d):
+    one, two = trees.splits(gene_trees(spark, d)), trees.splits(gene_trees(spark, d, "l_linestatus")).withColumnsRenamed({"side": "side2", "other": "other2"})
+    every = F.array_union("side", "other")
+    text = lambda c: F.array_join(c, " ")
+    return one.join(two, "tree_id").select("tree_id", text("side").alias("one"), text("side2").alias("two"), geometry.split_relation(F.col("side"), F.col("side2")).alias("relation"), geometry.splits_fit(F.col("side"), F.col("side2"), every).alias("fits"))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_returnflag, {NAME} AS leaf FROM {LI} WHERE l_partkey % 2 = 0), f AS (SELECT l_orderkey, CASE WHEN count(*) = 1 THEN min(leaf) ELSE '(' || string_agg(leaf, ',' ORDER BY leaf) || ')' END AS x FROM l GROUP BY l_orderkey, l_returnflag)
+  SELECT CAST(l_orderkey AS VARCHAR) AS tree_id, CASE WHEN count(*) = 1 THEN min(x) ELSE '(' || string_agg(x, ',' ORDER BY x) || ')' END AS topology FROM f GROUP BY l_orderkey""")
+def kept_leaves(spark, d):
+    even = lambda t: trees.keep_leaves(t, {n for n in t.leaves() if n.startswith("l") and int(n[1:]) % 2 == 0})
+    return trees.each_string(trees.each_tree(gene_trees(spark, d), even), trees.topology, "topology")
+
+
+@query(f"SELECT CAST(tree_id AS VARCHAR) AS tree_id, a, b, distance FROM ({ORACLES['leaf_distances']})")
+def fitted_lengths(spark, d):
+    """The lengths of trees fitted to their own leaves' distances give these again."""
+    cells = leaf_distances(spark, d)
+    flat = gene_trees(spark, d).withColumn("dist", F.lit(0.0))
+    return trees.leaf_distances(trees.fitted_trees(flat, cells)).withColumn("distance", F.round("distance", 6))
+
+
+def _things(flag: str) -> str:
+    """(tree_id, kind, thing): duplications, losses and orthologs as text."""
+    whole = f"""(WITH RECURSIVE {TREE}, {RECON}, {LOST}, cl AS (SELECT tree_id, leaf AS node, [leaf] AS below FROM g UNION ALL SELECT tree_id, f, list_sort(list(leaf)) FROM g GROUP BY 1, 2 UNION ALL SELECT tree_id, 'o', list_sort(list(leaf)) FROM g GROUP BY 1)
+      SELECT ch.tree_id, 'dup' AS kind, CAST(list_sort(list(below)) AS VARCHAR) AS thing FROM ch JOIN cl ON cl.tree_id = ch.tree_id AND cl.node = ch.node JOIN recon r ON r.tree_id = ch.tree_id AND r.node = ch.parent WHERE r.event = 'dup' GROUP BY ch.tree_id, ch.parent
+      UNION SELECT ls.tree_id, 'loss', CAST(below AS VARCHAR) || lost FROM ls JOIN cl ON cl.tree_id = ls.tree_id AND cl.node = ls.node
+      UNION SELECT tree_id, 'orth', a || ' ' || b FROM ({_pairs('spec', '')}))"""
+    return whole.replace("l_returnflag AS f", f"{flag} AS f")
+
+
+def _counts(kind: str) -> str:
+    n = [f"count(*) FILTER (WHERE kind = '{kind}' AND {x})" for x in ("a", "p", "a AND p")]
+    return f"{n[0]} AS {kind}_actual, {n[1]} AS {kind}_pred, coalesce({n[2]} / nullif({n[0]}, 0), 1) AS {kind}_sn, coalesce({n[2]} / nullif({n[1]}, 0), 1) AS {kind}_ppv"
+
+
+@query(f"""WITH a AS MATERIALIZED {_things('l_returnflag')}, p AS MATERIALIZED {_things('l_linestatus')}, m AS (SELECT tree_id, kind, coalesce(x, FALSE) AS a, coalesce(y, FALSE) AS p FROM (SELECT *, TRUE AS x FROM a) FULL JOIN (SELECT *, TRUE AS y FROM p) USING (tree_id, kind, thing)),
+  s AS (SELECT l_orderkey AS tree_id, count(*) AS ngenes, count(DISTINCT l_linestatus) AS nbranches FROM {LI} GROUP BY 1), e AS ({ORACLES['robinson_foulds']}),
+  t AS (SELECT *, CAST(error = 0 AS INTEGER) AS top_correct, CASE WHEN ngenes <= 3 THEN 0 ELSE CAST(floor((1 - error) * nbranches + 0.0001) AS BIGINT) END AS branch_correct FROM s JOIN e USING (tree_id)),
+  c AS (SELECT t.tree_id, {_counts('dup')}, {_counts('loss')}, {_counts('orth')} FROM t LEFT JOIN m ON m.tree_id = t.tree_id GROUP BY 1)
+  SELECT t.tree_id, ngenes, nbranches, top_correct, branch_correct, branch_correct / nbranches AS branch_percent, c.* EXCLUDE (tree_id) FROM t JOIN c ON c.tree_id = t.tree_id""")
+def tree_accuracy(spark, d):
+    return trees.accuracy(gene_trees(spark, d), gene_trees(spark, d, "l_linestatus"), tree(spark, d), tips(spark, d))

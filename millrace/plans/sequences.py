@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import population as P
 from ..functions import special as X
-from ..operators import align, hmm
+from ..operators import align, arg, hmm
 from .driver import query, t
 
 ALN = "a AS (SELECT p_brand AS aln_id, p_partkey AS name, translate(rpad(p_name, 24, '-'), ' ', '-') AS seq FROM part)"
@@ -85,3 +85,18 @@ def hmm_decode(spark, d):
 @query(None)
 def hmm_likelihood(spark, d):
     return hmm.likelihood(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", user_model(spark, d)).withColumn("lnl", F.round("lnl", 6))
+
+
+@query(f"""WITH {ALN}, l AS (SELECT aln_id, name, i - 1 AS pos, substr(seq, i, 1) AS c FROM a, range(1, 25) r(i)), k AS (SELECT aln_id, pos, c, list_sort(list(name)) AS s FROM l GROUP BY 1, 2, 3),
+  m AS (SELECT aln_id, pos, list_sort(list({{'n': len(s), 's': s}})) AS x FROM k GROUP BY 1, 2 HAVING count(*) = 2)
+  SELECT aln_id, CAST(pos AS INTEGER) AS pos, array_to_string(x[1].s, ' ') AS side, array_to_string(x[2].s, ' ') AS other FROM m""")
+def alignment_splits(spark, d):
+    got = arg.alignment_splits(names(spark, d))
+    return got.select("aln_id", "pos", *(F.array_join(F.transform(c, lambda n: n.cast("string")), " ").alias(c) for c in ("side", "other")))
+
+
+@query("""WITH a AS (SELECT p_brand, p_size, rpad(min(p_name), 24, '-') AS seq FROM part GROUP BY 1, 2) SELECT CAST(n AS INTEGER) AS name, string_agg(coalesce(seq, repeat('N', 24)), '' ORDER BY b) AS seq
+  FROM (SELECT DISTINCT p_size AS n FROM part) CROSS JOIN (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN a ON p_brand = b AND p_size = n GROUP BY 1""")
+def concatenated(spark, d):
+    aln = t(spark, d, "part").groupBy(F.col("p_brand").alias("aln_id"), F.col("p_size").alias("name")).agg(F.rpad(F.min("p_name"), 24, "-").alias("seq"))
+    return align.concatenated(aln)
