@@ -57,19 +57,19 @@ def ages(nodes: DataFrame) -> DataFrame:
     return down.join(high, ID).select(*ID, (F.col("far") - F.col("high")).alias("age"), (F.col("far") - F.col("near")).alias("spread"))
 
 
-def reconcile(nodes: DataFrame, species: DataFrame, tips: DataFrame) -> DataFrame:
+def reconcile(nodes: DataFrame, species: DataFrame, tips: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """(tree_id, node, snode, event) of every gene node.
 
     species is the (node, parent) table of the species tree, tips gives
     (tree_id, node, species) of the gene leaves. An inner node belongs to the
     lowest common ancestor of the species below it: the deepest species node
     that all of them lead to. It is `dup` if a child belongs to the same one,
-    else `spec`; leaves are `gene`.
+    else `spec`; leaves are `gene`. up is paths(nodes), if it is there already.
     """
     sup = graph.closure(species)
     deep = sup.groupBy("node").agg(F.max("depth").alias("level"))
     sup = sup.select(F.col("node").alias("species"), "ancestor").join(deep.select(F.col("node").alias("ancestor"), "level"), "ancestor")
-    below = paths(nodes).join(tips, ID).select("tree_id", F.col("ancestor").alias("node"), "species").distinct()
+    below = (paths(nodes) if up is None else up).join(tips, ID).select("tree_id", F.col("ancestor").alias("node"), "species").distinct()
     met = below.join(sup, "species").groupBy("tree_id", "node", "ancestor").agg(F.count("*").alias("n"), F.first("level").alias("level"))
     recon = met.groupBy("tree_id", "node").agg(F.max(F.struct("n", "level", F.col("ancestor").alias("s"))).alias("m")).select(*ID, F.col("m.s").alias("snode"))
     child = nodes.where("parent is not null").select("tree_id", "node", "parent").join(recon.withColumnRenamed("snode", "cs"), ID)
@@ -104,18 +104,18 @@ def event_counts(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> Data
     return out.select("snode", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("genes", "dups", "lost")))
 
 
-def relations(nodes: DataFrame, recon: DataFrame, event: str = "spec", skip: str | None = None) -> DataFrame:
+def relations(nodes: DataFrame, recon: DataFrame, event: str = "spec", skip: str | None = None, up: DataFrame | None = None) -> DataFrame:
     """(tree_id, node, a, b, n_a, n_b): leaves a < b that part at a node of the event.
 
     `spec` gives orthologs, `dup` paralogs; n_a and n_b are the numbers of
     genes that a's and b's species has on their sides. Duplications of the
-    species node `skip` are left out.
+    species node `skip` are left out. up is paths(nodes), if it is there already.
     """
     at = recon.where(F.col("event") == event)
     at = at.where(F.col("snode") != skip) if skip is not None else at
     kids = nodes.select("tree_id", F.col("node").alias("side"), F.col("parent").alias("node")).join(at.select(*ID), ID)
     tips = recon.where("event = 'gene'").select("tree_id", F.col("node").alias("leaf"), F.col("snode").alias("s"))
-    below = paths(nodes).select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("side")).join(tips, ["tree_id", "leaf"])
+    below = (paths(nodes) if up is None else up).select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("side")).join(tips, ["tree_id", "leaf"])
     clade = kids.join(below, ["tree_id", "side"])
     clade = clade.join(clade.groupBy("tree_id", "node", "side", "s").agg(F.count("*").alias("n")), ["tree_id", "node", "side", "s"])
     one = clade.select(*ID, F.col("side").alias("p"), F.col("leaf").alias("a"), F.col("n").alias("n_a"))
@@ -360,25 +360,54 @@ def consensus(all_: list, counted: list[tuple[tuple, int]], n_trees: int, extend
     return Tree(rows)
 
 
+def _by_tree(rows: DataFrame, f: Callable[[str, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """f(tree_id, rows of the tree in order) of every tree, as rows of the schema.
+
+    Rows are sorted by their first column, tree_id, and the others, so a task holds
+    one tree at a time whatever their number, and no call of Python is a tree's own.
+    """
+    import pyarrow as pa
+
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = [{"string": pa.string(), "double": pa.float64()}[k] for k in kinds]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
+
+    def run(batches):
+        held, current = [], None
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != current:
+                    found += f(current, held)
+                    held = []
+                current = row[0]
+                held.append(row[1:])
+            yield batch_of(found)
+        if held:
+            yield batch_of(f(current, held))
+
+    return rows.repartition("tree_id").sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+
+
+NODES = "tree_id string, node string, parent string, dist double"
+
+
 def each_tree(nodes: DataFrame, f: Callable[[Tree], Tree | None]) -> DataFrame:
     """f of every tree, as a node table; names become strings. A tree must fit in a task."""
-    import pandas as pd
 
-    def run(pdf):
-        t = f(Tree(_clean(pdf)))
-        return pd.DataFrame([(pdf["tree_id"].iloc[0], *r) for r in (t.rows() if t else [])], columns=["tree_id", "node", "parent", "dist"])
+    def run(tree_id, rows):
+        t = f(Tree(rows))
+        return [(tree_id, *r) for r in t.rows()] if t else []
 
-    return _as_text(nodes).groupBy("tree_id").applyInPandas(run, "tree_id string, node string, parent string, dist double")
+    return _by_tree(_as_text(nodes), run, NODES)
 
 
 def each_string(nodes: DataFrame, f: Callable[[Tree], str], out: str) -> DataFrame:
     """(tree_id, out): f of every tree, such as topology or newick."""
-    import pandas as pd
-
-    def run(pdf):
-        return pd.DataFrame([(pdf["tree_id"].iloc[0], f(Tree(_clean(pdf))))], columns=["tree_id", out])
-
-    return _as_text(nodes).groupBy("tree_id").applyInPandas(run, f"tree_id string, {out} string")
+    return _by_tree(_as_text(nodes), lambda tree_id, rows: [(tree_id, f(Tree(rows)))], f"tree_id string, {out} string")
 
 
 def neighbour_trees(cells: DataFrame) -> DataFrame:
@@ -422,17 +451,15 @@ def fitted_lengths(t: Tree, d: dict, weighted: bool = False, non_negative: bool
 
 def fitted_trees(nodes: DataFrame, cells: DataFrame, weighted: bool = False, non_negative: bool = True) -> DataFrame:
     """Every tree with branch lengths fitted to its (tree_id, a, b, distance); a tree and its distances must fit in a task."""
-    import pandas as pd
 
-    def run(key, pdf, dist):
-        if pdf.empty:
-            return pd.DataFrame(columns=["tree_id", "node", "parent", "dist"])
-        d = {(a, b): v for a, b, v in zip(dist["a"], dist["b"], dist["distance"], strict=True)}
-        t = fitted_lengths(Tree(_clean(pdf)), d, weighted, non_negative)
-        return pd.DataFrame([(key[0], *r) for r in t.rows()], columns=["tree_id", "node", "parent", "dist"])
+    def run(tree_id, rows):
+        mine = [r[1:] for r in rows if r[0] == 0]
+        d = {(a, b): v for kind, a, b, v in rows if kind == 1}
+        return [(tree_id, *r) for r in fitted_lengths(Tree(mine), d, weighted, non_negative).rows()] if mine else []
 
-    rows = cells.select(F.col("tree_id").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"), F.col("distance").cast("double"))
-    return _as_text(nodes).groupBy("tree_id").cogroup(rows.groupBy("tree_id")).applyInPandas(run, "tree_id string, node string, parent string, dist double")
+    text = [F.col(c).cast("string") for c in ("tree_id", "a", "b")]
+    far = cells.select(text[0], F.lit(1), *text[1:], F.col("distance").cast("double"))
+    return _by_tree(_as_text(nodes).select("tree_id", F.lit(0).alias("kind"), "node", "parent", "dist").union(far), run, NODES)
 
 
 def _found(actual: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
@@ -452,15 +479,16 @@ def accuracy(actual: DataFrame, predicted: DataFrame, species: DataFrame, tips:
     """
     things = []
     for nodes in (actual, predicted):
-        recon = graph.cut(reconcile(nodes, species, tips))  # read several times
+        up = graph.cut(paths(nodes))  # both are read several times
+        recon = graph.cut(reconcile(nodes, species, tips, up))
         tops = recon.where("event = 'gene'").select("tree_id", F.col("node").alias("leaf"))
-        clades = paths(nodes).select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("node")).join(tops, ["tree_id", "leaf"])
+        clades = up.select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("node")).join(tops, ["tree_id", "leaf"])
         clades = clades.groupBy(*ID).agg(F.array_sort(F.collect_list("leaf")).alias("below"))
         kids = nodes.where("parent is not null").join(clades, ID).groupBy("tree_id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("below")).alias("sides"))
         things.append({
             "dup": kids.join(recon.where("event = 'dup'").select(*ID), ID).select("tree_id", "sides"),
             "loss": losses(nodes, species, recon).join(clades, ID).select("tree_id", "below", "lost"),
-            "orth": relations(nodes, recon).select("tree_id", "a", "b"),
+            "orth": relations(nodes, recon, up=up).select("tree_id", "a", "b"),
         })
     names = lambda nodes, out: leaves(nodes).groupBy("tree_id").agg(F.array_sort(F.collect_set("node")).alias(out))
     size = predicted.groupBy("tree_id").agg(F.count("*").alias("_n")).join(names(predicted, "_is"), "tree_id")

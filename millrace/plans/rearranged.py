@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import rearrange, trees
+from ..operators import graph, rearrange, trees
 from .driver import ORACLES, TREE, query, tree
 from .forests import LI, LOST, NAME, RECON, _pairs, _sides, gene_trees, leaf_distances, reconciled, tips
 
@@ -76,7 +76,8 @@ def fitted_lengths(spark, d):
     """The lengths of trees fitted to their own leaves' distances give these again."""
     cells = leaf_distances(spark, d)
     flat = gene_trees(spark, d).withColumn("dist", F.lit(0.0))
-    return trees.leaf_distances(trees.fitted_trees(flat, cells)).withColumn("distance", F.round("distance", 6))
+    fitted = graph.cut(trees.fitted_trees(flat, cells))
+    return trees.leaf_distances(fitted).withColumn("distance", F.round("distance", 6))
 
 
 def _things(flag: str) -> str:
