@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import intervals, trees
+from . import graph, intervals, trees
 from .ordered import numbered
 
 
@@ -67,6 +67,59 @@ def length(arg: DataFrame, start: float, end: float) -> DataFrame:
     return parts.join(t, "lo").select("lo", "hi", "branches")
 
 
+def rearrangements(arg: DataFrame, start: float, end: float) -> DataFrame:
+    """(pos, rnode, rtime, cnode, ctime): how the tree left of each recombination becomes the one right of it.
+
+    The branch above rnode is cut at rtime and joined to the branch above cnode
+    at ctime. Both are nodes of the tree on the left that are leaves or have
+    several children there; cnode is its root where the lineage joins above that. A
+    recombination that no leaf of the left tree descends from makes no row, and
+    each of several at one place is held against the same left tree. Ancestors
+    are worked out of all local trees at once.
+    """
+    parts = graph.cut(blocks(arg, start, end))
+    nodes = graph.cut(local_trees(arg, parts, start, end).select("tree_id", "node", "parent"))
+    up = trees.paths(nodes)
+    at = arg.where("event = 'recomb'").select(F.col("name").alias("node"), F.col("age").alias("rtime"), "pos")
+    cut = parts.select(F.col("lo").alias("tree_id"), F.col("hi").alias("pos")).join(at, "pos").join(nodes.select(*trees.ID), trees.ID)
+    root = nodes.where("parent IS NULL").select("tree_id", F.col("node").alias("root"))
+    cut = cut.join(root, "tree_id").withColumnRenamed("tree_id", "left")
+    # the lineage's ancestors on the right, up to the first that the left tree has, or that its root leads to
+    above = up.where("depth > 0").select(F.col("tree_id").alias("pos"), "node", F.col("ancestor").alias("to"), "depth")
+    ways = cut.join(above, ["pos", "node"])
+    known = nodes.select(F.col("tree_id").alias("left"), F.col("node").alias("to"), F.lit(True).alias("known"))
+    over = above.select("pos", F.col("node").alias("root"), "to", F.lit(True).alias("over"))
+    ways = ways.join(known, ["left", "to"], "left").join(over, ["pos", "root", "to"], "left").where("known OR over")
+    first = ways.groupBy("left", "pos", "node", "rtime", "root").agg(F.min_by(F.struct("to", "known"), "depth").alias("m"))
+    first = first.select("left", "pos", "rtime", "node", F.when(F.col("m.known"), F.col("m.to")).otherwise(F.col("root")).alias("to"), F.col("m.to").alias("name"))
+    # down over nodes of one child
+    single = nodes.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select(*trees.ID)
+    low = up.join(single, trees.ID, "left_anti").groupBy(F.col("tree_id").alias("left"), "ancestor").agg(F.min_by("node", "depth").alias("low"))
+    for have, want in (("node", "rnode"), ("to", "cnode")):
+        first = first.join(low.select("left", F.col("ancestor").alias(have), F.col("low").alias(want)), ["left", have])
+    return first.join(arg.select("name", F.col("age").alias("ctime")), "name").select("pos", "rnode", "rtime", "cnode", "ctime")
+
+
+def rearranged(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """The trees (tree_id, node, parent, age) after one move each (tree_id, rnode, cnode, ctime, name).
+
+    The branch above rnode goes to a new node `name` of age ctime above cnode;
+    the parent it leaves is taken out, so its other child must be just one. A
+    tree without a move, or with one from a node to itself, stays as it is.
+    """
+    up = nodes.select("tree_id", "node", "parent")
+    m = moves.where("rnode <> cnode").select("tree_id", "rnode", "cnode", "ctime", F.col("name").alias("new"))
+    for of, out in (("rnode", "broken"), ("broken", "over"), ("cnode", "above")):
+        m = m.join(up.select("tree_id", F.col("node").alias(of), F.col("parent").alias(out)), ["tree_id", of], "left")
+    broken = F.col("broken")
+    rows = nodes.join(m, "tree_id", "left").where(broken.isNull() | (F.col("node") != broken))
+    moved = (F.col("node") == F.col("rnode")) | (F.col("node") == F.col("cnode")) | ((F.col("parent") == broken) & (F.col("cnode") == broken))
+    parent = F.when(moved, F.col("new")).when(F.col("parent") == broken, F.col("over")).otherwise(F.col("parent"))
+    top = F.when((F.col("above") == broken) | (F.col("cnode") == broken), F.col("over")).otherwise(F.col("above"))
+    added = m.where(broken.isNotNull()).select("tree_id", F.col("new").alias("node"), top.alias("parent"), F.col("ctime").alias("age"))
+    return rows.select("tree_id", "node", parent.alias("parent"), "age").unionByName(added)
+
+
 def lineages(events: DataFrame, by: list[str], order: list[str], event: str, k: int) -> DataFrame:
     """Adds `lineages`: k less every meeting and plus every recombination so far."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -82,7 +82,11 @@ def hmm_decode(spark, d):
     return hmm.decode(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", user_model(spark, d)).select("user_id", "event_id", "state", F.round("p", 6).alias("p"))
 
 
-@query(None)
+@query("""WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+  s AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i_at, coalesce(2.0::DOUBLE * (n + 1 - i) / (n * (n + 1)), 1) AS x, coalesce(2.0::DOUBLE * i / (n * (n + 1)), 1) AS y FROM events LEFT JOIN k USING (event_type)),
+  f AS (SELECT user_id, i_at, x / (x + y) AS a, y / (x + y) AS b, ln((x + y) / 2) AS l FROM s WHERE i_at = 1
+    UNION ALL SELECT user_id, i_at, u / (u + v), v / (u + v), l + ln(u + v) FROM (SELECT s.user_id, s.i_at, l, (a * 0.9::DOUBLE + b * 0.2::DOUBLE) * x AS u, (a * 0.1::DOUBLE + b * 0.8::DOUBLE) * y AS v FROM f JOIN s ON s.user_id = f.user_id AND s.i_at = f.i_at + 1))
+  SELECT user_id, round(arg_max(l, i_at), 6) AS lnl FROM f GROUP BY 1""")
 def hmm_likelihood(spark, d):
     return hmm.likelihood(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", user_model(spark, d)).withColumn("lnl", F.round("lnl", 6))
 

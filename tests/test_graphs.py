@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import samplers
 from millrace.operators import arg, stats, synteny
 from millrace.plans import driver
 
@@ -132,3 +133,65 @@ def test_rectangles_of_all_lines(spark, tmp_path):
         boxes[k, i] = min(a, x), max(b, x), min(c, y), max(e, y)
     want = [(k, i, j) for (k, i), (x1, x2, y1, y2) in boxes.items() for (k2, j), (u1, u2, v1, v2) in boxes.items() if k == k2 and i < j and x2 > u1 and x1 <= u2 and y2 > v1 and y1 <= v2]
     assert want and rows(driver.QUERIES["rectangle_overlap"](spark, str(tmp_path)), "k", "id", "id2") == sorted(want)
+
+
+def clades(nodes):
+    """{(leaves, age)} of {node: (parent, age)}, without nodes of one child."""
+    kids: dict = {}
+    for n, (p, _) in nodes.items():
+        kids.setdefault(p, []).append(n)
+
+    def under(n):
+        return frozenset([n]) if n not in kids else frozenset().union(*map(under, kids[n]))
+
+    return {(under(n), round(age, 9)) for n, (_, age) in nodes.items() if len(kids.get(n, [])) != 1}
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_rearrangements_lead_from_tree_to_tree(spark, seed):
+    data = samplers.recombination_graph(6, 1.0, 1.2, 0.0, 1.0, random.Random(seed))
+    g = spark.createDataFrame([tuple(r) for r in data], "name string, event string, age double, pos double, parents array<string>")
+    ages = {r[0]: r[2] for r in data}
+    parts = rows(arg.blocks(g, 0, 1), "lo", "hi")
+    forest: dict = {}
+    for r in arg.local_trees(g, arg.blocks(g, 0, 1), 0, 1).collect():
+        forest.setdefault(r.tree_id, {})[r.node] = (r.parent, ages[r.node])
+    moves = {r.pos: r for r in arg.rearrangements(g, 0, 1).collect()}
+    left = {hi: forest[lo] for lo, hi in parts if hi < 1}
+    assert len(moves) > 3 and set(moves) <= set(left)
+    for pos, m in moves.items():
+        assert len([n for n, (p, _) in left[pos].items() if p == m.rnode]) != 1
+        assert ages[m.rnode] <= m.rtime <= m.ctime
+    whole = []
+    for pos, nodes in left.items():
+        kids: dict = {}
+        for n, (p, _) in nodes.items():
+            kids.setdefault(p, []).append(n)
+        for n, (p, age) in nodes.items():
+            if len(kids.get(n, [])) == 1:
+                continue
+            while p is not None and len(kids[p]) == 1:
+                p = nodes[p][0]
+            whole.append((pos, n, p, age))
+    trees_ = spark.createDataFrame(whole, "tree_id double, node string, parent string, age double")
+    given = spark.createDataFrame([(m.pos, m.rnode, m.cnode, m.ctime, "new") for m in moves.values()], "tree_id double, rnode string, cnode string, ctime double, name string")
+    after: dict = {}
+    for r in arg.rearranged(trees_, given).collect():
+        after.setdefault(r.tree_id, {})[r.node] = (r.parent, r.age)
+    for pos, nodes in after.items():
+        assert clades(nodes) == clades(forest[pos]), pos
+
+
+def test_moves_beside_the_cut(spark):
+    nodes = [(1, "r", None, 9.0), (1, "u", "r", 5.0), (1, "c", "r", 0.0), (1, "a", "u", 0.0), (1, "b", "u", 0.0)]
+
+    def after(rnode, cnode, ctime):
+        t = spark.createDataFrame([(1, *x[1:]) for x in nodes], "tree_id int, node string, parent string, age double")
+        m = spark.createDataFrame([(1, rnode, cnode, ctime, "n")], "tree_id int, rnode string, cnode string, ctime double, name string")
+        return rows(arg.rearranged(t, m), "node", F.coalesce("parent", F.lit("-")))
+
+    assert after("a", "b", 3.0) == [("a", "n"), ("b", "n"), ("c", "r"), ("n", "r"), ("r", "-")]
+    assert after("a", "u", 7.0) == [("a", "n"), ("b", "n"), ("c", "r"), ("n", "r"), ("r", "-")]
+    assert after("a", "r", 12.0) == [("a", "n"), ("b", "r"), ("c", "r"), ("n", "-"), ("r", "n")]
+    assert after("c", "r", 12.0) == [("a", "u"), ("b", "u"), ("c", "n"), ("n", "-"), ("u", "n")]
+    assert after("a", "a", 3.0) == sorted((x[1], x[2] or "-") for x in nodes)
