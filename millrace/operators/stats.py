@@ -165,6 +165,19 @@ def correlation_p(r: Column, n: Column) -> Column:
     return F.when(r >= 0, tail).otherwise(1 - tail)
 
 
+def _equal_bins(df: DataFrame, value: str, divisions: int, least: int) -> tuple[DataFrame | None, int]:
+    """(bin, n, low) of bins of n // divisions rows in order of value, or of n // (n // least) where that is under least; and n."""
+    from .ordered import numbered
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if n == 0:
+        return None, 0
+    size = n // divisions
+    size = size if size >= least else n // max(1, n // least)
+    return numbered(rows, ["v"], "_i").groupBy(F.floor(F.col("_i") / size).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low")), n
+
+
 def goodness_of_fit(df: DataFrame, value: str, cdf, divisions: int = 20, least: int = 5) -> DataFrame:
     """(chi2, df): observed against expected numbers in bins of equal counts, cdf being a function of a column.
 
@@ -172,15 +185,9 @@ def goodness_of_fit(df: DataFrame, value: str, cdf, divisions: int = 20, least:
     n // (n // least) of them; the last bin has the rest. A bin reaches from its first value to the next bin's, the
     first and the last bin to the ends.
     """
-    from .ordered import numbered
-
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    n = rows.count()
-    if n == 0:
+    bins, n = _equal_bins(df, value, divisions, least)
+    if bins is None:
         return df.sparkSession.range(0).select(F.lit(0.0).alias("chi2"), F.lit(0).cast("long").alias("df"))
-    size = n // divisions
-    size = size if size >= least else n // max(1, n // least)
-    bins = numbered(rows, ["v"], "_i").groupBy(F.floor(F.col("_i") / size).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"))
     w = Window.orderBy("bin")  # about `divisions` rows
     high = F.lead("low").over(w)
     low = F.when(F.lag("low").over(w).isNull(), F.lit(0.0)).otherwise(cdf(F.col("low")))
@@ -188,6 +195,121 @@ def goodness_of_fit(df: DataFrame, value: str, cdf, divisions: int = 20, least:
     return bins.agg(F.sum((F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")) / F.col("expected")).alias("chi2"), (F.count("*") - 1).alias("df"))
 
 
+def fit_distribution(df: DataFrame, value: str, cdf, start: list[float], divisions: int = 20, least: int = 5) -> tuple[list[float], float]:
+    """The parameters that make chi-square least over the bins of goodness_of_fit(), and that chi-square.
+
+    cdf is a function of a number and the parameters. Only the bins, about
+    `divisions`, come to the driver, where a simplex walks; so the parameters
+    are those of a low point, not of the lowest for sure.
+    """
+    bins, n = _equal_bins(df, value, divisions, least)
+    if bins is None:
+        raise ValueError("no values to fit")
+    got = bins.orderBy("bin").collect()
+
+    def chi2(params) -> float:
+        at = [0.0, *(cdf(r.low, params) for r in got[1:]), 1.0]
+        want = [n * (b - a) for a, b in zip(at, at[1:], strict=False)]
+        return sum((r.n - w) ** 2 / w for r, w in zip(got, want, strict=True)) if all(w > 0 for w in want) else float("inf")
+
+    return _least(chi2, start)
+
+
+def _least(f, start: list[float], rounds: int = 2000) -> tuple[list[float], float]:
+    """A low point of f and its value there, by a simplex that is mirrored, stretched or drawn in."""
+    import numpy as np
+
+    corners = [np.array(start, float)]
+    for i, x in enumerate(start):
+        c = corners[0].copy()
+        c[i] = x * 1.1 if x else 0.1
+        corners.append(c)
+    ranked = sorted(((f(c), i, c) for i, c in enumerate(corners)), key=lambda v: v[:2])
+    for turn in range(len(corners), rounds):
+        best, worst = ranked[0], ranked[-1]
+        if worst[0] - best[0] <= 1e-12 * (1 + abs(best[0])):
+            break
+        mid = np.mean([c for _, _, c in ranked[:-1]], axis=0)
+        tries = [mid + k * (mid - worst[2]) for k in (1.0, 2.0, 0.5, -0.5)]
+        there = f(tries[0])
+        if there < best[0]:
+            more = f(tries[1])
+            new = (more, turn, tries[1]) if more < there else (there, turn, tries[0])
+        elif there < ranked[-2][0]:
+            new = (there, turn, tries[0])
+        else:
+            c = tries[2] if there < worst[0] else tries[3]
+            new = (f(c), turn, c)
+            if new[0] >= min(there, worst[0]):
+                ranked = sorted([best, *((f(c), i, c) for _, i, c in ((v, i, best[2] + (c - best[2]) / 2) for v, i, c in ranked[1:]))], key=lambda v: v[:2])
+                continue
+        ranked = sorted([*ranked[:-1], new], key=lambda v: v[:2])
+    return [float(x) for x in ranked[0][2]], float(ranked[0][0])
+
+
+def fit_curve(df: DataFrame, x: str, y: str, f, start: list[float], rounds: int = 100, settled: float = 1e-12) -> tuple[list[float], float]:
+    """The parameters that make the squared errors of y against f(x, parameters) least, and their sum.
+
+    f makes a column of a column and a list of numbers. A round is one
+    aggregate over all rows: slopes by small steps of each parameter, their
+    products and the errors' sum; the driver sees (k + 1)(k + 2) / 2 sums and
+    takes a damped step. Rows with a null are left out.
+    """
+    import numpy as np
+
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    k = len(start)
+
+    def sums(p):
+        def bent(i, h):
+            return f(F.col("x"), [float(v + (h if j == i else 0.0)) for j, v in enumerate(p)])
+
+        steps = [max(abs(v), 1e-3) * 1e-6 for v in p]
+        slopes = {f"s{i}": (bent(i, h) - bent(i, -h)) / (2 * h) for i, h in enumerate(steps)}
+        with_ = rows.select(*(c.alias(n) for n, c in slopes.items()), (F.col("y") - f(F.col("x"), [float(v) for v in p])).alias("e"))
+        names = [*slopes, "e"]
+        r = with_.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:])).first()
+        m = np.zeros((k + 1, k + 1))
+        m[np.triu_indices(k + 1)] = [np.nan if v is None else v for v in r]
+        m += np.triu(m, 1).T
+        return m[:k, :k], m[:k, k], m[k, k]
+
+    p = np.array(start, float)
+    curve, pull, error = sums(p)
+    if np.isnan(error):
+        raise ValueError("no rows to fit, or no number at the start")
+    damp = 1e-3
+    for _ in range(rounds):
+        size = np.diag(np.where(np.diag(curve) > 0, np.diag(curve), 1.0))
+        step = np.linalg.solve(curve + damp * size, pull)
+        c, g, e = sums(p + step)
+        if e <= error:
+            done = error - e <= settled * error or np.abs(step).max() <= settled * (1 + np.abs(p).max())
+            p, curve, pull, error, damp = p + step, c, g, e, damp / 10
+            if done:
+                break
+        elif damp > 1e12:
+            break
+        else:
+            damp *= 10
+    return [float(v) for v in p], float(error)
+
+
+def fit_density(df: DataFrame, value: str, f, start: list[float], low: float, high: float, step: float, share: float = 1.0) -> tuple[list[float], float]:
+    """fit_curve() of f to the density of the values from low to high in bins of width step, at the bins' middles.
+
+    The density is a bin's share of all values in low to high, over step and `share`.
+    """
+    at = F.floor((F.col(value) - low) / step)
+    inside = df.where((F.col(value) >= low) & (F.col(value) < high))
+    n = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    bins = int(-(-(high - low) // step))
+    full = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(n, "bin", "left").fillna(0, "n")
+    all_ = full.agg(F.sum("n").alias("all"))
+    dense = full.join(F.broadcast(all_)).select((low + (F.col("bin") + 0.5) * step).alias("x"), (F.col("n") / F.col("all") / step / share).alias("y"))
+    return fit_curve(dense, "x", "y", f, start)
+
+
 def weighted_pick(choices: DataFrame, item: str, weight: str, u: Column, rows: DataFrame) -> DataFrame:
     """Adds `item` to rows: that whose stretch of the cumulative weights, in order of item, holds u (0..1). Choices are few and broadcast."""
     w = Window.orderBy(item)

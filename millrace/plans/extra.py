@@ -72,6 +72,14 @@ def goodness_of_fit(spark, d):
     return out.withColumn("chi2", F.round("chi2", 4))
 
 
+@query("""SELECT round(regr_intercept(y, x), 4) AS a, round(regr_slope(y, x), 4) AS b, round(regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x), 4) AS error
+  FROM (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 10 + x / 25 AS y FROM lineitem)""")
+def curve_fit(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 10 + F.col("l_quantity").cast("double") / 25).alias("y"))
+    (a, b), error = stats.fit_curve(rows, "x", "y", lambda x, p: p[0] + p[1] * x, [0.0, 0.0])
+    return spark.range(1).select(*(F.lit(round(v, 4)).alias(n) for n, v in (("a", a), ("b", b), ("error", error))))
+
+
 @query("""WITH c AS (SELECT s_suppkey AS item, sum(s_acctbal) OVER (ORDER BY s_suppkey) AS hi, sum(s_acctbal) OVER () AS s FROM supplier WHERE s_acctbal > 0)
   SELECT p_partkey, (SELECT min(item) FROM c WHERE hi / s > (p_partkey % 997) / 997.0::DOUBLE) AS s_suppkey FROM part""")
 def weighted_pick(spark, d):
