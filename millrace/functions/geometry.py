@@ -31,6 +31,22 @@ def catmull_rom(a, b, c, d, t: Column) -> Column:
     return hermite(b_, c_, (c_ - lit(a)) / 2, (lit(d) - b_) / 2, t)
 
 
+def b_spline(points: list, times: list[float], t: Column) -> Column:
+    """The B-spline of points over knots, of degree len(times) - len(points) - 1; 0 outside the knots.
+
+    A table of one row a degree: each weight is made of two of the degree below. A share
+    between equal knots is 0.
+    """
+    weights = [F.when((t >= a) & (t < b), 1.0).otherwise(0.0) for a, b in zip(times, times[1:], strict=False)]
+    for p in range(1, len(times) - len(points)):
+        rise = [(t - times[i]) / (times[i + p] - times[i]) if times[i + p] > times[i] else F.lit(0.0) for i in range(len(times) - p)]
+        weights = [rise[i] * weights[i] + (1 - rise[i + 1] if times[i + p + 1] > times[i + 1] else F.lit(0.0)) * weights[i + 1] for i in range(len(weights) - 1)]
+    out = F.lit(0.0)
+    for x, w in zip(points, weights, strict=True):
+        out = out + x * w
+    return out
+
+
 def interpolated(points: Column, t: Column) -> Column:
     """Of an array of numbers at 0, 1, 2, ...: the value at t, by catmull_rom; the ends are repeated. Outside it is null."""
     last = F.size(points) - 1

@@ -67,6 +67,70 @@ def length(arg: DataFrame, start: float, end: float) -> DataFrame:
     return parts.join(t, "lo").select("lo", "hi", "branches")
 
 
+def _seen_cuts(arg: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, pos, rtime) of the recombination nodes that the tree left of their place has."""
+    at = arg.where("event = 'recomb'").select(F.col("name").alias("node"), F.col("age").alias("rtime"), "pos")
+    return parts.select(F.col("lo").alias("tree_id"), F.col("hi").alias("pos")).join(at, "pos").join(nodes.select(*trees.ID), trees.ID)
+
+
+def visible_recombinations(arg: DataFrame, start: float, end: float) -> DataFrame:
+    """(name, pos) of the recombination nodes that some leaf of the tree left of their place descends from."""
+    parts = graph.cut(blocks(arg, start, end))
+    return _seen_cuts(arg, parts, local_trees(arg, parts, start, end)).select(F.col("node").alias("name"), "pos")
+
+
+def _over(edges_: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(name): the leaves and all that edges (child, parent) lead to from them, a level of nodes a round."""
+    seen = front = graph.cut(leaves.toDF("name").distinct())
+    while not front.isEmpty():
+        up = edges_.join(front, edges_["child"] == front["name"]).select(F.col("parent").alias("name")).distinct()
+        front = graph.cut(up.join(seen, "name", "left_anti"))
+        seen = graph.cut(seen.union(front))
+    return seen
+
+
+def subgraph(arg: DataFrame, start: float, end: float) -> DataFrame:
+    """The graph of start to end: what its leaves descend from there.
+
+    A recombination node that lies outside keeps one parent and is a plain node
+    then (event coal, pos 0). Nodes above the common ancestor of all stay.
+    """
+    inside = F.filter("parents", lambda _, k: F.when(F.col("event") != "recomb", F.lit(True)).when(k == 0, F.col("pos") > start).otherwise(F.col("pos") < end))
+    plain = (F.col("event") == "recomb") & ((F.col("pos") <= start) | (F.col("pos") >= end))
+    rows = arg.withColumns({"_in": inside, "_plain": plain})  # a step of their own, as a lambda would see the new event and pos
+    rows = rows.select("name", F.when(F.col("_plain"), "coal").otherwise(F.col("event")).alias("event"), "age", F.when(F.col("_plain"), 0.0).otherwise(F.col("pos")).alias("pos"), F.col("_in").alias("parents"))
+    up = rows.select(F.col("name").alias("child"), F.explode("parents").alias("parent"))
+    return rows.join(_over(up, rows.where("event = 'gene'").select("name")), "name", "left_semi")
+
+
+def subgraph_of(arg: DataFrame, leaves: DataFrame, keep_single: bool = False) -> DataFrame:
+    """The graph of some of the leaves (name): what they descend from, without nodes of one child and one parent unless keep_single."""
+    up = arg.select(F.col("name").alias("child"), F.explode("parents").alias("parent"))
+    rows = arg.join(_over(up, leaves), "name", "left_semi").select(*arg.columns)
+    return rows if keep_single else without_single(rows)
+
+
+def without_single(arg: DataFrame) -> DataFrame:
+    """The graph without nodes that have one child and one parent, and without roots of one child."""
+    rows = graph.cut(arg)
+    while True:
+        kids = rows.select(F.explode("parents").alias("name")).groupBy("name").agg(F.count("*").alias("_kids")).where("_kids = 1").select("name")
+        lone = graph.cut(rows.join(kids, "name", "left_semi").where("size(parents) < 2").select("name", F.get("parents", F.lit(0)).alias("to")))
+        if lone.isEmpty():
+            return rows
+        more = True
+        while more:  # to the first parent that stays, twice as far each round
+            jump = lone.select(F.col("name").alias("to"), F.col("to").alias("next"), F.lit(True).alias("on"))
+            lone = graph.cut(lone.join(jump, "to", "left").select("name", F.when(F.col("on"), F.col("next")).otherwise(F.col("to")).alias("to"), "on"))
+            more = not lone.where("on").isEmpty()
+            lone = lone.select("name", "to")
+        stay = rows.join(lone.select("name"), "name", "left_anti")
+        up = stay.select("name", F.posexplode("parents").alias("k", "parent")).join(lone.select(F.col("name").alias("parent"), "to", F.lit(True).alias("on")), "parent", "left")
+        new = up.withColumn("to", F.when(F.col("on"), F.col("to")).otherwise(F.col("parent"))).where("to IS NOT NULL")
+        new = new.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "to"))), lambda x: x["to"]).alias("_p"))
+        rows = graph.cut(stay.join(new, "name", "left").withColumn("parents", F.coalesce("_p", F.array().cast("array<string>"))).select(*arg.columns))
+
+
 def rearrangements(arg: DataFrame, start: float, end: float) -> DataFrame:
     """(pos, rnode, rtime, cnode, ctime): how the tree left of each recombination becomes the one right of it.
 
@@ -80,8 +144,7 @@ def rearrangements(arg: DataFrame, start: float, end: float) -> DataFrame:
     parts = graph.cut(blocks(arg, start, end))
     nodes = graph.cut(local_trees(arg, parts, start, end).select("tree_id", "node", "parent"))
     up = trees.paths(nodes)
-    at = arg.where("event = 'recomb'").select(F.col("name").alias("node"), F.col("age").alias("rtime"), "pos")
-    cut = parts.select(F.col("lo").alias("tree_id"), F.col("hi").alias("pos")).join(at, "pos").join(nodes.select(*trees.ID), trees.ID)
+    cut = _seen_cuts(arg, parts, nodes)
     root = nodes.where("parent IS NULL").select("tree_id", F.col("node").alias("root"))
     cut = cut.join(root, "tree_id").withColumnRenamed("tree_id", "left")
     # the lineage's ancestors on the right, up to the first that the left tree has, or that its root leads to

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions import special as X
 from ..operators import align, intervals, ordered, relational, stats
@@ -80,6 +81,13 @@ def curve_fit(spark, d):
     return spark.range(1).select(*(F.lit(round(v, 4)).alias(n) for n, v in (("a", a), ("b", b), ("error", error))))
 
 
+@query("""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) * 7 / 51 AS t FROM part), w AS (SELECT p_partkey, t, [CASE WHEN u < 0 OR u >= 3 THEN 0 WHEN u < 1 THEN u * u / 2 WHEN u < 2 THEN (6 * u - 2 * u * u - 3) / 2 ELSE (3 - u) * (3 - u) / 2 END FOR u IN [t, t - 1, t - 2, t - 3]] AS w FROM x)
+  SELECT p_partkey, round(2 * w[1] - w[2] + 4 * w[3] + 0.5 * w[4], 8) AS y FROM w""")
+def b_spline(spark, d):
+    t_ = F.col("p_size").cast("double") * 7 / 51
+    return t(spark, d, "part").select("p_partkey", F.round(G.b_spline([2.0, -1.0, 4.0, 0.5], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0], t_), 8).alias("y"))
+
+
 @query("""WITH c AS (SELECT s_suppkey AS item, sum(s_acctbal) OVER (ORDER BY s_suppkey) AS hi, sum(s_acctbal) OVER () AS s FROM supplier WHERE s_acctbal > 0)
   SELECT p_partkey, (SELECT min(item) FROM c WHERE hi / s > (p_partkey % 997) / 997.0::DOUBLE) AS s_suppkey FROM part""")
 def weighted_pick(spark, d):

@@ -358,6 +358,32 @@ def read_mutations(spark: SparkSession, path: str) -> DataFrame:
     return _rows(spark, path).select(c[0].cast("double").alias("site"), c[1].cast("double").alias("age"), F.filter(F.split(c[2], ","), lambda x: x != "").alias("carriers"))
 
 
+def tree_track_lines(parts: DataFrame, newicks: DataFrame) -> DataFrame:
+    """(lo, line): start, end and tree of parts (lo, hi), newicks being (tree_id, newick) with tree_id the part's lo."""
+    met = parts.join(newicks.select(F.col("tree_id").cast("double").alias("lo"), "newick"), "lo")
+    return met.select("lo", F.concat_ws("\t", F.col("lo").cast("long").cast("string"), F.col("hi").cast("long").cast("string"), "newick").alias("line"))
+
+
+def mutation_lines(mutations: DataFrame) -> DataFrame:
+    """(site, line) of mutations (site, age, carriers)."""
+    return mutations.select("site", F.concat_ws("\t", F.col("site").cast("string"), F.col("age").cast("string"), F.array_join("carriers", ",")).alias("line"))
+
+
+def read_ancestral(spark: SparkSession, path: str) -> DataFrame:
+    """(node, lo, hi): the parts of the sequence that each node carries; a node without one has no row."""
+    c = F.split("value", "\t", -1)
+    rows = _rows(spark, path).select(c[0].alias("node"), F.transform(F.filter(F.slice(c, 2, 1 << 30), lambda x: x != ""), lambda x: x.cast("long")).alias("p"))
+    pairs = F.transform(F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("lo"), F.get("p", i + 1).alias("hi"))), lambda x: x["i"] % 2 == 0), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    return rows.select("node", F.inline(pairs))
+
+
+def ancestral_lines(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of every node (node) with its parts (node, lo, hi) in order."""
+    per = parts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("p"))
+    flat = F.flatten(F.transform("p", lambda x: F.array(x["lo"].cast("long").cast("string"), x["hi"].cast("long").cast("string"))))
+    return nodes.select("node").join(per, "node", "left").select("node", F.concat_ws("\t", "node", flat).alias("line"))
+
+
 def read_parent_array(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
     """(file, node, parent) of files with a parent's number a line, -1 at the root; the first nodes are the labelled leaves."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from millrace.functions import samplers
 from millrace.operators import arg, stats, synteny
 from millrace.plans import driver
+from millrace.sources import formats
 
 
 def rows(df, *cols):
@@ -195,3 +196,59 @@ def test_moves_beside_the_cut(spark):
     assert after("a", "r", 12.0) == [("a", "n"), ("b", "r"), ("c", "r"), ("n", "-"), ("r", "n")]
     assert after("c", "r", 12.0) == [("a", "u"), ("b", "u"), ("c", "n"), ("n", "-"), ("u", "n")]
     assert after("a", "a", 3.0) == sorted((x[1], x[2] or "-") for x in nodes)
+
+
+def by_part(spark, g, lo, hi, ages, keep=None):
+    """{part's end: clades} of the local trees, of the leaves in keep only."""
+    forest: dict = {}
+    for r in arg.local_trees(g, arg.blocks(g, lo, hi), lo, hi).collect():
+        forest.setdefault(r.tree_id, {})[r.node] = (r.parent, ages[r.node])
+    out = {}
+    for at, nodes in forest.items():
+        cs = {(c & keep if keep else c, a) for c, a in clades(nodes)}
+        out[at] = {(c, min(a for d, a in cs if d == c)) for c, _ in cs if c}
+    return out
+
+
+def at(found, x):
+    return found[max(p for p in found if p <= x)]
+
+
+def test_subgraphs_have_the_same_trees(spark):
+    data = samplers.recombination_graph(6, 1.0, 1.5, 0.0, 1.0, random.Random(12))
+    g = spark.createDataFrame([tuple(r) for r in data], "name string, event string, age double, pos double, parents array<string>")
+    ages = {r[0]: r[2] for r in data}
+    whole = by_part(spark, g, 0, 1, ages)
+    part = arg.subgraph(g, 0.3, 0.6)
+    got = by_part(spark, part, 0.3, 0.6, ages)
+    assert {r.pos for r in part.where("event = 'recomb'").collect()} <= {r[3] for r in data if 0.3 < r[3] < 0.6}
+    assert part.agg(F.sum(F.size("parents"))).first()[0] < sum(len(r[4]) for r in data)
+    assert all(at(got, x / 100) == at(whole, x / 100) for x in range(31, 60))
+    keep = frozenset(["s0", "s3", "s4"])
+    few = arg.subgraph_of(g, spark.createDataFrame([(x,) for x in keep], "name string"))
+    assert {r.name for r in few.where("event = 'gene'").collect()} == keep
+    kids: dict = {}
+    for r in (all_ := few.collect()):
+        for p in r.parents:
+            kids[p] = kids.get(p, 0) + 1
+    assert not [r.name for r in all_ if kids.get(r.name) == 1 and len(r.parents) < 2]
+    want = by_part(spark, g, 0, 1, ages, keep)
+    got = by_part(spark, few, 0, 1, ages)
+    assert all(at(got, x / 100) == at(want, x / 100) for x in range(100))
+    assert rows(arg.subgraph_of(g, spark.createDataFrame([(x,) for x in keep], "name string"), keep_single=True).where("event = 'gene'"), "name") == [(x,) for x in sorted(keep)]
+    seen = {r.pos for r in arg.visible_recombinations(g, 0, 1).collect()}
+    assert seen == {r.pos for r in arg.rearrangements(g, 0, 1).collect()}
+
+
+def test_graph_lines_come_back(spark, tmp_path):
+    parts = spark.createDataFrame([("a", 5, 9), ("a", 1, 3)], "node string, lo long, hi long")
+    lines = formats.ancestral_lines(parts, spark.createDataFrame([("a",), ("b",)], "node string"))
+    assert rows(lines, "line") == [("a\t1\t3\t5\t9",), ("b",)]
+    lines.select("line").write.text(str(tmp_path / "anc"))
+    assert rows(formats.read_ancestral(spark, str(tmp_path / "anc")), "node", "lo", "hi") == [("a", 1, 3), ("a", 5, 9)]
+    m = spark.createDataFrame([(3.0, 0.5, ["x", "y"]), (4.0, 0.1, [])], "site double, age double, carriers array<string>")
+    formats.mutation_lines(m).select("line").write.text(str(tmp_path / "mut"))
+    assert rows(formats.read_mutations(spark, str(tmp_path / "mut")), "site", "age", "carriers") == [(3.0, 0.5, ["x", "y"]), (4.0, 0.1, [])]
+    t = formats.tree_track_lines(spark.createDataFrame([(0.0, 4.0)], "lo double, hi double"), spark.createDataFrame([("0.0", "(a,b);")], "tree_id string, newick string"))
+    t.select("line").write.text(str(tmp_path / "trk"))
+    assert rows(formats.read_tree_tracks(spark, str(tmp_path / "trk")), "start", "end", "newick") == [(0, 4, "(a,b);")]
