@@ -69,6 +69,10 @@ def population(spark, d):
     return x.select("p_partkey", F.round(P.prob_coal(at, k, 1000), 8).alias("coal"), F.round(P.prob_coal_counts(k, b, at, 1000), 6).alias("counts"), F.round(P.prob_birth_death1(k, at, 0.002, 0.001), 8).alias("birth_death"))
 
 
+SYMBOLS = """WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+  s AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i_at, coalesce(2.0::DOUBLE * (n + 1 - i) / (n * (n + 1)), 1) AS x, coalesce(2.0::DOUBLE * i / (n * (n + 1)), 1) AS y FROM events LEFT JOIN k USING (event_type))"""
+
+
 def user_model(spark, d) -> hmm.Model:
     """Two states over the kinds of events there are: one that favours the first kinds by name, one the last."""
     kinds = sorted(r[0] for r in t(spark, d, "events").select("event_type").distinct().collect())  # a handful of kinds
@@ -77,13 +81,23 @@ def user_model(spark, d) -> hmm.Model:
     return hmm.Model([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [dict(zip(kinds, reversed(up), strict=True)), dict(zip(kinds, up, strict=True))])
 
 
-@query(None)
+@query(SYMBOLS + """,
+  v AS (SELECT user_id, i_at, ln(0.5::DOUBLE) + ln(x) AS a, ln(0.5::DOUBLE) + ln(y) AS b, 0 AS from_a, 0 AS from_b FROM s WHERE i_at = 1
+    UNION ALL SELECT user_id, i_at, greatest(aa, ba) + ln(x), greatest(ab, bb) + ln(y), CASE WHEN aa >= ba THEN 0 ELSE 1 END, CASE WHEN ab >= bb THEN 0 ELSE 1 END
+      FROM (SELECT s.user_id, s.i_at, x, y, a + ln(0.9::DOUBLE) AS aa, b + ln(0.2::DOUBLE) AS ba, a + ln(0.1::DOUBLE) AS ab, b + ln(0.8::DOUBLE) AS bb FROM v JOIN s ON s.user_id = v.user_id AND s.i_at = v.i_at + 1)),
+  f AS (SELECT user_id, i_at, x / (x + y) AS a, y / (x + y) AS b FROM s WHERE i_at = 1
+    UNION ALL SELECT user_id, i_at, u / (u + w), w / (u + w) FROM (SELECT s.user_id, s.i_at, (a * 0.9::DOUBLE + b * 0.2::DOUBLE) * x AS u, (a * 0.1::DOUBLE + b * 0.8::DOUBLE) * y AS w FROM f JOIN s ON s.user_id = f.user_id AND s.i_at = f.i_at + 1)),
+  e AS (SELECT user_id, max(i_at) AS n FROM s GROUP BY 1),
+  r AS (SELECT user_id, n AS i_at, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b FROM e
+    UNION ALL SELECT user_id, i_at, u / (u + w), w / (u + w) FROM (SELECT s.user_id, s.i_at - 1 AS i_at, 0.9::DOUBLE * x * a + 0.1::DOUBLE * y * b AS u, 0.2::DOUBLE * x * a + 0.8::DOUBLE * y * b AS w FROM r JOIN s USING (user_id, i_at) WHERE s.i_at > 1)),
+  z AS (SELECT user_id, i_at, CASE WHEN a >= b THEN 0 ELSE 1 END AS state FROM v JOIN e USING (user_id) WHERE i_at = n
+    UNION ALL SELECT z.user_id, v.i_at - 1, CASE WHEN state = 0 THEN from_a ELSE from_b END FROM z JOIN v ON v.user_id = z.user_id AND v.i_at = z.i_at WHERE v.i_at > 1)
+  SELECT user_id, event_id, state, round(CASE WHEN state = 0 THEN f.a * r.a ELSE f.b * r.b END / (f.a * r.a + f.b * r.b), 6) AS p FROM z JOIN s USING (user_id, i_at) JOIN f USING (user_id, i_at) JOIN r USING (user_id, i_at)""")
 def hmm_decode(spark, d):
     return hmm.decode(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", user_model(spark, d)).select("user_id", "event_id", "state", F.round("p", 6).alias("p"))
 
 
-@query("""WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
-  s AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i_at, coalesce(2.0::DOUBLE * (n + 1 - i) / (n * (n + 1)), 1) AS x, coalesce(2.0::DOUBLE * i / (n * (n + 1)), 1) AS y FROM events LEFT JOIN k USING (event_type)),
+@query(SYMBOLS + """,
   f AS (SELECT user_id, i_at, x / (x + y) AS a, y / (x + y) AS b, ln((x + y) / 2) AS l FROM s WHERE i_at = 1
     UNION ALL SELECT user_id, i_at, u / (u + v), v / (u + v), l + ln(u + v) FROM (SELECT s.user_id, s.i_at, l, (a * 0.9::DOUBLE + b * 0.2::DOUBLE) * x AS u, (a * 0.1::DOUBLE + b * 0.8::DOUBLE) * y AS v FROM f JOIN s ON s.user_id = f.user_id AND s.i_at = f.i_at + 1))
   SELECT user_id, round(arg_max(l, i_at), 6) AS lnl FROM f GROUP BY 1""")
