@@ -68,6 +68,17 @@ def prob_bounded_coal(t: Column, k: Column, n, bound: Column) -> Column:
     return F.when(t > bound, 0.0).otherwise(prob_coal(t, k, n) * cdf_mrca(bound - t, k - 1, n) / cdf_mrca(bound, k, n))
 
 
+def cdf_bounded_coal(t: Column, k: Column, n, bound: Column) -> Column:
+    """The chance that the first of k lineages meet by t, given that all k meet before the bound: what is left of none meeting and all doing so in the rest."""
+    rest = F.exp(-_rate(k, n) * t) * cdf_mrca(bound - t, k, n) / cdf_mrca(bound, k, n)
+    return F.when(t >= bound, 1.0).otherwise(1 - rest)
+
+
+def cdf_coal_cond_counts(x: Column, a: Column, b: Column, t: Column, n) -> Column:
+    """The chance of a first meeting of a lineages by x, given that b are left at t."""
+    return 1 - F.exp(-_rate(a, n) * x) * prob_coal_counts(a, b, t - x, n) / prob_coal_counts(a, b, t, n)
+
+
 def log_labelled_histories(leaves: Column, roots: Column) -> Column:
     """ln of the number of orders in which `leaves` lineages can meet down to `roots`."""
     return _sum(roots + 1, leaves, lambda k: F.log(k * (k - 1) / 2.0))
@@ -120,6 +131,21 @@ def prob_no_birth(n: Column, t: Column, birth: float, death: float) -> Column:
     return F.pow(1 - birth * (1 - e) / (birth - death * e), n.cast("double"))
 
 
+def birth_wait_time(t: Column, n: Column, until: Column, birth: float, death: float) -> Column:
+    """Density of the first birth at t of n lineages whose offspring live at `until`.
+
+    None of the n, kept alive or not, may split before: the chance of none in
+    `until`, undone for the time that is left, times n births at t whose two sides both last.
+    """
+    left = until - t
+    if birth == death:
+        last = 1 / (1 + birth * left)
+    else:
+        last = (birth - death) / (birth - death * F.exp(-(birth - death) * left))
+    none = prob_no_birth(n, until, birth, death) / prob_no_birth(n, left, birth, death)
+    return n * birth * last * none
+
+
 def substitution_matrix(t: float, freqs=(0.25, 0.25, 0.25, 0.25), kappa: float = 1.0) -> list[list[float]]:
     """Chances of change between A, C, G and T over a branch of t expected changes a site.
 

@@ -38,6 +38,30 @@ def frequency_density(x: Column, p: Column, n, t, terms: int = 8) -> Column:
     return p * (1 - p) * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, step, lambda s: s["sum"])
 
 
+def frequency_between(p: Column, low: Column, high: Column, n, t, terms: int = 50) -> Column:
+    """The chance that a frequency lies between low and high, above 0 and below 1, after t generations of drift from p in n diploids.
+
+    The integral of frequency_density(): Legendre polynomials of p and the
+    bounds, by their recurrence.
+    """
+    y, t = 1 - 2 * p.cast("double"), lit(t)
+    ends = {"l": 1 - 2 * low.cast("double"), "h": 1 - 2 * high.cast("double")}
+
+    def after(now, before, i, at):
+        return ((2 * i + 1) * at * now - i * before) / (i + 1)
+
+    def step(s, i):
+        up = after(s["p1"], s["p0"], i, y)
+        term = 0.5 * (s["p0"] - up) * F.exp(-t * i * (i + 1) / (4.0 * lit(n))) * (s["l1"] - s["h1"])
+        grown = {"p1": up, "p0": s["p1"]}
+        for k, at in ends.items():
+            grown |= {f"{k}1": after(s[f"{k}1"], s[f"{k}0"], i, at), f"{k}0": s[f"{k}1"]}
+        return F.struct(*(v.alias(k) for k, v in grown.items()), (s["sum"] + term).alias("sum"))
+
+    first = {"p1": y, "p0": F.lit(1.0), "l1": ends["l"], "l0": F.lit(1.0), "h1": ends["h"], "h0": F.lit(1.0), "sum": F.lit(0.0)}
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(*(v.alias(k) for k, v in first.items())), step, lambda s: s["sum"])
+
+
 def sample_frequencies(rows: DataFrame, p: str, n: str, generations: int, seed: str, out: str) -> DataFrame:
     """Adds the frequency after so many generations of binomial drawing of 2 n gene copies."""
 

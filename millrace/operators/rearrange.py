@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.population import log_labelled_histories, prob_coal_counts
+from ..functions.samplers import chance_of_counts
 from ..functions.special import log_factorial
 from . import graph, trees
 from .trees import ID, Tree
@@ -355,6 +356,58 @@ def multispecies_log_prob(nodes: DataFrame, species: DataFrame, recon: DataFrame
     return b.groupBy("tree_id").agg(F.sum(each).alias("p")).join(orders, "tree_id", "left").select("tree_id", (F.col("p") - F.coalesce("orders", F.lit(0.0))).alias("log_p"))
 
 
+def log_met_before(counts: DataFrame, species: DataFrame, until: float | None) -> DataFrame:
+    """(tree_id, log_p): the chance that the lineages (tree_id, snode, n) at the leaves of a species tree have one ancestor by `until`.
+
+    species has (node, parent, age, n), n being the population of the branch
+    above, and goes to the tasks whole (at most 100,000 nodes); each family is a row there. From the
+    leaves up a branch has a chance for every number of lineages. A leaf without
+    a count has none; without `until` the root's branch has no end.
+    """
+    import pandas as pd
+
+    rows = species.select("node", "parent", F.col("age").cast("double"), F.col("n").cast("double")).limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("a tree of more than 100000 nodes doesn't go to the tasks")
+    ages, pops = {r.node: r.age for r in rows}, {r.node: r.n for r in rows}
+    kids: dict = {}
+    for r in rows:
+        kids.setdefault(r.parent, []).append(r.node)
+    order = list(kids[None])
+    for node in order:
+        order.extend(kids.get(node, []))
+    above = {r.node: r.parent for r in rows}
+
+    def chance(leaves: dict) -> float:
+        tops: dict = {}
+        for node in reversed(order):
+            start = np.ones(1)
+            if node not in kids:
+                start = np.zeros(int(leaves.get(node, 0)) + 1)
+                start[-1] = 1.0
+            for kid in kids.get(node, []):
+                start = np.convolve(start, tops.pop(kid))
+            most, up = len(start) - 1, above[node]
+            end = ages[up] if up is not None else until
+            if most == 0:
+                tops[node] = start
+            elif end is None:
+                tops[node] = np.array([start[0], start[1:].sum()])
+            else:
+                moved = [sum(start[a] * chance_of_counts(a, b, end - ages[node], pops[node]) for a in range(b, most + 1)) for b in range(1, most + 1)]
+                tops[node] = np.array([start[0], *moved])
+        top = tops[order[0]]
+        return float(top[1]) if len(top) > 1 else 1.0
+
+    def run(batches):
+        for pdf in batches:
+            with np.errstate(divide="ignore"):
+                yield pd.DataFrame({"tree_id": pdf["tree_id"], "log_p": [float(np.log(chance({r["snode"]: r["n"] for r in m}))) for m in pdf["m"]]})
+
+    each = counts.groupBy("tree_id").agg(F.collect_list(F.struct("snode", F.col("n").cast("long").alias("n"))).alias("m"))
+    return each.mapInPandas(run, f"tree_id {counts.schema['tree_id'].dataType.simpleString()}, log_p double")
+
+
 def duplication_consistency(nodes: DataFrame, recon: DataFrame) -> DataFrame:
     """(tree_id, node, consistency): of the species below a duplication, the share that more than one of its children leads to."""
     at = recon.where("event = 'dup'").select(*ID)

@@ -128,3 +128,50 @@ def test_gene_trees(spark):
     assert statistics.mean(sizes) == pytest.approx(3 * math.exp(0.2 * 2.5), rel=0.1)
     df = samplers.sample_gene_trees(spark.range(5), spark.createDataFrame(species.rows(), "node string, parent string, dist double"), 0.5, 0.0, "id")
     assert df.where("parent is null").count() == 5 and df.collect() == df.collect()
+
+
+def test_frequency_between_is_the_density_summed(spark):
+    grid = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("x"))
+    for low, high in ((0.0, 1.0), (0.2, 0.7)):
+        want = grid.where(F.col("x").between(low, high)).agg(F.sum(samplers.frequency_density(F.col("x"), F.lit(0.3), 100, 60.0, 60)) / 2000).first()[0]
+        got = spark.range(1).select(samplers.frequency_between(F.lit(0.3), F.lit(low), F.lit(high), 100, 60.0)).first()[0]
+        assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_conditional_chances_are_their_densities_summed(spark):
+    grid = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+    k, b, n, t = F.lit(5), F.lit(2), 1.5, 2.0
+    x = F.col("u") * 0.8
+    pairs = [
+        (population.prob_bounded_coal(x, k, n, F.lit(t)), population.cdf_bounded_coal(F.lit(0.8), k, n, F.lit(t))),
+        (population.prob_coal_cond_counts(x, k, b, F.lit(t), n), population.cdf_coal_cond_counts(F.lit(0.8), k, b, F.lit(t), n)),
+    ]
+    for density, cdf in pairs:
+        assert grid.agg(F.sum(density) * 0.8 / 4000).first()[0] == pytest.approx(spark.range(1).select(cdf).first()[0], abs=1e-4)
+    for birth, death in ((0.8, 0.3), (0.5, 0.5)):
+        full = F.col("u") * t
+        seen = grid.agg(F.sum(population.birth_wait_time(full, F.lit(3), F.lit(t), birth, death)) * t / 4000).first()[0]
+        none = spark.range(1).select(population.prob_no_birth(F.lit(3), F.lit(t), birth, death)).first()[0]
+        assert seen + none == pytest.approx(1, abs=1e-4)
+
+
+def test_lineages_meet_before_a_bound(spark):
+    from millrace.operators import rearrange
+
+    species = spark.createDataFrame([("r", None, 1.5, 2.0), ("u", "r", 0.7, 1.0), ("a", "u", 0.0, 1.0), ("b", "u", 0.0, 0.5), ("c", "r", 0.0, 3.0)], "node string, parent string, age double, n double")
+    counts = spark.createDataFrame([(1, "a", 1), (1, "c", 1), (2, "a", 3), (2, "b", 2), (2, "c", 2), (3, "b", 1)], "tree_id int, snode string, n int")
+    got = {r.tree_id: math.exp(r.log_p) for r in rearrange.log_met_before(counts, species, 4.0).collect()}
+    assert got[1] == pytest.approx(1 - math.exp(-2.5 / 2.0)) and got[3] == pytest.approx(1)
+    rng, hits, tries = random.Random(8), 0, 8000
+
+    def left(k, span, n):
+        while k > 1 and (w := rng.expovariate(k * (k - 1) / 2 / n)) < span:
+            k, span = k - 1, span - w
+        return k
+
+    for _ in range(tries):
+        u = left(left(3, 0.7, 1.0) + left(2, 0.7, 0.5), 0.8, 1.0)
+        hits += left(u + left(2, 1.5, 3.0), 2.5, 2.0) == 1
+    assert got[2] == pytest.approx(hits / tries, abs=0.025)
+    free = {r.tree_id: r.log_p for r in rearrange.log_met_before(counts, species, None).collect()}
+    assert free[2] == pytest.approx(0, abs=1e-9)
