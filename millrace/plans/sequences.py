@@ -69,6 +69,15 @@ def population(spark, d):
     return x.select("p_partkey", F.round(P.prob_coal(at, k, 1000), 8).alias("coal"), F.round(P.prob_coal_counts(k, b, at, 1000), 6).alias("counts"), F.round(P.prob_birth_death1(k, at, 0.002, 0.001), 8).alias("birth_death"))
 
 
+@query("""WITH x AS (SELECT p_partkey, p_size / 25.0::DOUBLE AS t FROM part), m AS (SELECT *, 1 - 1.5 * exp(-(2.5 - t) / 1.5) + 0.5 * exp(-(2.5 - t) * 2) AS rest, 1 - 1.5 * exp(-2.5 / 1.5) + 0.5 * exp(-5::DOUBLE) AS whole FROM x)
+  SELECT p_partkey, round(1 - exp(-2 * t) * rest / whole, 8) AS bounded, round(1 - exp(-2 * t) * (exp(-(2.5 - t) / 1.5) - exp(-(2.5 - t) * 2)) / (exp(-2.5 / 1.5) - exp(-5::DOUBLE)), 8) AS counted,
+  round(2 * 0.5 * exp(-2 * 0.5 * t) * (1 - 0.375 * exp(-0.5 * (2.5 - t))) / pow(1 - 0.375 * exp(-0.5 * 2.5), 2), 8) AS birth FROM m""")
+def conditional_waits(spark, d):
+    at, k = F.col("p_size") / F.lit(25.0), F.lit(3)
+    out = {"bounded": P.cdf_bounded_coal(at, k, 1.5, F.lit(2.5)), "counted": P.cdf_coal_cond_counts(at, k, F.lit(2), F.lit(2.5), 1.5), "birth": P.birth_wait_time(at, F.lit(2), F.lit(2.5), 0.8, 0.3)}
+    return t(spark, d, "part").select("p_partkey", *(F.round(c, 8).alias(n) for n, c in out.items()))
+
+
 SYMBOLS = """WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
   s AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i_at, coalesce(2.0::DOUBLE * (n + 1 - i) / (n * (n + 1)), 1) AS x, coalesce(2.0::DOUBLE * i / (n * (n + 1)), 1) AS y FROM events LEFT JOIN k USING (event_type))"""
 
