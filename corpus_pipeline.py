@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, mixing, neardup, quality, shards
-from millrace.llm.common import shared_dir, table, written
+from millrace.llm.common import held_out, shared_dir, table, written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,9 +33,8 @@ def with_extras(stage):
 @with_extras
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rows = quality.teachers(table(spark, sf_dir, "labels"))
-    taught = docs.join(F.broadcast(rows.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    model = quality.train(quality.with_features(taught, ["doc_id"]), rows)
+    may_teach = quality.with_features(docs.where(~held_out(F.col("doc_id"))), ["doc_id"])
+    model = quality.train(may_teach, table(spark, sf_dir, "labels"))
     out = quality.scored(quality.with_features(docs, docs.columns), model)
     return out.where("predicted = 1").select(docs.columns)
 

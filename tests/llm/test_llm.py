@@ -3,14 +3,17 @@
 import hashlib
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import ann, decontam, langid, lines, mixing, neardup, quality, queries, shards, warc
+from millrace.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, features string, shard int, c_0 int, size string"
@@ -391,6 +394,59 @@ def test_quality_against_a_plain_fit(spark):
         assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
 
 
+def test_quality_learns_from_every_pair():
+    """The weights are those of plain Newton steps over all pairs written down, none drawn."""
+    rng = np.random.default_rng(2)
+    for n, apart in ((400, 1.0), (90, 6.0)):
+        x, y = rng.normal(size=(n, len(quality.NAMES))), rng.integers(0, 2, n)
+        x[:, 2] += apart * y
+        m = quality.fit(x, y)
+        z = quality.expand((x - m.mean) / m.scale)
+        d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+        w = np.zeros(z.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-d @ w))
+            w = w - np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ (p - 1) / len(d) + 1e-3 * w)
+        assert np.abs(m.weight - w).max() < 1e-6
+
+
+def test_quality_learns_from_every_row(spark):
+    """More labelled rows than were once learned from: mean, scale, weights and threshold are those of all rows in memory, however they are dealt out."""
+    rng = np.random.default_rng(3)
+    n = 24_000
+    x, y = rng.normal(size=(n, len(quality.NAMES))), rng.integers(0, 2, n)
+    x[:, 2] += 0.5 * y
+    x[::3] = x[0]  # equal strengths, at some quantiles too
+    docs = spark.createDataFrame(pa.table({"doc_id": range(n), "features": x.tolist()}))
+    # a label said twice counts once; one that contradicts itself, none and another value don't teach
+    odd = [(1, int(y[1])), (3, 0), (3, 1), (4, None), (5, 2), (-1, 1)]
+    said = [(i, int(v)) for i, v in enumerate(y) if i not in (3, 4, 5)] + odd
+    labels = spark.createDataFrame(said, "doc_id long, quality int")
+    ok = np.array([zlib.crc32(str(i).encode()) % 4 != 2 and i not in (3, 4, 5) for i in range(n)])
+    want = quality.fit(x[ok], y[ok])
+    for parts in (3, 7):
+        got = quality.train(docs.repartition(parts), labels)
+        assert np.allclose(got.mean, want.mean, atol=1e-9) and np.allclose(got.scale, want.scale, atol=1e-9)
+        assert np.allclose(got.weight, want.weight, atol=1e-6) and abs(got.cut - want.cut) < 1e-5
+
+
+@pytest.mark.parametrize("n", [2, 3, 40, 999, 1001, 2500])
+def test_quality_threshold(spark, n):
+    """Over ranks in tasks as over an array in memory, ties included."""
+    rng = np.random.default_rng(n)
+    x, y = np.round(rng.normal(size=(n, len(quality.NAMES))), 1), np.arange(n) % 2
+    x[:, 0] += 0.3 * y
+    w = np.zeros(2 * len(quality.NAMES))
+    w[0] = 1.0
+    m = quality.Model(np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)), w, 0.0)
+    s = m.strength(x)
+    grid = np.quantile(s, np.arange(1, 1000) / 1000)
+    right = np.array([2 * (s[y == 1] >= t).mean() + (s[y == 0] < t).mean() for t in grid])
+    taught = spark.createDataFrame(pa.table({"features": x.tolist(), "y": pa.array(y, pa.int32())})).repartition(3)
+    cut = quality.threshold(taught, m, int(y.sum()), int(n - y.sum()), shared_dir(spark))
+    assert abs(cut - quality.best_quantile(grid, right)) < 1e-9
+
+
 def test_jaccard(spark, odd):
     rows = [tuple(r) for r in neardup.op8_jaccard(spark, odd).where("doc_id is not null").collect()]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
