@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,3 +106,29 @@ def local_path(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), os.path.abspath(uri)
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def finite_vectors(vectors: DataFrame, keep: list[str], vector_col: str) -> DataFrame:
+    """The columns `keep` as k0, k1, ... and `v` as doubles, of rows whose vector isn't null or empty and holds finite components only."""
+    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.where((F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
+
+
+def tree_sum(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of the arrays that f makes of each task's Arrow batches, None standing for nothing.
+
+    Merged by treeAggregate, about four arrays in a task, so that the driver gets five at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = f(batches)
+        if got is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([got.dtype.str]), pa.array([list(got.shape)], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(got).tobytes()], pa.binary())], ["kind", "shape", "sums"])
+
+    def both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a + b
+
+    arrays = df.mapInArrow(run, "kind string, shape array<long>, sums binary").rdd
+    depth = max(2, math.ceil(math.log(max(2, arrays.getNumPartitions()), 4)))
+    return arrays.treeAggregate(None, lambda a, r: both(a, np.frombuffer(r["sums"], r["kind"]).reshape(r["shape"])), both, depth)
