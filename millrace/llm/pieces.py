@@ -5,11 +5,13 @@ beside each other: no merge ever crosses such a place, so the stretches between
 encoded on their own, and a stretch met before isn't merged again. In a stretch
 all adjacent pairs of symbols that form a piece wait on an agenda, ordered by the
 piece's score and then from left to right; the first is merged, and the pairs with
-its new neighbours join the agenda, until none is left. Letters without a piece become
+its new neighbours join the agenda, until none is left. The agenda of a short stretch is
+a list, that of a long one a heap. Letters without a piece become
 their bytes, or the unknown id where the vocabulary has no bytes.
 
-Tasks work on Arrow batches; every batch is checked against the sentencepiece library
-(``check``), and a difference is an error. The model file is read once, by the driver,
+Tasks work on Arrow batches. With ``check``, what the agenda made of the stretches that are new
+in a batch is compared with the sentencepiece library, and so is every decoded text; a difference is an
+error. The model file is read once, by the driver,
 and its bytes (bounded by the vocabulary) go to the tasks.
 
 Token ids are held packed, as little-endian unsigned 32-bit integers.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import math
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -41,10 +44,19 @@ from .common import table
 SPACE = "▁"
 #: Stretches that are remembered (twice as many at most), and the longest of them.
 REMEMBERED, LONGEST = 1 << 17, 48
+NEVER = math.inf
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def unpack(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<u4").tolist()
+
+
 class Vocabulary:
     """Pieces, scores and kinds of a model, and the stretches met so far."""
 
@@ -59,6 +71,8 @@ class Vocabulary:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not (spec.add_dummy_prefix and spec.escape_whitespaces) or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("the model must take letters as they are, with a space before the text")
         self.library = SentencePieceProcessor(model_proto=raw)
+        proto.normalizer_spec.add_dummy_prefix = False
+        self.library_inside = SentencePieceProcessor(model_proto=proto.SerializeToString())
         plain = [(i, p) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL]
         self.ids = {p.piece: i for i, p in plain}
         self.cost = {p.piece: -p.score for _, p in plain}
@@ -79,16 +93,31 @@ class Vocabulary:
         both = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         at = self.place[np.array([[ord(a), ord(b)] for a, b in both], np.int64).reshape(-1, 2)]
         self.inside[at[:, 0], at[:, 1]] = True
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.fresh: list[tuple[str, list[int]]] = []
 
     def stretches(self, text: str) -> list[str]:
         at = self.place[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         ends = (np.flatnonzero(~self.inside[at[:-1], at[1:]]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
-    def merged(self, text: str) -> list[int]:
-        """The ids of a stretch, by the agenda."""
+    def short(self, text: str) -> list[str]:
+        """The symbols that are left of a short stretch."""
+        symbol, cost = list(text), self.cost.get
+        agenda = [cost(a + b, NEVER) for a, b in zip(symbol, symbol[1:], strict=False)]
+        while agenda and (least := min(agenda)) < NEVER:
+            i = agenda.index(least)
+            symbol[i] += symbol.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbol[i] + symbol[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = cost(symbol[i - 1] + symbol[i], NEVER)
+        return symbol
+
+    def long(self, text: str) -> list[str]:
+        """The same of any stretch."""
         symbol, cost = list(text), self.cost
         n = len(symbol)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -111,8 +140,12 @@ class Vocabulary:
                 p = symbol[left[i]] + piece
                 if p in cost:
                     heappush(agenda, (cost[p], left[i], p))
+        return [s for s in symbol if s]
+
+    def merged(self, text: str) -> list[int]:
+        """The ids of a stretch, by the agenda."""
         out: list[int] = []
-        for s in filter(None, symbol):
+        for s in self.short(text) if len(text) <= LONGEST else self.long(text):
             got = self.ids.get(s)
             if got is not None:
                 out.append(got)
@@ -122,27 +155,39 @@ class Vocabulary:
                 out.append(self.unk)
         return out
 
-    def remembered(self, text: str) -> list[int]:
-        """merged(), of a stretch that isn't among the newest."""
-        got = self.old.get(text)
+    def remembered(self, text: str) -> bytes:
+        """The packed ids of a stretch, merged if it isn't among the last ones."""
+        got = self.new.get(text) or self.old.get(text)
         if got is None:
-            got = self.merged(text)
+            ids = self.merged(text)
+            self.fresh.append((text, ids))
+            got = pack(ids)
         if len(text) <= LONGEST:
             if len(self.new) >= REMEMBERED:
                 self.old, self.new = self.new, {}
             self.new[text] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
-        """With the begin and end ids, where the model has them."""
-        out = [self.bos] if self.bos >= 0 else []
+    def encode(self, text: str) -> bytes:
+        """Packed ids, with the begin and end ids where the model has them."""
+        inside = b""
         if text:
-            for s in self.stretches(SPACE + text.replace(" ", SPACE)):
-                out += self.new.get(s) or self.remembered(s)
+            parts = self.stretches(SPACE + text.replace(" ", SPACE))
+            found = list(map(self.new.get, parts))
+            inside = b"".join([x or self.remembered(s) for x, s in zip(found, parts, strict=True)] if None in found else found)
         if not self.bytes:
-            # neighbouring unknown letters are one
-            out = [x for i, x in enumerate(out) if x != self.unk or not i or out[i - 1] != self.unk]
-        return [*out, self.eos] if self.eos >= 0 else out
+            inside = pack(self.as_one(unpack(inside)))
+        return pack([self.bos] if self.bos >= 0 else []) + inside + pack([self.eos] if self.eos >= 0 else [])
+
+    def as_one(self, ids: list[int]) -> list[int]:
+        """Neighbouring unknown letters are one."""
+        return ids if self.bytes else [x for i, x in enumerate(ids) if x != self.unk or not i or ids[i - 1] != self.unk]
+
+    def check(self) -> None:
+        """The stretches merged since the last check, against the library."""
+        if self.fresh and [self.as_one(ids) for _, ids in self.fresh] != self.library_inside.encode([t for t, _ in self.fresh], num_threads=1):
+            raise ValueError("the agenda and the sentencepiece library differ")
+        self.fresh = []
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that aren't UTF-8 become U+FFFD each."""
@@ -187,11 +232,11 @@ def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text",
 
     def work(texts: pa.Array) -> pa.Array:
         voc = vocabulary(raw)
-        texts = [t or "" for t in texts.to_pylist()]
-        ids = [voc.encode(t) for t in texts]
-        if check and ids != voc.library.encode(texts, add_bos=voc.bos >= 0, add_eos=voc.eos >= 0, num_threads=1):
-            raise ValueError("the agenda and the sentencepiece library differ")
-        return pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
+        ids = pa.array([voc.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        if check:
+            voc.check()
+        voc.fresh = []
+        return ids
 
     return _mapped(docs, keep, text_col, T.StructField("ids", T.BinaryType()), work)
 
@@ -203,7 +248,7 @@ def decode(tokens: DataFrame, model: str, keep: list[str], ids_col: str = "ids",
 
     def work(packed: pa.Array) -> pa.Array:
         voc = vocabulary(raw)
-        ids = [None if b is None else np.frombuffer(b, "<u4").tolist() for b in packed.to_pylist()]
+        ids = [None if b is None else unpack(b) for b in packed.to_pylist()]
         texts = [None if x is None else voc.decode(x) for x in ids]
         given = [x for x in ids if x is not None]
         if check and given and [t for t in texts if t is not None] != voc.library.decode(given, num_threads=1):

@@ -178,12 +178,19 @@ def odd_texts():
 
 def test_pieces_as_the_library(voc):
     for t in odd_texts():
-        ids = voc.encode(t)
+        ids = pieces.unpack(voc.encode(t))
         assert ids == voc.library.encode(t, add_bos=True, add_eos=True)
         assert voc.decode(ids) == voc.library.decode(ids)
-        # each stretch on its own is what the whole text is in one
+        # the stretches on their own are what the whole text is in one, by the list and by the heap
+        whole = "▁" + t.replace(" ", "▁")
         if t and len(t) < 3000:
-            assert voc.merged("▁" + t.replace(" ", "▁")) == ids[1:-1]
+            assert voc.short(whole) == voc.long(whole) == [x for s in voc.stretches(whole) for x in voc.short(s)]
+    voc.check()
+
+
+def test_whole_texts_as_the_library(spark, model, voc):
+    rows = pieces.encode(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), model, ["text"]).collect()
+    assert [pieces.unpack(r["ids"]) for r in rows] == voc.library.encode([r["text"] for r in rows], add_bos=True, add_eos=True)
 
 
 def test_any_ids_decode_as_by_the_library(voc):
@@ -209,7 +216,7 @@ def test_vocabulary_without_bytes(voc):
     del proto.pieces[3:259]
     own = pieces.Vocabulary(proto.SerializeToString())
     for t in odd_texts()[:300]:
-        ids = own.encode(t)
+        ids = pieces.unpack(own.encode(t))
         assert ids == own.library.encode(t, add_bos=True, add_eos=True) and own.decode(ids) == own.library.decode(ids)
     proto.normalizer_spec.remove_extra_whitespaces = True
     with pytest.raises(ValueError):
