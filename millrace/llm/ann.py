@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import finite_vectors, shared_dir, table, written
 
-PROJECTIONS, THRESHOLD, MISS, WIDEN, FIRST = 128, 0.6, 0.02, 1.3, 0.5
-PART_ROWS, BLOCK_ROWS = 16384, 2048
+PROJECTIONS, THRESHOLD, MISS, WIDEN, FIRST = 64, 0.6, 0.02, 1.3, 0.5
+PART_ROWS, BLOCK_ROWS = 32768, 1024
 
 
 @cache
@@ -66,27 +66,26 @@ class Index:
     """Sorted arrays over vectors (n x d), scaled by `scale` and then, with one component more, to the length `norm`."""
 
     def __init__(self, x: np.ndarray, scale: float, norm: float, projections: int = PROJECTIONS, seed: int = 3):
-        self.x, self.n, self.scale, self.norm = x, len(x), scale, norm
-        unit = x / scale / norm
-        lift = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(1)))
+        self.x, self.n, self.unit = x, len(x), x / scale / norm
+        lift = np.sqrt(np.maximum(0.0, 1 - (self.unit * self.unit).sum(1)))
         self.directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
-        p = np.column_stack((unit, lift)) @ self.directions
+        p = np.column_stack((self.unit, lift)) @ self.directions
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(p, axis=0).T.copy()
 
     def search(self, q: np.ndarray, k: int, rows: np.ndarray, own: np.ndarray, threshold: float = THRESHOLD, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (a row of q, itself the row `own`) the verified places and their products; rows are the places' rows."""
+        """For each query (a row of q, itself the row `own`) the places of the k best verified, and of those as good as the last of them, with their products; rows are the places' rows."""
         m = len(self.sorted)
         need = math.ceil(threshold * m)
         far = reach(m, need, miss)
         inner = q / np.abs(q).max(1, keepdims=True)
-        size = np.sqrt((inner * inner).sum(1))
-        at = np.stack([v @ self.directions[:-1] for v in inner / size[:, None]]) if len(q) else np.zeros((0, m))
+        inner /= np.sqrt((inner * inner).sum(1, keepdims=True))
+        at = np.stack([v @ self.directions[:-1] for v in inner]) if len(q) else np.zeros((0, m))
         lo = np.stack([a.searchsorted(at[:, j]) for j, a in enumerate(self.sorted)], axis=1)
         hi, width, open_ = lo.copy(), np.full(len(q), FIRST), np.arange(len(q))
         counts = np.zeros((len(q), self.n), np.int16)
         near = [np.zeros(0)] * len(q)
-        found: list[list[np.ndarray]] = [[] for _ in q]
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
         while len(open_):
             w = width[open_]
             new_lo = np.stack([a.searchsorted(at[open_, j] - w) for j, a in enumerate(self.sorted)], axis=1)
@@ -98,10 +97,12 @@ class Index:
                 before, lo[i], hi[i] = counts[i] >= need, low, high
                 counts[i] += np.bincount(np.concatenate(margins), minlength=self.n).astype(np.int16)
                 fresh = np.flatnonzero((counts[i] >= need) & ~before)
-                found[i].append(fresh)
-                # products of the scaled vectors: distances don't overflow
-                cosine = (self.x[fresh[rows[fresh] != own[i]]] / self.scale * inner[i]).sum(1) / size[i] / self.norm
-                near[i] = np.sort(np.concatenate((near[i], cosine)))[-k:]
+                fresh = fresh[rows[fresh] != own[i]]
+                # cosines, which don't overflow
+                cosine = self.unit[fresh] @ inner[i]
+                found[i].append((fresh, cosine))
+                both = np.concatenate((near[i], cosine))
+                near[i] = both if len(both) < k else np.partition(both, len(both) - k)[-k:]
                 done = math.inf if len(near[i]) < k else far * math.sqrt(max(0.0, 2 - 2 * near[i][0]))
                 if width[i] < done and (low.any() or (high < self.n).any()):
                     width[i] = min(width[i] * WIDEN, done)
@@ -110,8 +111,9 @@ class Index:
         out = []
         with np.errstate(over="ignore", invalid="ignore"):
             for i, parts in enumerate(found):
-                c = np.concatenate(parts)
-                c = c[rows[c] != own[i]]
+                c, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+                # the products are those of the vectors as they are; cosines are right to far more digits than the margin
+                c = c[cosine >= near[i].min() - 1e-9] if len(near[i]) else c
                 out.append((c, (self.x[c] * q[i]).sum(1)))
         return out
 
