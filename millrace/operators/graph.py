@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows with their lineage cut, in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+    """The rows, written as Parquet to the shared checkpoint folder and read again, so that later plans start there.
+
+    Unlike a checkpoint's, their size is known to the planner from the files, and not guessed from
+    the plan that made them, which over many rounds of joins grows out of all bounds.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         conf = sc.getConf().get("spark.checkpoint.dir")
         if not conf and not sc.master.startswith("local"):
@@ -18,7 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
 
             conf = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(conf)
-    return df.checkpoint()
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def closure(tree: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 30) -> DataFrame:
@@ -47,6 +58,26 @@ def lca(paths: DataFrame, pairs: DataFrame, a: str, b: str, node: str = "node")
     return met.groupBy(a, b).agg(F.min(F.struct("da", "db", "x")).alias("m")).select(a, b, F.col("m.x").alias("lca"), (F.col("m.da") + F.col("m.db")).alias("distance"))
 
 
+def above(edges: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, depth): what each node leads to, itself at 0, over the fewest edges.
+
+    Nodes may have several parents, and edges may lead back. Only the pairs that are new
+    in a round are followed in the next one, so a node that is reached in many
+    ways is one row and goes on once; where no pair is new, as at last in a cycle, it ends. The
+    number of rounds is the longest of the shortest ways. Null ends are left out.
+    """
+    held = edges.where(F.col(node).isNotNull() & F.col(parent).isNotNull()).select(F.col(node).alias("_from"), F.col(parent).alias("_to")).distinct()
+    held = cut(held)
+    fresh = cut(held.select(F.col("_from").alias(node)).union(held.select("_to")).distinct().select(node, F.col(node).alias("ancestor"), F.lit(0).alias("depth")))
+    found = [fresh]
+    while not fresh.isEmpty():
+        step = fresh.join(held, F.col("ancestor") == F.col("_from")).select(node, F.col("_to").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
+        known = reduce(DataFrame.union, found).select(node, "ancestor")
+        fresh = cut(step.join(known, [node, "ancestor"], "left_anti"))
+        found.append(fresh)
+    return reduce(DataFrame.union, found)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(item, component): the smallest item that edges lead to, by alternating stars."""
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())

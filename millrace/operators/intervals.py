@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def union_ids(df: DataFrame, key: list[str], ident: str, s: str = "s", e: str = "e") -> DataFrame:
     """Adds `u`: the number of the run of overlapping intervals, from 0 in each group."""
-    w = Window.partitionBy(*key).orderBy(s, ident)
-    reach = F.max(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumn("_new", F.when(reach.isNull(), 0).when(F.col(s) <= reach, 0).otherwise(1))
-    return out.withColumn("u", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = scan.lay(df, key, [s, ident]).add(_reach=scan.largest_before(e))
+    new = F.when(F.col("_reach").isNull() | (F.col(s) <= F.col("_reach")), 0).otherwise(1)
+    return rows.with_columns(_new=new).add(u=scan.total("_new")).done().drop("_new", "_reach")
 
 
 def union(df: DataFrame, key: list[str], ident: str, s: str = "s", e: str = "e") -> DataFrame:
@@ -23,9 +26,8 @@ def coverage(df: DataFrame, key: list[str], s: str = "s", e: str = "e") -> DataF
     """Depth between neighbouring end points: key, s, e, depth. Gaps inside have depth 0."""
     ends = df.select(*key, F.explode(F.array(F.struct(F.col(s).alias("p"), F.lit(1).alias("d")), F.struct(F.col(e).alias("p"), F.lit(-1).alias("d")))).alias("x"))
     ends = ends.groupBy(*key, F.col("x.p").alias(s)).agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy(*key).orderBy(s)
-    out = ends.withColumn("depth", F.sum("d").over(w)).withColumn(e, F.lead(s).over(w))
-    return out.where(F.col(e).isNotNull()).select(*key, s, e, "depth")
+    out = scan.lay(ends, key, [s]).add(depth=scan.total("d"), _e=scan.following(s)).done()
+    return out.where("_e is not null").select(*key, s, F.col("_e.v").alias(e), "depth")
 
 
 def subtract(a: DataFrame, b: DataFrame, key: list[str], s: str = "s", e: str = "e") -> DataFrame:
@@ -33,12 +35,12 @@ def subtract(a: DataFrame, b: DataFrame, key: list[str], s: str = "s", e: str =
     both = a.select(*key, s, e, F.lit(1).alias("g")).union(b.select(*key, s, e, F.lit(0).alias("g")))
     ends = both.select(*key, F.explode(F.array(F.struct(F.col(s).alias("p"), F.lit(1).alias("d")), F.struct(F.col(e).alias("p"), F.lit(-1).alias("d")))).alias("x"), "g")
     ends = ends.groupBy(*key, F.col("x.p").alias(s)).agg(F.sum(F.when(F.col("g") == 1, F.col("x.d")).otherwise(0)).alias("da"), F.sum(F.when(F.col("g") == 0, F.col("x.d")).otherwise(0)).alias("db"))
-    w = Window.partitionBy(*key).orderBy(s)
-    cut = ends.withColumn("da", F.sum("da").over(w)).withColumn("db", F.sum("db").over(w)).withColumn(e, F.lead(s).over(w))
-    cut = cut.where(F.col(e).isNotNull()).withColumn("on", (F.col("da") > 0) & (F.col("db") == 0))
+    cut = scan.lay(ends, key, [s]).add(da=scan.total("da"), db=scan.total("db"), _e=scan.following(s))
+    cut = cut.with_columns(on=F.col("_e").isNotNull() & (F.col("da") > 0) & (F.col("db") == 0)).add(_on=scan.previous("on"))
     # neighbouring pieces are one span
-    cut = cut.withColumn("run", F.sum(F.when(F.col("on") & F.coalesce(F.lag("on").over(w), F.lit(False)), 0).otherwise(1)).over(w))
-    return cut.where("on").groupBy(*key, "run").agg(F.min(s).alias(s), F.max(e).alias(e)).drop("run")
+    joined = F.when(F.col("on") & F.coalesce(F.col("_on.v"), F.lit(False)), 0).otherwise(1)
+    spans = cut.with_columns(_new=joined).add(run=scan.total("_new")).done().where("on").withColumn(e, F.col("_e.v"))
+    return spans.groupBy(*key, "run").agg(F.min(s).alias(s), F.max(e).alias(e)).drop("run")
 
 
 def _cell_width(df: DataFrame, s: str, e: str) -> float:
@@ -78,16 +80,45 @@ def following(points: DataFrame, df: DataFrame, key: list[str], point: str = "p"
     return brackets(points, df.select(*key, "s"), key, point, "s").drop("below").withColumnRenamed("above", "next")
 
 
-def rectangle_join(a: DataFrame, b: DataFrame, key: list[str], width: float) -> DataFrame:
-    """Pairs of overlapping rectangles (x1, y1, x2, y2) and (u1, v1, u2, v2) by cells of a grid; half open."""
+def rectangle_join(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of overlapping rectangles (x1, y1, x2, y2) and (u1, v1, u2, v2) of equal key; half open.
 
-    def cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
-        df = df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(x1) / width), F.floor(F.col(x2) / width))))
-        return df.withColumn("_cy", F.explode(F.sequence(F.floor(F.col(y1) / width), F.floor(F.col(y2) / width))))
-
-    met = cells(a, "x1", "y1", "x2", "y2").join(cells(b, "u1", "v1", "u2", "v2"), [*key, "_cx", "_cy"])
+    Grids of cells that double in width from level to level: a rectangle is held at the level
+    whose cells are as wide as its longer side or up to twice that, in four of them
+    at most, and looks for wider ones in four cells at most of each level above where the other side
+    has any. So a wide rectangle costs no more than a small one, and a pair is met once, in
+    the cell that holds the lower corner of what the two share. Of rectangles with a null
+    or non-finite side no pair is made.
+    """
+    one, two = ("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2")
+    sides = []
+    for df, cols in ((a, one), (b, two)):
+        df = df.where(reduce(lambda p, q: p & q, (F.abs(F.col(c).cast("double")) < float("inf") for c in cols)))
+        longer = F.greatest(F.col(cols[2]) - F.col(cols[0]), F.col(cols[3]) - F.col(cols[1])).cast("double")
+        far = F.greatest(*(F.abs(F.col(c).cast("double")) for c in cols))
+        # cells are numbered by longs: so far from the origin none is narrower than 2^-50 of the way
+        sides.append(df.withColumn("_level", F.greatest(F.ceil(F.log2(F.when(longer > 0, longer))), F.ceil(F.log2(F.when(far > 0, far))) - 50, F.lit(-1000)).cast("int")))
+    levels = [sorted(r[0] for r in df.select("_level").distinct().collect()) for df in sides]
+
+    def cells(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col("_grid"))
+        df = df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(cols[0]) / width), F.floor(F.col(cols[2]) / width))))
+        return df.withColumn("_cy", F.explode(F.sequence(F.floor(F.col(cols[1]) / width), F.floor(F.col(cols[3]) / width))))
+
+    def seeking(df: DataFrame, cols: tuple[str, ...], wider: list[int], strictly: bool) -> DataFrame:
+        these = F.filter(F.array(*(F.lit(i) for i in wider)).cast("array<int>"), lambda i: (i > F.col("_level")) if strictly else (i >= F.col("_level")))
+        return cells(df.withColumn("_grid", F.explode(these)).drop("_level"), cols)
+
+    def held(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+        return cells(df.withColumn("_grid", F.col("_level")).drop("_level"), cols)
+
+    on = [*key, "_grid", "_cx", "_cy"]
+    (x, y), (of_x, of_y) = sides, levels
+    met = held(x, one).join(seeking(y, two, of_x, False), on).unionByName(seeking(x, one, of_y, True).join(held(y, two), on))
+    width = F.pow(F.lit(2.0), F.col("_grid"))
     first = (F.col("_cx") == F.floor(F.greatest("x1", "u1") / width)) & (F.col("_cy") == F.floor(F.greatest("y1", "v1") / width))
-    return met.where(first & (F.col("x2") > F.col("u1")) & (F.col("x1") <= F.col("u2")) & (F.col("y2") > F.col("v1")) & (F.col("y1") <= F.col("v2"))).drop("_cx", "_cy")
+    touch = (F.col("x2") > F.col("u1")) & (F.col("x1") <= F.col("u2")) & (F.col("y2") > F.col("v1")) & (F.col("y1") <= F.col("v2"))
+    return met.where(first & touch).drop("_grid", "_cx", "_cy")
 
 
 def segments(df: DataFrame, key: list[str], ident: str, width: int) -> DataFrame:

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def uniq(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """The first row of every run of equal values."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("_p", F.lag(value).over(w)).where((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_p"))).drop("_n", "_p")
+    rows = scan.lay(df, by, order).add(_p=scan.previous(value)).done()
+    return rows.where(F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_p.v"))).drop("_p")
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal values: their value, number of rows and place of the first row (from 0)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("_n", F.row_number().over(w) - 1).withColumn("_new", F.when((F.col("_n") == 0) | ~F.col(value).eqNullSafe(F.lag(value).over(w)), 1).otherwise(0))
-    out = out.withColumn("run", F.sum("_new").over(w))
+    rows = scan.lay(df.select(*dict.fromkeys([*by, *order, value])), by, order).add(_p=scan.previous(value), _n=scan.place())
+    new = (F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_p.v"))).cast("int")
+    out = rows.with_columns(_new=new).add(run=scan.total("_new")).done()
     return out.groupBy(*by, "run").agg(F.first(value).alias(value), F.min("_n").cast("long").alias("start"), F.count("*").alias("n"))
 
 
 def cumsum(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    return scan.lay(df, by, order).add(**{out: scan.total(value)}).done()
 
 
 def map_window(df: DataFrame, by: list[str], order: list[str], value: str, radius: int, f, out: str) -> DataFrame:

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, tours
 
 ID = ["tree_id", "node"]
 
@@ -57,21 +57,23 @@ def ages(nodes: DataFrame) -> DataFrame:
     return down.join(high, ID).select(*ID, (F.col("far") - F.col("high")).alias("age"), (F.col("far") - F.col("near")).alias("spread"))
 
 
-def reconcile(nodes: DataFrame, species: DataFrame, tips: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """(tree_id, node, snode, event) of every gene node.
+def reconcile(nodes: DataFrame, species: DataFrame, tips: DataFrame) -> DataFrame:
+    """(tree_id, node, snode, event) of every gene node above a tip of known species.
 
     species is the (node, parent) table of the species tree, tips gives
     (tree_id, node, species) of the gene leaves. An inner node belongs to the
-    lowest common ancestor of the species below it: the deepest species node
-    that all of them lead to. It is `dup` if a child belongs to the same one,
-    else `spec`; leaves are `gene`. up is paths(nodes), if it is there already.
+    lowest common ancestor of the species below it, which is that of the first and the last
+    of them on a tour of the species tree. It is `dup` if a child belongs to the same one,
+    else `spec`; leaves are `gene`.
     """
-    sup = graph.closure(species)
-    deep = sup.groupBy("node").agg(F.max("depth").alias("level"))
-    sup = sup.select(F.col("node").alias("species"), "ancestor").join(deep.select(F.col("node").alias("ancestor"), "level"), "ancestor")
-    below = (paths(nodes) if up is None else up).join(tips, ID).select("tree_id", F.col("ancestor").alias("node"), "species").distinct()
-    met = below.join(sup, "species").groupBy("tree_id", "node", "ancestor").agg(F.count("*").alias("n"), F.first("level").alias("level"))
-    recon = met.groupBy("tree_id", "node").agg(F.max(F.struct("n", "level", F.col("ancestor").alias("s"))).alias("m")).select(*ID, F.col("m.s").alias("snode"))
+    number = graph.cut(tours.tour(species).select("node", "parent", "pre", "level", "size"))
+    of = number.select("node", "pre")
+    values = tips.join(of.withColumnRenamed("node", "species"), "species").select(*ID, "pre")
+    span = graph.cut(tours.extremes(tours.tour(nodes, ("tree_id",)), values, "pre", ("tree_id",)).where("low is not null"))
+    by_number = number.join(of.select(F.col("node").alias("parent"), F.col("pre").alias("up")), "parent", "left").select(F.col("pre").alias("node"), F.col("up").alias("parent"), "level", "size")
+    met = tours.lca(tours.heavy_paths(by_number), span, "low", "high")
+    met = met.join(of.select(F.col("pre").alias("lca"), F.col("node").alias("snode")), "lca").select("low", "high", "snode")
+    recon = graph.cut(span.join(met, ["low", "high"]).select(*ID, "snode"))
     child = nodes.where("parent is not null").select("tree_id", "node", "parent").join(recon.withColumnRenamed("snode", "cs"), ID)
     same = child.select("tree_id", F.col("parent").alias("node"), "cs").join(recon, ID).groupBy("tree_id", "node").agg(F.max((F.col("cs") == F.col("snode")).cast("int")).alias("same"))
     event = F.when(F.col("same").isNull(), "gene").when(F.col("same") == 1, "dup").otherwise("spec")
@@ -480,7 +482,7 @@ def accuracy(actual: DataFrame, predicted: DataFrame, species: DataFrame, tips:
     things = []
     for nodes in (actual, predicted):
         up = graph.cut(paths(nodes))  # both are read several times
-        recon = graph.cut(reconcile(nodes, species, tips, up))
+        recon = graph.cut(reconcile(nodes, species, tips))
         tops = recon.where("event = 'gene'").select("tree_id", F.col("node").alias("leaf"))
         clades = up.select("tree_id", F.col("node").alias("leaf"), F.col("ancestor").alias("node")).join(tops, ["tree_id", "leaf"])
         clades = clades.groupBy(*ID).agg(F.array_sort(F.collect_list("leaf")).alias("below"))

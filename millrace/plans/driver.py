@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import graph, intervals, ordered, relational, stats
+from ..operators import graph, intervals, ordered, relational, stats, tours
 from ..streaming import events as streams
 
 QUERIES: dict = {}
@@ -171,7 +171,7 @@ def rectangle_overlap(spark, d):
     five = F.lit(5.0)
     q = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), (F.min("l_linenumber") * five).alias("y1"), (F.max("l_linenumber") * five).alias("y2"))
     b = q.withColumnsRenamed({"id": "id2", "x1": "u1", "x2": "u2", "y1": "v1", "y2": "v2"})
-    return intervals.rectangle_join(q, b, ["k"], 20.0).where("id < id2").select("k", "id", "id2")
+    return intervals.rectangle_join(q, b, ["k"]).where("id < id2").select("k", "id", "id2")
 
 
 EV = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -309,7 +309,34 @@ def tree_closure(spark, d):
   SELECT a, b, lca, distance FROM m WHERE r = 1""")
 def tree_lca(spark, d):
     pairs = t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("s_suppkey") + 1).cast("string")).alias("b"))
-    return graph.lca(graph.closure(tree(spark, d)), pairs, "a", "b")
+    return tours.lca(tours.heavy_paths(tours.tour(tree(spark, d))), pairs)
+
+
+@query(f"""WITH RECURSIVE {TREE}, q AS (SELECT node, [node] AS way FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, list_append(q.way, t.node) FROM q JOIN tree t ON t.parent = q.node),
+  f AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)),
+  n AS (SELECT ancestor AS node, count(*) AS size, count(f.node) AS leaves FROM up LEFT JOIN f ON f.node = up.node GROUP BY 1),
+  o AS (SELECT q.node, row_number() OVER (ORDER BY way) - 1 AS pre, len(way) - 1 AS level, count(f.node) OVER (ORDER BY way) - CASE WHEN f.node IS NULL THEN 0 ELSE 1 END AS first_leaf FROM q LEFT JOIN f ON f.node = q.node)
+  SELECT node, pre, size, level, first_leaf, leaves FROM o JOIN n USING (node)""")
+def tree_numbers(spark, d):
+    return tours.tour(tree(spark, d)).select("node", "pre", "size", "level", "first_leaf", "leaves")
+
+
+def supply_graph(spark, d):
+    """Parts lead to all their suppliers, these to their nation and to the supplier of half their number, nations to regions."""
+    name = lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    s = F.col("s_suppkey")
+    out = t(spark, d, "lineitem").select(name("p", F.col("l_partkey")).alias("node"), name("s", F.col("l_suppkey")).alias("parent"))
+    out = out.union(t(spark, d, "supplier").select(name("s", s), name("n", F.col("s_nationkey"))))
+    out = out.union(t(spark, d, "supplier").where(s > 1).select(name("s", s), name("s", F.floor(s / 2))))
+    return out.union(t(spark, d, "nation").select(name("n", F.col("n_nationkey")), name("r", F.col("n_regionkey"))))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT 'p' || l_partkey AS node, 's' || l_suppkey AS parent FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+    UNION SELECT 's' || s_suppkey, 's' || (s_suppkey // 2) FROM supplier WHERE s_suppkey > 1 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+  u AS (SELECT node, node AS ancestor, 0 AS depth FROM (SELECT node FROM e UNION SELECT parent FROM e) UNION SELECT u.node, e.parent, u.depth + 1 FROM u JOIN e ON u.ancestor = e.node)
+  SELECT node, ancestor, min(depth) AS depth FROM u GROUP BY 1, 2""")
+def supply_closure(spark, d):
+    return graph.above(supply_graph(spark, d))
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_orderkey AS b, lag(o_orderkey) OVER w AS a, date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),

@@ -132,6 +132,47 @@ def test_hmm_against_all_paths(spark):
     assert len(states) == len(symbols) == 20
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1000])
+def test_hmm_in_stretches(spark, stretch):
+    """A sequence over many stretches as the same one in memory; null and unknown symbols, a null key, an empty table."""
+    rng = random.Random(stretch)
+    model = hmm.Model([0.5, 0.2, 0.3], [[0.71, 0.19, 0.1], [0.13, 0.8, 0.07], [0.23, 0.17, 0.6]], [{"a": 0.53, "b": 0.47}, {"a": 0.11, "b": 0.89}, {"a": 0.7, "c": 0.3}])
+    given = {"hot": 200, None: 31, "one": 1, "two": 2}
+    symbols = {k: [rng.choice(["a", "b", "a", "b", None, "z"]) for _ in range(n)] for k, n in given.items()}
+    rows = [(k, i, x, i) for k, line in symbols.items() for i, x in enumerate(line)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, x string, state int")
+    got = hmm.decode(df, "k", ["i"], "x", model, stretch).orderBy("i")
+    assert got.columns == ["k", "i", "state", "p"]
+    for k, line in symbols.items():
+        mine = [r for r in got.collect() if r.k == k]
+        path = hmm.viterbi(model, line)
+        assert [r.i for r in mine] == list(range(len(line))) and [r.state for r in mine] == path
+        assert np.allclose([r.p for r in mine], hmm.posterior(model, line)[np.arange(len(line)), path])
+    assert hmm.decode(df.where("false"), "k", ["i"], "x", model, stretch).count() == 0
+
+
+def test_hmm_of_equal_ways(spark):
+    """Where all ways are alike, stretches still give one of the likeliest paths, and impossible moves aren't taken."""
+    model = hmm.Model([0.5, 0.5], [[0.0, 1.0], [1.0, 0.0]], [{"a": 0.5}, {"a": 0.5}])
+    df = spark.range(23).selectExpr("id as i", "'a' as x", "1 as k")
+    states = [r.state for r in hmm.decode(df, "k", ["i"], "x", model, 4).orderBy("i").collect()]
+    assert all(a != b for a, b in zip(states, states[1:], strict=False))
+
+
+def test_a_long_sequence_spans_tasks(spark):
+    n = 60_000
+    df = spark.range(n).selectExpr("0 as k", "id as i", "case when pmod(xxhash64(id), 100) < 30 + 40 * (id div 1000 % 2) then 'a' else 'b' end as x")
+    model = hmm.Model([0.5, 0.5], [[0.999, 0.001], [0.0015, 0.9985]], [{"a": 0.3, "b": 0.7}, {"a": 0.71, "b": 0.29}])
+    got = hmm.decode(df, "k", ["i"], "x", model)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
+    line = got.orderBy("i").toPandas()
+    symbols = [r.x for r in df.orderBy("i").collect()]
+    assert len(line) == n and line.state.tolist() == hmm.viterbi(model, symbols)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_codons(spark):
     s = F.lit("ATGAAANNNgga---TAA")
     assert one(spark, align.translate(s))[0] == "MKXG-*"
