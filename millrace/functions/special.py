@@ -156,28 +156,70 @@ def bayesian(lnl: Column, n: Column, k: Column) -> Column:
     return k * F.log(n) - 2 * lnl
 
 
+#: From these shapes on a density is integrated, whose peak is then narrow against its distance from 0 and, of a beta density, 1.
+BY_INTEGRAL = 1000.0
+
+
+def _stirling(z):
+    """What ln gamma(z) has beyond (z - 1/2) ln z - z + ln(2 pi) / 2, for large z."""
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+
+
+def _gauss(f, low, high):
+    """The integrals of f between arrays of bounds, by 80 points each."""
+    import numpy as np
+
+    at, weight = np.polynomial.legendre.leggauss(80)
+    half = (high - low) / 2
+    return (f(low[:, None] + half[:, None] * (at + 1)) * weight).sum(1) * half
+
+
+def _gamma_inc_large(a, x):
+    """The same for large a, by the integral of the density over the nearer tail; the density is written around its peak, where nothing cancels."""
+    import numpy as np
+
+    peak = a - 1
+    wide = np.sqrt(a)
+    top = np.exp(-0.5 * np.log(2 * np.pi * peak) - _stirling(peak))
+    upper = x > peak
+    far = np.where(upper, np.maximum(peak + 14 * wide, x + 8 * wide), np.maximum(0.0, np.minimum(peak - 14 * wide, x - 8 * wide)))
+
+    def density(t):
+        u = (t - peak[:, None]) / peak[:, None]
+        with np.errstate(divide="ignore"):
+            return np.exp(-peak[:, None] * (u - np.log1p(np.maximum(u, -1.0))))
+
+    share = top * np.abs(_gauss(density, x, far))
+    return np.clip(np.where(upper, 1 - share, share), 0.0, 1.0)
+
+
 def _gamma_inc(a, x):
-    """Lower incomplete gamma function over the complete one: the series below a + 1, the continued fraction above."""
+    """Lower incomplete gamma function over the complete one: the series below a + 1, the continued fraction above, an integral for large a."""
     import numpy as np
 
     a, x = np.asarray(a, float), np.asarray(x, float)
-    lg = np.array([math.lgamma(v) if v > 0 else np.nan for v in a])
+    out = np.where(x <= 0, np.where(np.isnan(x), np.nan, 0.0), np.where(np.isinf(x), 1.0, np.nan))
+    plain = (x > 0) & np.isfinite(x) & np.isfinite(a)
+    large, low, high = plain & (a >= BY_INTEGRAL), plain & (a < BY_INTEGRAL) & (x < a + 1), plain & (a < BY_INTEGRAL) & (x >= a + 1)
+    out[large] = _gamma_inc_large(a[large], x[large])
     with np.errstate(all="ignore"):
-        front = np.exp(a * np.log(x) - x - lg)
-        term = total = 1 / a
-        c = b = None
-        for i in range(1, 2000):
-            term = term * x / (a + i)
+        front = np.exp(a * np.log(x) - x - np.array([math.lgamma(v) if v > 0 else np.nan for v in a]))
+        p, q = a[low], x[low]
+        term = total = 1 / p
+        for i in range(1, 10_000):
+            term = term * q / (p + i)
             total = total + term
             if not np.any(np.abs(term) > 1e-17 * np.abs(total)):
                 break
-        series = front * total
-        b = x + 1 - a
-        c = np.full_like(x, 1e300)
+        else:
+            raise ArithmeticError("the series of an incomplete gamma function doesn't settle")
+        out[low] = front[low] * total
+        p, q = a[high], x[high]
+        b, c = q + 1 - p, np.full_like(q, 1e300)
         d = 1 / b
         h = d
-        for i in range(1, 2000):
-            k = -i * (i - a)
+        for i in range(1, 10_000):
+            k = -i * (i - p)
             b = b + 2
             d = k * d + b
             d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
@@ -186,7 +228,10 @@ def _gamma_inc(a, x):
             h = h * d * c
             if not np.any(np.abs(d * c - 1) > 1e-15):
                 break
-    return np.where(x <= 0, np.where(np.isnan(x), np.nan, 0.0), np.where(np.isinf(x), 1.0, np.where(x < a + 1, series, 1 - front * h)))
+        else:
+            raise ArithmeticError("the fraction of an incomplete gamma function doesn't settle")
+        out[high] = 1 - front[high] * h
+    return out
 
 
 def gamma_inc(a: Column, x: Column) -> Column:
@@ -227,14 +272,34 @@ def cubic_roots(a: Column, b: Column, c: Column) -> Column:
     return F.when((r * r < q * q * q), three).otherwise(one)
 
 
+def _beta_share_large(a: float, b: float, x: float) -> float:
+    import numpy as np
+
+    n = a + b
+    mean, rest = a / n, b / n
+    wide = math.sqrt(mean * rest / (n + 1))
+    front = 0.5 * math.log(a) + 0.5 * math.log(b) - 0.5 * math.log(n) - 0.5 * math.log(2 * math.pi) + _stirling(n) - _stirling(a) - _stirling(b) - math.log(mean) - math.log(rest)
+    upper = x > mean
+    far = min(1.0, max(mean + 14 * wide, x + 8 * wide)) if upper else max(0.0, min(mean - 14 * wide, x - 8 * wide))
+
+    def density(t):
+        with np.errstate(divide="ignore"):
+            return np.exp((a - 1) * np.log1p((t - mean) / mean) + (b - 1) * np.log1p((mean - t) / rest))
+
+    share = math.exp(front) * abs(float(_gauss(density, np.array([x]), np.array([far]))[0]))
+    return min(1.0, max(0.0, 1 - share if upper else share))
+
+
 def _beta_share(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function by its continued fraction (Lentz's way of evaluating one)."""
+    """The regularised incomplete beta function by its continued fraction (Lentz's way of evaluating one), or for two large shapes by an integral."""
     if not 0 < x < 1:
         return 0.0 if x <= 0 else 1.0
+    if min(a, b) >= BY_INTEGRAL:
+        return _beta_share_large(a, b, x)
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta_share(b, a, 1 - x)
     top, low, out = 1.0, 0.0, 1.0
-    for i in range(2000):
+    for i in range(1_000_000):
         m = i // 2
         if i == 0:
             step = 1.0
@@ -247,6 +312,8 @@ def _beta_share(a: float, b: float, x: float) -> float:
         out *= top * low
         if i and abs(top * low - 1) < 1e-15:
             break
+    else:
+        raise ArithmeticError("the fraction of an incomplete beta function doesn't settle")
     front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     return math.exp(front) * (out - 1) / a
 

@@ -422,11 +422,13 @@ def submatrix(spark, d):
     return relational.submatrix(m, "l_suppkey", "l_linenumber", t(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey"), [1, 3, 5, 7])
 
 
-@query("""WITH a AS (SELECT p_brand, p_partkey AS item FROM part), b AS (SELECT p_brand AS p_size, p_partkey AS item FROM part), k AS (SELECT p_brand, p_size, count(*) AS k FROM a JOIN b USING (item) GROUP BY 1, 2)
-  SELECT k.p_brand AS p1, k.p_size AS p2 FROM k JOIN (SELECT p_brand, count(*) AS n FROM a GROUP BY 1) x USING (p_brand) JOIN (SELECT p_size, count(*) AS m FROM b GROUP BY 1) y USING (p_size) WHERE k = n AND k = m""")
+@query("""WITH a AS (SELECT c_custkey AS item, c_nationkey AS p1 FROM customer), b AS (SELECT c_custkey AS item, CASE WHEN c_nationkey % 3 = 0 THEN 'n' || c_nationkey ELSE n_name || (c_custkey % 2) END AS p2 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  x AS (SELECT p1, list(item ORDER BY item) AS items FROM a GROUP BY 1), y AS (SELECT p2, list(item ORDER BY item) AS items FROM b GROUP BY 1) SELECT p1, p2 FROM x JOIN y USING (items)""")
 def same_parts(spark, d):
-    p = t(spark, d, "part")
-    return relational.same_parts(p.select("p_partkey", F.col("p_brand").alias("q")), p.select("p_partkey", F.col("p_brand").alias("q")), "p_partkey", "q")
+    """Customers by nation, and again with two nations of three cut in halves."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cut = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).otherwise(F.concat("n_name", (F.col("c_custkey") % 2).cast("string")))
+    return relational.same_parts(c.select("c_custkey", F.col("c_nationkey").alias("q")), c.select("c_custkey", cut.alias("q")), "c_custkey", "q")
 
 
 @query("SELECT p_brand, p_size, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1, 2")

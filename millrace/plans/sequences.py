@@ -84,7 +84,7 @@ SYMBOLS = """WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (ORDER BY
 
 def user_model(spark, d) -> hmm.Model:
     """Two states over the kinds of events there are: one that favours the first kinds by name, one the last."""
-    kinds = sorted(r[0] for r in t(spark, d, "events").select("event_type").distinct().collect())  # a handful of kinds
+    kinds = sorted(r[0] for r in t(spark, d, "events").select("event_type").where("event_type is not null").distinct().collect())  # a handful of kinds
     n = len(kinds)
     up = [2 * (i + 1) / (n * (n + 1)) for i in range(n)]
     return hmm.Model([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [dict(zip(kinds, reversed(up), strict=True)), dict(zip(kinds, up, strict=True))])
