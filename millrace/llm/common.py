@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -115,20 +117,25 @@ def finite_vectors(vectors: DataFrame, keep: list[str], vector_col: str) -> Data
     return rows.where((F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
 
 
-def tree_sum(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
-    """The sum of the arrays that f makes of each task's Arrow batches, None standing for nothing.
+def tree_merge(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Any], both: Callable[[Any, Any], Any]) -> Any:
+    """What f makes of each task's Arrow batches (None: nothing), merged by both(a, b); None where there is nothing.
 
-    Merged by treeAggregate, about four arrays in a task, so that the driver gets five at most.
+    Merged by treeAggregate, about four values in a task, so that the driver gets five at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = f(batches)
         if got is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([got.dtype.str]), pa.array([list(got.shape)], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(got).tobytes()], pa.binary())], ["kind", "shape", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["made"])
+
+    def merge(a: Any, b: Any) -> Any:
+        return b if a is None else a if b is None else both(a, b)
 
-    def both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-        return b if a is None else a if b is None else a + b
+    made = df.mapInArrow(run, "made binary").rdd
+    depth = max(2, math.ceil(math.log(max(2, made.getNumPartitions()), 4)))
+    return made.treeAggregate(None, lambda a, r: merge(a, pickle.loads(r["made"])), merge, depth)
 
-    arrays = df.mapInArrow(run, "kind string, shape array<long>, sums binary").rdd
-    depth = max(2, math.ceil(math.log(max(2, arrays.getNumPartitions()), 4)))
-    return arrays.treeAggregate(None, lambda a, r: both(a, np.frombuffer(r["sums"], r["kind"]).reshape(r["shape"])), both, depth)
+
+def tree_sum(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """tree_merge() of arrays that are added up."""
+    return tree_merge(df, f, lambda a, b: a + b)

@@ -1,7 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1 (1,024 components, drawn from
-the letter's number). A three-letter group is the product of its letters'
+Every letter has a random vector of +1 and -1 (1,024 components, drawn by
+a hash of its code point, so that no two letters share one). A three-letter group is the product of its letters'
 vectors, rotated by two, one and no places; words are framed by blanks. A
 text's profile is the sum of its groups' vectors, a language's prototype the
 sum of the unit profiles of its training texts. A text gets the language
@@ -14,7 +14,9 @@ id hashes (ids whose hash ties at the bound are left out); the prototypes are
 
 Defined cases: text that is null or has no letter is `und` with score 0, as is
 every text when nothing could be learned; rows without lang, or held out,
-teach nothing; whole texts are read, however long.
+teach nothing; whole texts are read, however long, with memory that grows with the longest;
+repeated rows teach as often as they are there; an empty table gives an empty one; columns of the input named
+like lang_pred or score give way.
 """
 
 from __future__ import annotations
@@ -31,32 +33,55 @@ from .common import held_out, table
 
 DIM = 1024
 UNKNOWN = "und"
-#: Letters are numbered by themselves to U+024F, others share the numbers above.
-_OWN, _CODES = 0x250, 1024
+#: The vectors of letters below this one are kept in a table, those of others made when met.
+_OWN = 0x250
+#: A letter's number, its code point, has so many bits in a group.
+_BITS = 21
 
 
 class Profiles:
     """Turns texts into rows of a matrix; made once in a task."""
 
     def __init__(self, dim: int = DIM, seed: int = 20240131):
-        letters = np.random.default_rng(seed).integers(0, 2, (_CODES, dim), np.int8) * 2 - 1
-        self.third, self.second, self.first = letters, np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-        self.dim = dim
+        self.dim, self.seed = dim, seed
+        # 1,024 rows are drawn for the sake of earlier results; the first of them are the table
+        self.letters = (np.random.default_rng(seed).integers(0, 2, (1024, dim), np.int8) * 2 - 1)[:_OWN]
+        self.third, self.second, self.first = self.letters, np.roll(self.letters, 1, 1), np.roll(self.letters, 2, 1)
         low = np.arange(0x10000)
-        alpha = np.array([chr(c).isalpha() for c in low])
-        self.code = np.where(alpha, np.where(low < _OWN, low, _OWN + low % (_CODES - _OWN)), 0).astype(np.int64)
+        self.code = np.where(np.array([chr(c).isalpha() for c in low]), low, 0).astype(np.int64)
+
+    def drawn(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of letters outside the table, a row each: bits of a hash of seed, letter and place."""
+        words = -(-self.dim // 64)
+        x = codes.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        # fixed values: the mixing constants of splitmix64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1)[:, : self.dim]
+        return bits.astype(np.int8) * 2 - 1
+
+    def vectors(self, groups: np.ndarray) -> np.ndarray:
+        """The product of the rotated vectors of each group's letters."""
+        c = np.stack([groups >> 2 * _BITS, groups >> _BITS & (1 << _BITS) - 1, groups & (1 << _BITS) - 1])
+        first, second, third = self.first, self.second, self.third
+        if (c >= _OWN).any():
+            far = np.unique(c[c >= _OWN])
+            third = np.concatenate((third, self.drawn(far)))
+            first, second = np.roll(third, 2, 1), np.roll(third, 1, 1)
+            c = np.where(c < _OWN, c, _OWN + np.searchsorted(far, c))
+        return first[c[0]] * second[c[1]] * third[c[2]]
 
     def groups(self, text: str | None) -> np.ndarray:
         """The codes of a text's three-letter groups; empty without a letter."""
         cp = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         c = self.code[np.minimum(cp, 0xFFFF)]
         if len(far := np.flatnonzero(cp > 0xFFFF)):
-            c[far] = [_OWN + x % (_CODES - _OWN) if chr(x).isalpha() else 0 for x in cp[far].tolist()]
+            c[far] = [x if chr(x).isalpha() else 0 for x in cp[far].tolist()]
         c = np.concatenate(([0], c, [0]))
         c = c[(c != 0) | (np.concatenate(([1], c[:-1])) != 0)]  # one blank between words
         if not c.any():
             return np.zeros(0, np.int64)
-        g = (c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:]
+        g = (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
         return g[c[1:-1] != 0]
 
     def of(self, texts: list[str | None]) -> np.ndarray:
@@ -70,9 +95,7 @@ class Profiles:
         cell = np.repeat(np.arange(len(texts)), n) * len(seen) + at
         counts = np.bincount(cell, minlength=len(texts) * len(seen)).reshape(len(texts), -1).astype(np.float32)
         for a in range(0, len(seen), 8192):  # bounded memory, whatever a text holds
-            s = seen[a : a + 8192]
-            v = self.first[s // _CODES**2] * self.second[s // _CODES % _CODES] * self.third[s % _CODES]
-            out += counts[:, a : a + 8192] @ v.astype(np.float32)
+            out += counts[:, a : a + 8192] @ self.vectors(seen[a : a + 8192]).astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

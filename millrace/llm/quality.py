@@ -15,7 +15,7 @@ written down: what a row adds to loss, slope and curvature is a smooth function
 of its strength, given by the strengths of the other label. Strengths are cut into
 cells of ``WIDTH``, and in a cell such a function is its polynomial through ``NODES``
 points, right to about 11 digits. A Newton step is two passes of the tasks over the
-labelled rows; the driver gets sums for each cell, and at the end the at most 1,998
+labelled rows; the sums for each cell, merged over a tree of tasks, go to the driver, and at the end the at most 1,998
 strengths that surround the 999 quantiles.
 Features come from one pass over the texts, scores from plain columns.
 
@@ -33,12 +33,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, shared_dir, table, written
+from .common import held_out, shared_dir, table, tree_merge, written
 
 NAMES = [
     "log_chars", "log_words", "upper", "digit", "space", "punct", "symbol", "bang", "bar", "beyond_ascii",
@@ -209,6 +208,8 @@ def newton(over: Pass, model: Model, ridge: float) -> np.ndarray:
         step = np.linalg.solve(hess, grad)
         if np.abs(step).max() < 1e-9:
             break
+    else:
+        raise ArithmeticError("the weights haven't settled after 100 steps")
     # rounded, so that the order in which tasks add up doesn't show
     return np.round(at - step, 7)
 
@@ -257,28 +258,22 @@ def teachers(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     return rows.where("features is not null and y = high").select("features", "y")
 
 
+def added(a: Sums, b: Sums) -> Sums:
+    return a | {k: a[k] + v if k in a else v for k, v in b.items()}
+
+
 def passes(taught: DataFrame) -> Pass:
-    """Passes over the rows of teachers(); a task's sums are added up in the order of tasks."""
+    """Passes over the rows of teachers(). Tasks add up what they make, and their sums are merged over a tree, so that the driver gets no more of many tasks than of few."""
 
     def over(f: Callable[[np.ndarray, np.ndarray], Sums]) -> Sums:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Sums | None:
             got: Sums = {}
             for batch in batches:
                 if batch.num_rows:
-                    for k, v in f(*_arrays(batch)).items():
-                        got[k] = got[k] + v if k in got else v
-            part = TaskContext.get().partitionId()
-            for (label, cell), v in got.items():
-                yield pa.RecordBatch.from_pylist([{"label": label, "cell": cell, "part": part, "shape": list(v.shape), "sums": v.ravel()}], schema=arrow)
-
-        arrow = pa.schema([("label", pa.int32()), ("cell", pa.int64()), ("part", pa.int32()), ("shape", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
-        out: Sums = {}
-        rows = taught.mapInArrow(run, "label int, cell long, part int, shape array<int>, sums array<double>").toArrow()
-        for r in rows.sort_by([("part", "ascending"), ("label", "ascending"), ("cell", "ascending")]).to_batches(max_chunksize=256):
-            for label, cell, shape, sums in zip(r["label"].to_pylist(), r["cell"].to_pylist(), r["shape"].to_pylist(), r["sums"], strict=True):
-                v = sums.values.to_numpy().reshape(shape)
-                out[label, cell] = out[label, cell] + v if (label, cell) in out else v
-        return out
+                    got = added(got, f(*_arrays(batch)))
+            return got or None
+
+        return tree_merge(taught, run, added) or {}
 
     return over
 

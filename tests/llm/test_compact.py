@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, codes, common, pieces, whitening
+from millrace.llm import ann, codes, common, langid, pieces, quality, whitening
 from tests.llm.test_llm import DATA, VOCAB, make, odd_documents, sql_rows
 
 
@@ -338,3 +338,48 @@ def test_codes_that_cannot_be(spark):
         codes.compress(vectors(spark, [(1, [1e9, 2.0, 1.0, 1.0], 0)]), ["vec_id"])
     df, books = codes.compress(vectors(spark, LEFT_OUT[:5]), ["vec_id", "codes"])
     assert df.count() == 0 and books == []
+
+
+# languages and quality
+
+
+def test_letters_of_all_scripts_are_told_apart():
+    """Texts of one script share few or no groups, and no two letters have one vector."""
+    p = langid.Profiles()
+    texts = ["日本語", "枕棜豎", "漢字仮名", "Ελληνικά", "русский язык", "українська мова", "𠀀𠀁𠀂", "العربية"]
+    a = p.of(texts)
+    assert np.allclose((a * a).sum(1), 1, atol=1e-5) and np.abs(a @ a.T - np.eye(len(texts))).max() < 0.25
+    letters = np.array([c for c in range(0x250, 0x30000) if chr(c).isalpha()][::7])
+    rows = p.drawn(letters)
+    assert len(np.unique(np.packbits(rows > 0, axis=1), axis=0)) == len(letters) and abs(rows.mean()) < 0.01
+
+
+def test_languages_beyond_latin_letters(spark):
+    words = {"zh": "我们 的 语言 学习 中文 汉字 朋友", "el": "η γλώσσα μας είναι ελληνική καλημέρα", "ru": "наш язык русский доброе утро друг", "uk": "наша мова українська добрий ранок їжак"}
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(words[g].split(), k=12)), g) for i, g in enumerate(list(words) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predicted(df, langid.prototypes(df), ["doc_id", "lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def sent(spark, rows, parts):
+    """Bytes that a pass of the slopes gives the driver."""
+    tracker = spark.sparkContext.statusTracker()
+    group = f"pass-{parts}"
+    spark.sparkContext.setJobGroup(group, group)
+    over = quality.passes(rows.repartition(parts))
+    got = over(lambda x, y: {(int(k), int(c)): np.full((36, 14), float((y == k).sum())) for k in set(y.tolist()) for c in range(-3, 4)})
+    last = max(tracker.getJobIdsForGroup(group))
+    stages = tracker.getJobInfo(last).stageIds
+    spark.sparkContext._jsc.clearJobGroup()
+    return got, tracker.getStageInfo(max(stages)).numTasks
+
+
+def test_the_driver_gets_no_more_of_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([([float(v) for v in x], int(i % 2)) for i, x in enumerate(rng.normal(size=(600, len(quality.NAMES))))], "features array<double>, y int")
+    few, at_end = sent(spark, rows, 4)
+    many, at_last = sent(spark, rows, 64)
+    assert at_end <= 5 and at_last <= 5
+    assert few.keys() == many.keys() and all(np.array_equal(few[k], many[k]) for k in few)
