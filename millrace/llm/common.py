@@ -120,7 +120,39 @@ def finite_vectors(vectors: DataFrame, keep: list[str], vector_col: str) -> Data
 def tree_merge(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Any], both: Callable[[Any, Any], Any]) -> Any:
     """What f makes of each task's Arrow batches (None: nothing), merged by both(a, b); None where there is nothing.
 
-    Merged by treeAggregate, about four values in a task, so that the driver gets five at most.
+    Four tasks' values are merged in one, and so on, so that the driver gets four at most. Each
+    level is a stage of its own, with one Python worker a task.
+    """
+
+    def merge(values: Iterator[Any]) -> Any:
+        out = None
+        for v in values:
+            out = v if out is None else both(out, v)
+        return out
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Any:
+        return merge(pickle.loads(v) for batch in batches for v in batch.column("made").to_pylist())
+
+    def packed(g: Callable[[Iterator[pa.RecordBatch]], Any]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = g(batches)
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["made"])
+
+        return run
+
+    made = df.mapInArrow(packed(f), "made binary")
+    tasks = made.rdd.getNumPartitions()
+    while tasks > 4:
+        tasks = -(-tasks // 4)
+        made = made.repartition(tasks).mapInArrow(packed(values), "made binary")
+    return merge(pickle.loads(r["made"]) for r in made.collect())
+
+
+def tree_sum(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of the arrays that f makes of each task's Arrow batches, None standing for nothing.
+
+    Merged by treeAggregate, about four arrays in a task, so that the driver gets five at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +160,9 @@ def tree_merge(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Any], both
         if got is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["made"])
 
-    def merge(a: Any, b: Any) -> Any:
-        return b if a is None else a if b is None else both(a, b)
+    def both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a + b
 
     made = df.mapInArrow(run, "made binary").rdd
     depth = max(2, math.ceil(math.log(max(2, made.getNumPartitions()), 4)))
-    return made.treeAggregate(None, lambda a, r: merge(a, pickle.loads(r["made"])), merge, depth)
-
-
-def tree_sum(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
-    """tree_merge() of arrays that are added up."""
-    return tree_merge(df, f, lambda a, b: a + b)
+    return made.treeAggregate(None, lambda a, r: both(a, pickle.loads(r["made"])), both, depth)
