@@ -32,11 +32,11 @@ def with_extras(stage):
 
 @with_extras
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    # texts go to Python once: the features serve training and scores
-    known = written(quality.with_features(docs, docs.columns), shared_dir(spark), "featured")
-    model = quality.train(known.where(~held_out(F.col("doc_id"))).select("doc_id", "features"), table(spark, sf_dir, "labels"))
-    return quality.scored(known, model).where("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier rejects go. Features are worked out twice, as texts kept beside them would double the disk."""
+    may_teach = quality.with_features(docs.where(~held_out(F.col("doc_id"))), ["doc_id"])
+    model = quality.train(may_teach, table(spark, sf_dir, "labels"))
+    out = quality.scored(quality.with_features(docs, docs.columns), model)
+    return out.where("predicted = 1").select(docs.columns)
 
 
 @with_extras
