@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import align, graph, intervals
+from . import align, graph, intervals, tours
 from .ordered import numbered
 
 
@@ -96,6 +96,44 @@ def merge_candidates(members: DataFrame, by: list[str], cutoff: float = 0.1) ->
     return groups.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "piece_of"))).where("_n > 1").drop("_n")
 
 
+def merge_up_tree(species: DataFrame, genes: DataFrame, hits: DataFrame) -> DataFrame:
+    """(gene, family) of all genes, merged from the leaves of a species tree to its root.
+
+    species is (node, parent), genes is (gene, species), hits are (gene1, gene2, score). A
+    gene begins as a family of its own at its species. All nodes of one height are worked out in
+    one round: families of different children of a node are joined by the rule of
+    merge_families(), what is outside being the genes that aren't below the node; families that
+    are joined in one round may be many, as they are components of partners. A family is
+    named by its first gene. Hits of a gene with itself, with unknown genes or without a score don't
+    count, nor do genes without a species of the tree; repeated hits count each.
+    """
+    order = graph.cut(tours.tour(species).select("node", "parent", "pre", "size"))
+    up = graph.closure(order.select("node", "parent"))
+    height = up.groupBy(F.col("ancestor").alias("node")).agg(F.max("depth").alias("height"))
+    nodes = graph.cut(order.join(height, "node"))
+    above = nodes.select(F.col("node").alias("up"), F.col("height").alias("up_height"), F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high"))
+    kids = nodes.select(F.col("node").alias("top"), F.col("parent").alias("up")).join(above, "up")
+    state = graph.cut(genes.join(nodes.select(F.col("node").alias("species"), "pre"), "species").select("gene", F.col("gene").alias("family"), F.col("species").alias("top"), "pre").distinct())
+    one = hits.where("gene1 <> gene2 and score is not null").select(F.col("gene1").alias("gene"), F.col("gene2").alias("other"), F.col("score").cast("double").alias("score"))
+    both = graph.cut(one.union(one.select(F.col("other").alias("gene"), F.col("gene").alias("other"), "score")))
+    for h in range(1, (nodes.agg(F.max("height")).first()[0] or 0) + 1):
+        now = state.join(kids.where(F.col("up_height") == h), "top")
+        far = both.join(now, "gene").join(state.select(F.col("gene").alias("other"), F.col("family").alias("of"), F.col("top").alias("side"), F.col("pre").alias("at")), "other")
+        inside = (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
+        # both kinds of means in one pass over the hits; sums of a pair of families are made before they are shuffled
+        means = graph.cut(far.where(~inside | ~F.col("side").isin(F.col("top"), F.col("up"))).groupBy("family", F.when(inside, F.col("of")).alias("of")).agg(F.avg("score").alias("mean")))
+        beyond = means.where("of is null").select("family", F.col("mean").alias("out"))
+        near = means.where("of is not null")
+        for c in ("family", "of"):
+            near = near.join(beyond.withColumnsRenamed({"family": c, "out": f"out_{c}"}), c, "left")
+        near = near.where(F.col("mean") > F.greatest(F.coalesce("out_family", F.lit(0.0)), F.coalesce("out_of", F.lit(0.0))))
+        partner = near.groupBy("family").agg(F.min_by("of", F.struct(-F.col("mean"), F.col("of"))).alias("of"))
+        joined = graph.components(partner, "family", "of").select(F.col("item").alias("family"), F.col("component").alias("first"))
+        moved = now.select("gene", "family", F.col("up").alias("top"), "pre").join(joined, "family", "left").select("gene", F.coalesce("first", "family").alias("family"), "top", "pre")
+        state = graph.cut(moved.unionByName(state.join(now.select("gene"), "gene", "left_anti").select("gene", "family", "top", "pre")))
+    return state.select("gene", "family")
+
+
 def window_alignments(blocks: DataFrame, seqs: DataFrame, windows: DataFrame, collapse: bool = False) -> DataFrame:
     """(window, name, seq): for each window (window, key columns species and chrom, s, e) the overlapping blocks' alignments, cut to it and joined.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align, genes
-from .driver import IV, query, spans, t
+from .driver import IV, query, spans, t, tree
 
 ORDINALS = "g AS (SELECT o_orderpriority AS chrom, o_orderkey AS gene, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS pos, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS strand, o_custkey % 25 AS fam FROM orders)"
 
@@ -87,3 +87,18 @@ def wide_events(spark, d):
     one = lambda s: [F.count_if(F.col("o_orderstatus") == s).alias(f"{s}-genes"), F.count_if((F.col("o_orderstatus") == s) & (F.col("o_totalprice") > 200000)).alias(f"{s}-dup")]
     wide = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("fam")).agg(*one("F"), *one("O"), *one("P"))
     return genes.wide_events(wide, "fam", ["F", "O", "P"], ["genes", "dup"])
+
+
+def trade(spark, d):
+    """Nations and regions as a species tree, customers and suppliers as genes, what one sold the other as hits."""
+    name = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    c, s = t(spark, d, "customer"), t(spark, d, "supplier")
+    genes = c.select(name("c", "c_custkey").alias("gene"), name("n", "c_nationkey").alias("species")).union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    li = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    hits = li.groupBy("o_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("score")).select(name("c", "o_custkey").alias("gene1"), name("s", "l_suppkey").alias("gene2"), "score")
+    return tree(spark, d).where("substring(node, 1, 1) <> 's'"), genes, hits
+
+
+@query(None)
+def families_up_tree(spark, d):
+    return genes.merge_up_tree(*trade(spark, d))
