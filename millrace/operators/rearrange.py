@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.population import log_labelled_histories, prob_coal_counts
 from ..functions.samplers import chance_of_counts
 from ..functions.special import log_factorial
-from . import graph, trees
+from . import clumps, graph, trees
 from .trees import ID, Tree
 
 
@@ -288,9 +288,7 @@ def branch_events(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> Dat
     """
     up = graph.closure(species).select(F.col("node").alias("low"), F.col("ancestor").alias("s"), "depth")
     span = up.select("low", F.col("s").alias("ps"), F.col("depth").alias("span"))
-    top = recon.select("tree_id", F.col("node").alias("parent"), F.col("snode").alias("ps"), F.col("event").alias("pe"))
-    own = nodes.select("tree_id", "node", "parent").join(recon.withColumnRenamed("snode", "low"), ID)
-    own = own.join(top, ["tree_id", "parent"], "left").join(span, ["low", "ps"], "left")
+    own = trees.branches(nodes, recon).withColumnRenamed("snode", "low").join(span, ["low", "ps"], "left")
     last = F.coalesce(F.col("span") - F.when(F.col("pe") == "dup", 0).otherwise(1), F.lit(0))
     # no branch passes fewer than none: a child within a speciation's own species has its event alone
     own = own.withColumn("last", F.greatest(last, F.lit(0)))
@@ -302,6 +300,10 @@ def branch_events(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> Dat
 def species_roots(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataFrame:
     """(tree_id, node): the lowest gene nodes that belong to the root of the species tree."""
     at = recon.join(F.broadcast(species.where("parent is null").select(F.col("node").alias("snode"))), "snode").select(*ID)
+    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.species_roots, trees._kinds(n, "node"), x), _far_roots, at)
+
+
+def _far_roots(nodes: DataFrame, at: DataFrame) -> DataFrame:
     above = trees.paths(nodes).where("depth > 0").join(at, ID).select("tree_id", F.col("ancestor").alias("node")).distinct()
     return at.join(above, ID, "left_anti")
 
@@ -313,6 +315,10 @@ def split_early(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataF
     """
     top = F.broadcast(species.where("parent is null").select(F.col("node").alias("snode")))
     early = recon.where("event = 'dup'").join(top, "snode").select(*ID)
+    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.split_early, trees._kinds(n, "part", "node", "parent"), x), _far_parts, early)
+
+
+def _far_parts(nodes: DataFrame, early: DataFrame) -> DataFrame:
     whole = nodes.select("tree_id", "node", "parent").join(early.withColumn("cut", F.lit(1)), ID, "left")
     up = trees.paths(nodes).join(whole.select("tree_id", F.col("node").alias("ancestor"), "cut"), ["tree_id", "ancestor"])
     # recon is monotone: below a node that isn't cut there may be such duplications, but they stay
@@ -326,8 +332,8 @@ def lineages(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataFram
     The bottom has the leaves below less what met below; the top lacks also
     what met in the branch. A node of k children takes k - 1 lineages.
     """
-    kids = nodes.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("k"))
-    at = recon.join(kids, ID, "left").groupBy("tree_id", "snode").agg(F.count_if(F.col("k").isNull()).alias("tips"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("met"))
+    met = F.when(F.col("k") > 0, F.col("k") - 1)
+    at = trees.branches(nodes, recon).groupBy("tree_id", "snode").agg(F.count_if(F.col("k") == 0).alias("tips"), F.coalesce(F.sum(met), F.lit(0)).alias("met"))
     up = graph.closure(species).select(F.col("node").alias("snode"), "ancestor", "depth")
     got = at.join(up, "snode").groupBy("tree_id", F.col("ancestor").alias("snode"))
     own = F.when(F.col("depth") == 0, F.col("met")).otherwise(0)
@@ -410,6 +416,11 @@ def log_met_before(counts: DataFrame, species: DataFrame, until: float | None) -
 
 def duplication_consistency(nodes: DataFrame, recon: DataFrame) -> DataFrame:
     """(tree_id, node, consistency): of the species below a duplication, the share that more than one of its children leads to."""
+    small = lambda n, r: clumps.run(n, clumps.consistency, f"{trees._kinds(n, 'node')}, consistency double", r.select(*ID, "snode", "event"))
+    return trees.by_size(nodes, small, _far_consistency, recon)
+
+
+def _far_consistency(nodes: DataFrame, recon: DataFrame) -> DataFrame:
     at = recon.where("event = 'dup'").select(*ID)
     kids = nodes.select("tree_id", F.col("node").alias("side"), F.col("parent").alias("node")).join(at, ID)
     tips = recon.where("event = 'gene'").select(*ID, "snode")
