@@ -134,5 +134,9 @@ def spearman_z(df: DataFrame, by: list[str], a: str, b: str, tie: str) -> DataFr
     """(by, z): the rank test's score (6R - n(n^2 - 1)) / (n (n + 1) sqrt(n - 1)), of ranks whose ties go by `tie`."""
     n = F.count("*")
     ranks = df.select(*by, *(F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).alias(f"_{k}") for k, c in (("a", a), ("b", b))))
-    r = F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b"))).cast("double")
-    return ranks.groupBy(*by).agg(F.try_divide(6 * r - n * (n * n - 1), n * (n + 1) * F.sqrt(n - 1)).alias("z"))
+    # ranks are ints, whose squares leave their type from 46,341 on; sums of squares and cubes leave longs from about 2 million
+    apart = F.col("_a").cast("decimal(10,0)") - F.col("_b")
+    whole = n.cast("decimal(12,0)")
+    r = 6 * F.sum((apart * apart).cast("decimal(22,0)")) - whole * (whole * whole - 1).cast("decimal(25,0)")
+    m = n.cast("double")
+    return ranks.groupBy(*by).agg(F.try_divide(r.cast("double"), m * (m + 1) * F.sqrt(m - 1)).alias("z"))
