@@ -311,11 +311,21 @@ def fit_density(df: DataFrame, value: str, f, start: list[float], low: float, hi
 
 
 def weighted_pick(choices: DataFrame, item: str, weight: str, u: Column, rows: DataFrame) -> DataFrame:
-    """Adds `item` to rows: that whose stretch of the cumulative weights, in order of item, holds u (0..1). Choices are few and broadcast."""
+    """Adds `item` to rows: that whose stretch of the cumulative weights, in order of item, holds u (0..1). Choices are few and broadcast.
+
+    u looks only through the stretches that end in its cell of 1/1,024, or takes the first that ends later; beyond all it takes the last.
+    """
     w = Window.orderBy(item)
     if choices.limit(100_001).count() > 100_000:
         raise ValueError("more than 100,000 choices")
     part = choices.where(F.col(weight) > 0).select(F.col(item).alias("_item"), F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"), F.sum(weight).over(Window.partitionBy()).alias("_all"))
-    table = part.agg(F.sort_array(F.collect_list(F.struct((F.col("_hi") / F.col("_all")).alias("h"), F.col("_item").alias("i")))).alias("_t"))
-    found = F.filter("_t", lambda x: x["h"] > F.col("_u"))
-    return rows.withColumn("_u", u).join(F.broadcast(table)).withColumn(item, F.coalesce(F.get(found, F.lit(0))["i"], F.element_at("_t", -1)["i"])).drop("_u", "_t")
+    ends = part.select((F.col("_hi") / F.col("_all")).alias("_h"), "_item")
+    cell = lambda c: F.when(F.col(c) < 0, 0).when(F.col(c) < 1, F.floor(F.col(c) * 1024)).otherwise(1023).cast("int")
+    # the first end of a later cell, and the last of all: one row each
+    cells = ends.withColumn("_c", cell("_h")).groupBy("_c").agg(F.sort_array(F.collect_list(F.struct("_h", "_item"))).alias("_t"))
+    last = F.max("_t").over(Window.partitionBy())
+    after = F.first(F.get("_t", F.lit(0)), ignorenulls=True).over(Window.orderBy("_c").rowsBetween(1, Window.unboundedFollowing))
+    every = choices.sparkSession.range(1024).select(F.col("id").cast("int").alias("_c")).join(cells, "_c", "left").select("_c", "_t", after.alias("_after"), F.element_at(last, -1)["_item"].alias("_end"))
+    held = F.get(F.filter("_t", lambda x: x["_h"] > F.col("_u")), F.lit(0))["_item"]
+    at = rows.withColumn("_u", u).withColumn("_c", cell("_u")).join(F.broadcast(every), "_c")
+    return at.withColumn(item, F.coalesce(held, F.col("_after")["_item"], "_end")).drop("_c", "_u", "_t", "_after", "_end")
