@@ -49,14 +49,14 @@ class Lineage:
         return n + (len(self.tree.kids[top]) - 1 if dup else 0)
 
 
-def root_costs(t: Tree, species: Tree, tips: dict) -> dict:
+def root_costs(t: Tree, species: Tree | Lineage, tips: dict) -> dict:
     """{node: (dups, losses)} for a root in the branch above each node; the two branches of a root of two children are one.
 
     A branch cuts the tree into two parts; species and events of a part don't
     depend on the rest, so every part is worked out once in each direction.
     No node may have a single child.
     """
-    way = Lineage(species)
+    way = species if isinstance(species, Lineage) else Lineage(species)
     near = {n: list(t.kids[n]) + ([] if t.parent[n] is None else [t.parent[n]]) for n in t.parent}
     skip = t.root if len(t.kids[t.root]) == 2 else None
     if skip is not None:
@@ -100,7 +100,7 @@ def root_costs(t: Tree, species: Tree, tips: dict) -> dict:
     return out
 
 
-def root_by_events(t: Tree, species: Tree, tips: dict, dup: float = 1, loss: float = 1) -> Tree:
+def root_by_events(t: Tree, species: Tree | Lineage, tips: dict, dup: float = 1, loss: float = 1) -> Tree:
     """The tree with the root of fewest weighted duplications and losses.
 
     Of equal roots that is taken whose side without the first leaf has the
@@ -265,17 +265,17 @@ def _meet_all(way: Lineage, parts: list):
 
 def rooted_forest(nodes: DataFrame, species: DataFrame, tips: DataFrame, dup: float = 1, loss: float = 1) -> DataFrame:
     """root_by_events() of every tree. The species tree goes to the tasks, up to the bound of small_tree(); a tree must fit in one."""
-    import pandas as pd
+    whole = trees.small_tree(species)
+    made: list = []  # the species tree, once a task
 
-    rows = trees.small_tree(species)
-    marked = trees._as_text(nodes).join(tips.select(F.col("tree_id").cast("string"), F.col("node").cast("string"), F.col("species").cast("string")), ID, "left")
+    def run(tree_id, rows):
+        way = made[0] if made else made.append(Lineage(Tree(whole))) or made[0]
+        at = {n: s for n, _, _, s in rows if s is not None}
+        t = root_by_events(Tree([r[:3] for r in rows]), way, at, dup, loss)
+        return [(tree_id, *r) for r in t.rows()]
 
-    def run(pdf):
-        at = {n: s for n, s in zip(pdf["node"], pdf["species"], strict=True) if isinstance(s, str)}
-        t = root_by_events(Tree(trees._clean(pdf)), Tree(rows), at, dup, loss)
-        return pd.DataFrame([(pdf["tree_id"].iloc[0], *r) for r in t.rows()], columns=["tree_id", "node", "parent", "dist"])
-
-    return marked.groupBy("tree_id").applyInPandas(run, "tree_id string, node string, parent string, dist double")
+    marked = trees._as_text(nodes).join(tips.select(F.col("tree_id").cast("string"), F.col("node").cast("string"), F.col("species").cast("string")), ID, "left")
+    return trees._by_tree(marked.select("tree_id", "node", "parent", "dist", "species"), run, trees.NODES)
 
 
 # Joins over all trees
