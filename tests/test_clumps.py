@@ -64,3 +64,14 @@ def test_cycles_and_two_parents_are_errors(spark):
     for rows in ([(1, "a", "b", 1.0), (1, "b", "a", 1.0)], [(1, "a", None, 1.0), (1, "a", "b", 1.0), (1, "b", None, 1.0)]):
         with pytest.raises(Exception, match="cycle|two parents"):
             trees.ages(spark.createDataFrame(rows, schema)).collect()
+
+
+def test_losses_of_wide_species_are_compared_by_number(spark):
+    """Each tree's 2 x 1,999 losses are two numbers; the plan has no row for each."""
+    species = spark.createDataFrame([("top", None), ("n", "top"), ("m", "top"), *((f"s{i}", "n") for i in range(2000)), ("m0", "m")], "node string, parent string")
+    nodes = spark.createDataFrame([(1, "r", None, 0.0), (1, "a", "r", 1.0), (1, "b", "r", 1.0)], "tree_id long, node string, parent string, dist double")
+    tips = spark.createDataFrame([(1, "a", "s7"), (1, "b", "m0")], "tree_id long, node string, species string")
+    got = trees.accuracy(nodes, nodes, species, tips)
+    assert "lost" not in got._jdf.queryExecution().optimizedPlan().toString()
+    row = got.first()
+    assert (row["loss_actual"], row["loss_pred"], row["loss_sn"], row["loss_ppv"]) == (1999, 1999, 1.0, 1.0)
