@@ -299,8 +299,12 @@ def branch_events(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> Dat
 
 def species_roots(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataFrame:
     """(tree_id, node): the lowest gene nodes that belong to the root of the species tree."""
-    at = recon.join(F.broadcast(species.where("parent is null").select(F.col("node").alias("snode"))), "snode").select(*ID)
-    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.species_roots, trees._kinds(n, "node"), x), _far_roots, at)
+    top = F.broadcast(species.where("parent is null").select(F.col("node").alias("snode")))
+    mine = lambda r: r.join(top, "snode").select(*ID)
+    if isinstance(recon, trees.Reconciled) and (at := recon.top()) is not None:
+        return recon.by_size(lambda n, _: clumps.run(n, clumps.species_roots(at), trees._kinds(n, "node")), lambda n, r: _far_roots(n, mine(r)))
+    at = mine(trees.as_rows(recon))
+    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.species_roots(), trees._kinds(n, "node"), x), _far_roots, at)
 
 
 def _far_roots(nodes: DataFrame, at: DataFrame) -> DataFrame:
@@ -314,8 +318,11 @@ def split_early(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataF
     The duplications cut are those in the species root that have nothing but such ones above them.
     """
     top = F.broadcast(species.where("parent is null").select(F.col("node").alias("snode")))
-    early = recon.where("event = 'dup'").join(top, "snode").select(*ID)
-    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.split_early, trees._kinds(n, "part", "node", "parent"), x), _far_parts, early)
+    mine = lambda r: r.where("event = 'dup'").join(top, "snode").select(*ID)
+    if isinstance(recon, trees.Reconciled) and (at := recon.top()) is not None:
+        return recon.by_size(lambda n, _: clumps.run(n, clumps.split_early(at), trees._kinds(n, "part", "node", "parent")), lambda n, r: _far_parts(n, mine(r)))
+    early = mine(trees.as_rows(recon))
+    return trees.by_size(nodes, lambda n, x: clumps.run(n, clumps.split_early(), trees._kinds(n, "part", "node", "parent"), x), _far_parts, early)
 
 
 def _far_parts(nodes: DataFrame, early: DataFrame) -> DataFrame:
@@ -333,8 +340,13 @@ def lineages(nodes: DataFrame, species: DataFrame, recon: DataFrame) -> DataFram
     what met in the branch. A node of k children takes k - 1 lineages.
     """
     met = F.when(F.col("k") > 0, F.col("k") - 1)
-    at = trees.branches(nodes, recon).groupBy("tree_id", "snode").agg(F.count_if(F.col("k") == 0).alias("tips"), F.coalesce(F.sum(met), F.lit(0)).alias("met"))
+    per = lambda rows: rows.groupBy("tree_id", "snode").agg(F.count_if(F.col("k") == 0).alias("tips"), F.coalesce(F.sum(met), F.lit(0)).alias("met"))
     up = graph.closure(species).select(F.col("node").alias("snode"), "ancestor", "depth")
+    if isinstance(recon, trees.Reconciled):
+        at = recon.by_size(lambda n, r: r.named(clumps.run(n, clumps.lineages, f"{trees._kinds(n)}, snode long, tips long, met long"), "snode"), lambda n, r: per(trees.branches(n, r)))
+        up = F.broadcast(up) if up.count() <= trees.NEAR else up
+    else:
+        at = per(trees.branches(nodes, recon))
     got = at.join(up, "snode").groupBy("tree_id", F.col("ancestor").alias("snode"))
     own = F.when(F.col("depth") == 0, F.col("met")).otherwise(0)
     out = got.agg(F.sum("tips").alias("t"), F.sum("met").alias("m"), F.sum(own).alias("own"))
@@ -416,7 +428,7 @@ def log_met_before(counts: DataFrame, species: DataFrame, until: float | None) -
 
 def duplication_consistency(nodes: DataFrame, recon: DataFrame) -> DataFrame:
     """(tree_id, node, consistency): of the species below a duplication, the share that more than one of its children leads to."""
-    small = lambda n, r: clumps.run(n, clumps.consistency, f"{trees._kinds(n, 'node')}, consistency double", r.select(*ID, "snode", "event"))
+    small = lambda n, r: clumps.run(n, clumps.consistency, f"{trees._kinds(n, 'node')}, consistency double", trees._recon_beside(r))
     return trees.by_size(nodes, small, _far_consistency, recon)
 
 

@@ -75,3 +75,41 @@ def test_losses_of_wide_species_are_compared_by_number(spark):
     assert "lost" not in got._jdf.queryExecution().optimizedPlan().toString()
     row = got.first()
     assert (row["loss_actual"], row["loss_pred"], row["loss_sn"], row["loss_ppv"]) == (1999, 1999, 1.0, 1.0)
+
+
+SPECIES = [("top", None), ("n", "top"), ("m", "top"), *((f"s{i}", "n" if i % 3 else "m") for i in range(9))]
+
+
+def packed_and_flat(spark):
+    """Random trees with species at their leaves: packed with their places in the species tree, and as rows."""
+    rng = random.Random(8)
+    rows = forest(6, 50)
+    inner = {(t, p) for t, _, p, _ in rows}
+    species = spark.createDataFrame(SPECIES, "node string, parent string")
+    nodes = graph.cut(spark.createDataFrame(rows, "tree_id long, node string, parent string, dist double"))
+    tips = graph.cut(spark.createDataFrame([(t, n, f"s{rng.randrange(9)}") for t, n, _, _ in rows if (t, n) not in inner], "tree_id long, node string, species string"))
+    numbered = trees.Numbered(species)
+    marked = nodes.join(numbered.mark(tips), trees.ID, "left").select("tree_id", "node", "parent", "dist", "pre", "route")
+    return nodes, tips, species, numbered, graph.cut(clumps.pack(marked))
+
+
+def test_packed_trees_are_not_dealt_again(spark):
+    """A forest's rows were dealt by tree, with those of the reconciliation, for every operator; packed they are dealt once."""
+    nodes, tips, species, numbered, packed = packed_and_flat(spark)
+    recon = trees.reconcile_packed(packed, numbered)
+    for out in (recon.rows(), trees.branches(packed, recon), trees.relations(packed, recon), rearrange.species_roots(packed, species, recon), rearrange.split_early(packed, species, recon)):
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1000, 9])
+def test_packed_gives_what_rows_give(spark, monkeypatch, most):
+    nodes, tips, species, numbered, packed = packed_and_flat(spark)
+    want = graph.cut(trees.reconcile(nodes, species, tips))
+    monkeypatch.setattr(clumps, "MOST", most)
+    recon = trees.reconcile_packed(packed, numbered)
+    same(recon.rows(), want)
+    monkeypatch.setattr(clumps, "MOST", 1000)
+    for f in (rearrange.species_roots, rearrange.split_early):
+        same(f(packed, species, recon), f(nodes, species, want))
+    for f in (trees.branches, trees.relations, lambda n, r: trees.relations(n, r, "dup", "top")):
+        same(f(packed, recon), f(nodes, want))
