@@ -36,34 +36,77 @@ def blocks(arg: DataFrame, start: float, end: float) -> DataFrame:
     return n.join(after, "i", "left").select("lo", F.coalesce("hi", F.lit(float(end))).alias("hi")).where("lo < hi")
 
 
+def _pieces(arg: DataFrame, start: float, end: float) -> DataFrame:
+    """(node, parent, n, age, dist, s, e): the parts [s, e) in which a node has one parent, null at a root, and n leaves below it.
+
+    Ways up are followed over parts and not tree by tree, so a way that many
+    neighbouring trees share is one row. Nodes that no leaf reaches are left out.
+    """
+    ups = graph.cut(edges(arg, start, end).select(F.col("child").alias("node"), "parent", F.col("lo").alias("s"), F.col("hi").alias("e")).distinct())
+    tops = intervals.subtract(ups.select(F.col("parent").alias("node"), "s", "e"), ups.select("node", "s", "e"), ["node"])
+    rows = graph.cut(ups.union(tops.select("node", F.lit(None).cast("string"), "s", "e")))
+    leaves = arg.where("event = 'gene'").select(F.col("name").alias("node"))
+    below = _ways(rows).join(leaves, "node").select(F.col("ancestor").alias("node"), "s", "e")
+    counts = intervals.coverage(below, ["node"]).where("depth > 0").select("node", F.col("depth").alias("n"), F.col("s").alias("_s"), F.col("e").alias("_e"))
+    met = rows.join(counts, "node").where("s < _e and _s < e").select("node", "parent", "n", F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e"))
+    ages = arg.select(F.col("name").alias("node"), "age")
+    up = ages.select(F.col("node").alias("parent"), F.col("age").alias("top"))
+    return graph.cut(met.join(ages, "node").join(up, "parent", "left").select("node", "parent", "n", "age", (F.col("top") - F.col("age")).alias("dist"), "s", "e"))
+
+
+def _ways(rows: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, ancestor, depth, s, e) of rows (node, parent, s, e), with every node its own ancestor at 0; path doubling as in graph.closure()."""
+    hop = rows.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), "s", "e")
+    found = rows.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), "s", "e").union(hop)
+
+    def on(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("node").alias("ancestor"), *(F.col(c).alias(f"_{c}") for c in ("ancestor", "depth", "s", "e")))
+        met = a.join(b, "ancestor").where("s < _e and _s < e")
+        return met.select("node", F.col("_ancestor").alias("ancestor"), (F.col("depth") + F.col("_depth")).alias("depth"), F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e"))
+
+    for _ in range(rounds):
+        new = graph.cut(on(hop, hop))
+        if new.isEmpty():
+            return found
+        found, hop = graph.cut(found.union(new).union(on(new, found.where("depth > 0"))).distinct()), new
+    raise ValueError(f"not settled after {rounds} rounds: the graph has a cycle")
+
+
+def _in_trees(pieces: DataFrame, parts: DataFrame, start: float, end: float) -> DataFrame:
+    """Rows (s, e, ...) beside the tree_id of each part whose low end they hold."""
+    width = (end - start) / max(1, parts.count()) or 1.0
+    return intervals.stab(parts.select(F.col("lo").alias("tree_id")), pieces, [], width, "tree_id").where("tree_id < e")
+
+
+def _common(pieces: DataFrame, parts: DataFrame, start: float, end: float) -> DataFrame:
+    """(tree_id, m): the number of leaves and, negative, the age of the youngest node of each tree that most leaves lead to, their common ancestor."""
+    each = pieces.groupBy("s", "e").agg(F.max(F.struct("n", (-F.col("age")).alias("age"))).alias("m")).select("s", "e", "m")
+    return graph.cut(_in_trees(each, parts, start, end).groupBy("tree_id").agg(F.max("m").alias("m")))
+
+
 def local_trees(arg: DataFrame, parts: DataFrame, start: float, end: float) -> DataFrame:
     """(tree_id, node, parent, dist) of the tree at the low end of every part; tree_id is that end.
 
     Nodes that no leaf reaches are left out, as is all above the lowest
     common ancestor of the leaves.
     """
-    e = edges(arg, start, end).withColumnsRenamed({"lo": "s", "hi": "e"})
-    width = (end - start) / max(1, parts.count()) or 1.0
-    met = intervals.stab(parts.select(F.col("lo").alias("tree_id")), e, [], width, "tree_id").where("tree_id < e")
-    ups = met.select("tree_id", F.col("child").alias("node"), "parent")
-    tops = ups.select("tree_id", F.col("parent").alias("node")).distinct().join(ups.select("tree_id", "node"), trees.ID, "left_anti")
-    nodes = ups.union(tops.select("tree_id", "node", F.lit(None).cast("string")))
-    leaves = arg.where("event = 'gene'").select(F.col("name").alias("node"))
-    below = trees.paths(nodes).join(leaves, "node").groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.count("*").alias("n"))
-    ages = arg.select(F.col("name").alias("node"), "age")
-    below = below.join(ages, "node")
-    # the youngest of those that most leaves lead to is the common ancestor
-    most = below.groupBy("tree_id").agg(F.max(F.struct("n", (-F.col("age")).alias("age"))).alias("m"))
-    kept = below.join(most, "tree_id").where("n < m.n or age = -m.age")
-    out = kept.join(nodes, trees.ID).select("tree_id", "node", "age", F.when(F.col("n") < F.col("m.n"), F.col("parent")).alias("parent"))
-    up = ages.select(F.col("node").alias("parent"), F.col("age").alias("top"))
-    return out.join(up, "parent", "left").select("tree_id", "node", "parent", (F.col("top") - F.col("age")).alias("dist"))
+    pieces = _pieces(arg, start, end)
+    rows = _in_trees(pieces, parts, start, end).join(_common(pieces, parts, start, end), "tree_id").where("n < m.n or age = -m.age")
+    under = F.col("n") < F.col("m.n")
+    return rows.select("tree_id", "node", F.when(under, F.col("parent")).alias("parent"), F.when(under, F.col("dist")).alias("dist"))
 
 
 def length(arg: DataFrame, start: float, end: float) -> DataFrame:
-    """(lo, hi, branches): the branch lengths of each part's tree; their products with hi - lo add up to the graph's."""
-    parts = blocks(arg, start, end)
-    t = local_trees(arg, parts, start, end).groupBy(F.col("tree_id").alias("lo")).agg(F.coalesce(F.sum("dist"), F.lit(0.0)).alias("branches"))
+    """(lo, hi, branches): the branch lengths of each part's tree; their products with hi - lo add up to the graph's.
+
+    Branches over equal parts and as many leaves are added up before they meet the trees.
+    """
+    parts = graph.cut(blocks(arg, start, end))
+    pieces = _pieces(arg, start, end)
+    common = _common(pieces, parts, start, end)
+    sums = pieces.groupBy("s", "e", "n").agg(F.sum("dist").alias("dist"))
+    met = _in_trees(sums, parts, start, end).join(common, "tree_id").where("n < m.n").groupBy("tree_id").agg(F.sum("dist").alias("branches"))
+    t = common.select("tree_id").join(met, "tree_id", "left").select(F.col("tree_id").alias("lo"), F.coalesce("branches", F.lit(0.0)).alias("branches"))
     return parts.join(t, "lo").select("lo", "hi", "branches")
 
 

@@ -252,3 +252,18 @@ def test_graph_lines_come_back(spark, tmp_path):
     t = formats.tree_track_lines(spark.createDataFrame([(0.0, 4.0)], "lo double, hi double"), spark.createDataFrame([("0.0", "(a,b);")], "tree_id string, newick string"))
     t.select("line").write.text(str(tmp_path / "trk"))
     assert rows(formats.read_tree_tracks(spark, str(tmp_path / "trk")), "start", "end", "newick") == [(0, 4, "(a,b);")]
+
+
+def test_ways_that_trees_share_are_one_row(spark, monkeypatch):
+    """A graph of 40 leaves and 30 local trees: rows grow with the graph, not with trees times nodes."""
+    n = 40
+    data = [(f"l{i}", "gene", 0.0, 0.0, [f"x{i}"]) for i in range(n)] + [("a", "coal", 2.0, 0.0, ["r"]), ("b", "coal", 3.0, 0.0, ["r"]), ("r", "coal", 5.0, 0.0, [])]
+    data += [(f"x{i}", "recomb", 1.0, float(i + 1), ["a", "b"]) if i < 30 else (f"x{i}", "coal", 1.0, 0.0, ["a"]) for i in range(n)]
+    graph_ = spark.createDataFrame(data, "name string, event string, age double, pos double, parents array<string>")
+    sizes, cut = [], arg.graph.cut
+    monkeypatch.setattr(arg.graph, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    got = rows(arg.length(graph_, 0, 100), "lo", "hi", "branches")
+    # left of place i + 1 leaf i is below a; r is the common ancestor where b has a leaf, and a else
+    want = [(float(lo), 100.0 if lo == 30 else lo + 1.0, 2.0 * n + lo + (5.0 if lo else 0.0)) for lo in range(31)]
+    assert got == want
+    assert max(sizes) < 20 * n
