@@ -37,7 +37,11 @@ def blocks(arg: DataFrame, start: float, end: float) -> DataFrame:
 
 
 def _pieces(arg: DataFrame, start: float, end: float) -> DataFrame:
-    """(node, parent, n, age, dist, s, e): the parts [s, e) in which a node has one parent, null at a root, and n leaves below it.
+    return _laid(arg, start, end)[0]
+
+
+def _laid(arg: DataFrame, start: float, end: float) -> tuple[DataFrame, DataFrame]:
+    """(node, parent, n, age, dist, s, e): the parts [s, e) in which a node has one parent, null at a root, and n leaves below it; and the _ways() of all nodes.
 
     Ways up are followed over parts and not tree by tree, so a way that many
     neighbouring trees share is one row. Nodes that no leaf reaches are left out.
@@ -46,12 +50,13 @@ def _pieces(arg: DataFrame, start: float, end: float) -> DataFrame:
     tops = intervals.subtract(ups.select(F.col("parent").alias("node"), "s", "e"), ups.select("node", "s", "e"), ["node"])
     rows = graph.cut(ups.union(tops.select("node", F.lit(None).cast("string"), "s", "e")))
     leaves = arg.where("event = 'gene'").select(F.col("name").alias("node"))
-    below = _ways(rows).join(leaves, "node").select(F.col("ancestor").alias("node"), "s", "e")
+    ways = graph.cut(_ways(rows))
+    below = ways.join(leaves, "node").select(F.col("ancestor").alias("node"), "s", "e")
     counts = intervals.coverage(below, ["node"]).where("depth > 0").select("node", F.col("depth").alias("n"), F.col("s").alias("_s"), F.col("e").alias("_e"))
     met = rows.join(counts, "node").where("s < _e and _s < e").select("node", "parent", "n", F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e"))
     ages = arg.select(F.col("name").alias("node"), "age")
     up = ages.select(F.col("node").alias("parent"), F.col("age").alias("top"))
-    return graph.cut(met.join(ages, "node").join(up, "parent", "left").select("node", "parent", "n", "age", (F.col("top") - F.col("age")).alias("dist"), "s", "e"))
+    return graph.cut(met.join(ages, "node").join(up, "parent", "left").select("node", "parent", "n", "age", (F.col("top") - F.col("age")).alias("dist"), "s", "e")), ways
 
 
 def _ways(rows: DataFrame, rounds: int = 30) -> DataFrame:
@@ -110,16 +115,29 @@ def length(arg: DataFrame, start: float, end: float) -> DataFrame:
     return parts.join(t, "lo").select("lo", "hi", "branches")
 
 
-def _seen_cuts(arg: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tree_id, node, pos, rtime) of the recombination nodes that the tree left of their place has."""
+def _cuts(arg: DataFrame, parts: DataFrame) -> DataFrame:
+    """(tree_id, node, pos, rtime) of the recombination nodes and the trees left of their places."""
     at = arg.where("event = 'recomb'").select(F.col("name").alias("node"), F.col("age").alias("rtime"), "pos")
-    return parts.select(F.col("lo").alias("tree_id"), F.col("hi").alias("pos")).join(at, "pos").join(nodes.select(*trees.ID), trees.ID)
+    return parts.select(F.col("lo").alias("tree_id"), F.col("hi").alias("pos")).join(at, "pos")
+
+
+def _held(asked: DataFrame, pieces: DataFrame, common: DataFrame, node: str = "node") -> DataFrame:
+    """The distinct (tree_id, node) of asked that are in the local tree of that place."""
+    at = asked.select("tree_id", node).distinct().join(pieces.select(F.col("node").alias(node), "n", "age", "s", "e"), node).where("s <= tree_id and tree_id < e")
+    return at.join(common, "tree_id").where("n < m.n or age = -m.age").select("tree_id", node).distinct()
+
+
+def _roots(pieces: DataFrame, parts: DataFrame, common: DataFrame, start: float, end: float) -> DataFrame:
+    """(tree_id, root): the common ancestor of every local tree, and what has no parent beside it."""
+    tops = common.select("tree_id", F.col("m.n").alias("n"), (-F.col("m.age")).alias("age")).join(pieces.select("node", "n", "age", "s", "e"), ["n", "age"]).where("s <= tree_id and tree_id < e")
+    loose = _in_trees(pieces.where("parent is null"), parts, start, end).join(common, "tree_id").where("n < m.n")
+    return tops.select("tree_id", F.col("node").alias("root")).union(loose.select("tree_id", "node")).distinct()
 
 
 def visible_recombinations(arg: DataFrame, start: float, end: float) -> DataFrame:
     """(name, pos) of the recombination nodes that some leaf of the tree left of their place descends from."""
     parts = graph.cut(blocks(arg, start, end))
-    return _seen_cuts(arg, parts, local_trees(arg, parts, start, end)).select(F.col("node").alias("name"), "pos")
+    return _cuts(arg, parts).join(local_trees(arg, parts, start, end).select(*trees.ID), trees.ID).select(F.col("node").alias("name"), "pos")
 
 
 def _over(edges_: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -182,25 +200,35 @@ def rearrangements(arg: DataFrame, start: float, end: float) -> DataFrame:
     several children there; cnode is its root where the lineage joins above that. A
     recombination that no leaf of the left tree descends from makes no row, and
     each of several at one place is held against the same left tree. Ancestors
-    are worked out of all local trees at once.
+    come from ways over parts that neighbouring trees share, for the nodes asked for only, so local trees aren't listed.
     """
     parts = graph.cut(blocks(arg, start, end))
-    nodes = graph.cut(local_trees(arg, parts, start, end).select("tree_id", "node", "parent"))
-    up = trees.paths(nodes)
-    cut = _seen_cuts(arg, parts, nodes)
-    root = nodes.where("parent IS NULL").select("tree_id", F.col("node").alias("root"))
-    cut = cut.join(root, "tree_id").withColumnRenamed("tree_id", "left")
+    pieces, every = _laid(arg, start, end)
+    common = _common(pieces, parts, start, end)
+    every = every.where("depth > 0").select("node", F.col("ancestor").alias("to"), "depth", "s", "e")
+    cut = graph.cut(_cuts(arg, parts))
+    cut = cut.join(_held(cut, pieces, common), trees.ID)
+    cut = graph.cut(cut.join(_roots(pieces, parts, common, start, end), "tree_id").withColumnRenamed("tree_id", "left"))
     # the lineage's ancestors on the right, up to the first that the left tree has, or that its root leads to
-    above = up.where("depth > 0").select(F.col("tree_id").alias("pos"), "node", F.col("ancestor").alias("to"), "depth")
-    ways = cut.join(above, ["pos", "node"])
-    known = nodes.select(F.col("tree_id").alias("left"), F.col("node").alias("to"), F.lit(True).alias("known"))
+    asked = cut.select("pos", "node").union(cut.select("pos", "root")).distinct()
+    above = graph.cut(asked.join(every, "node").where("s <= pos and pos < e").select("pos", "node", "to", "depth").distinct())
+    above = graph.cut(above.join(_held(above.withColumnRenamed("pos", "tree_id"), pieces, common, "to").withColumnRenamed("tree_id", "pos"), ["pos", "to"]))
+    ways = graph.cut(cut.join(above, ["pos", "node"]))
+    known = _held(ways.withColumnRenamed("left", "tree_id"), pieces, common, "to").select(F.col("tree_id").alias("left"), "to", F.lit(True).alias("known"))
     over = above.select("pos", F.col("node").alias("root"), "to", F.lit(True).alias("over"))
     ways = ways.join(known, ["left", "to"], "left").join(over, ["pos", "root", "to"], "left").where("known OR over")
     first = ways.groupBy("left", "pos", "node", "rtime", "root").agg(F.min_by(F.struct("to", "known"), "depth").alias("m"))
-    first = first.select("left", "pos", "rtime", "node", F.when(F.col("m.known"), F.col("m.to")).otherwise(F.col("root")).alias("to"), F.col("m.to").alias("name"))
-    # down over nodes of one child
-    single = nodes.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select(*trees.ID)
-    low = up.join(single, trees.ID, "left_anti").groupBy(F.col("tree_id").alias("left"), "ancestor").agg(F.min_by("node", "depth").alias("low"))
+    first = graph.cut(first.select("left", "pos", "rtime", "node", F.when(F.col("m.known"), F.col("m.to")).otherwise(F.col("root")).alias("to"), F.col("m.to").alias("name")))
+    # down over nodes of one child: it has as many leaves below it as they have but themselves
+    genes = arg.where("event = 'gene'").select(F.col("name").alias("node"), F.lit(1).alias("_own")).distinct()
+    inner = pieces.select("node", "n", "s", "e").join(genes, "node", "left").withColumn("n", F.col("n") - F.coalesce("_own", F.lit(0))).where("n > 0")
+    child = pieces.where("parent is not null").select(F.col("node").alias("_child"), F.col("parent").alias("node"), "n", F.col("s").alias("_s"), F.col("e").alias("_e"))
+    single = child.join(inner, ["node", "n"]).where("s < _e and _s < e")
+    down = _ways(graph.cut(single.select("node", F.col("_child").alias("parent"), F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e"))))
+    have = first.select("left", F.col("node").alias("have")).union(first.select("left", "to")).distinct()
+    low = have.join(down.where("depth > 0").select(F.col("node").alias("have"), "ancestor", "depth", "s", "e"), "have").where("s <= left and left < e")
+    low = low.groupBy("left", "have").agg(F.max_by("ancestor", "depth").alias("low"))
+    low = graph.cut(have.join(low, ["left", "have"], "left").select("left", F.col("have").alias("ancestor"), F.coalesce("low", "have").alias("low")))
     for have, want in (("node", "rnode"), ("to", "cnode")):
         first = first.join(low.select("left", F.col("ancestor").alias(have), F.col("low").alias(want)), ["left", have])
     return first.join(arg.select("name", F.col("age").alias("ctime")), "name").select("pos", "rnode", "rtime", "cnode", "ctime")

@@ -267,3 +267,13 @@ def test_ways_that_trees_share_are_one_row(spark, monkeypatch):
     want = [(float(lo), 100.0 if lo == 30 else lo + 1.0, 2.0 * n + lo + (5.0 if lo else 0.0)) for lo in range(31)]
     assert got == want
     assert max(sizes) < 20 * n
+
+
+def test_rearrangements_list_no_local_trees(spark, monkeypatch):
+    """Ways are followed over parts that trees share, also past a leaf that has another one below it."""
+    monkeypatch.setattr(arg, "local_trees", None)
+    monkeypatch.setattr(arg.trees, "paths", None)
+    data = [("a", "gene", 0.0, 0.0, ["m"]), ("m", "gene", 0.5, 0.0, ["x"]), ("x", "recomb", 1.0, 0.4, ["p", "q"]), ("b", "gene", 0.0, 0.0, ["p"])]
+    data += [("c", "gene", 0.0, 0.0, ["q"]), ("d", "gene", 0.0, 0.0, ["q"]), ("p", "coal", 2.0, 0.0, ["r"]), ("q", "coal", 3.0, 0.0, ["r"]), ("r", "coal", 4.0, 0.0, [])]
+    g = spark.createDataFrame(data, "name string, event string, age double, pos double, parents array<string>")
+    assert [tuple(r) for r in arg.rearrangements(g, 0, 1).collect()] == [(0.4, "a", 1.0, "q", 3.0)]
