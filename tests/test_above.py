@@ -38,3 +38,15 @@ def test_first_nodes_take_no_part_in_rounds(spark, monkeypatch):
     edges = [(f"p{i}", "s8") for i in range(100)] + [(f"s{i}", f"s{i - 1}") for i in range(1, 9)]
     got = graph.above(spark.createDataFrame(edges, "node string, parent string")).count()
     assert got == 100 * 10 + 45 and max(sizes[1:]) < 100
+
+
+@pytest.mark.parametrize("laid", [1, 7, graph.LAID])
+def test_lists_laid_out_in_pieces(spark, monkeypatch, laid):
+    """A first node's rows are made once, of the least of its parents' lists, and not of every edge's."""
+    monkeypatch.setattr(graph, "LAID", laid)
+    rng = random.Random(5)
+    edges = [(i, 100 + rng.randrange(15)) for i in range(40) for _ in range(4)] + [(100 + rng.randrange(15), 100 + rng.randrange(15)) for _ in range(25)]
+    got = graph.above(spark.createDataFrame(edges, "node long, parent long"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain(edges)
+    assert "explode" not in got._jdf.queryExecution().executedPlan().toString()
