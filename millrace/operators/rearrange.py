@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,30 @@ class Lineage:
         return n + (len(self.tree.kids[top]) - 1 if dup else 0)
 
 
+class Routes(Lineage):
+    """A Lineage of species that are told by their routes, tuples of (head, level, passed, last) from the root down (trees.Numbered), so it needs no species tree."""
+
+    def __init__(self):
+        pass
+
+    def meet(self, a, b):
+        if a == b:
+            return a
+        at = None
+        for i, (x, y) in enumerate(zip(a, b, strict=False)):
+            if x[0] != y[0]:
+                break
+            at = a[: i + 1] if x[1] <= y[1] else b[: i + 1]
+            if x[1] != y[1]:
+                break
+        if at is None:
+            raise ValueError("species of two trees")
+        return at
+
+    def lost(self, low, top, dup: bool) -> int:
+        return 0 if low == top else low[-1][2] - top[-1][2] - (0 if dup else top[-1][3])
+
+
 def root_costs(t: Tree, species: Tree | Lineage, tips: dict) -> dict:
     """{node: (dups, losses)} for a root in the branch above each node; the two branches of a root of two children are one.
 
@@ -264,18 +290,47 @@ def _meet_all(way: Lineage, parts: list):
 
 
 def rooted_forest(nodes: DataFrame, species: DataFrame, tips: DataFrame, dup: float = 1, loss: float = 1) -> DataFrame:
-    """root_by_events() of every tree. The species tree goes to the tasks, up to the bound of small_tree(); a tree must fit in one."""
-    whole = trees.small_tree(species)
-    made: list = []  # the species tree, once a task
-
-    def run(tree_id, rows):
-        way = made[0] if made else made.append(Lineage(Tree(whole))) or made[0]
-        at = {n: s for n, _, _, s in rows if s is not None}
-        t = root_by_events(Tree([r[:3] for r in rows]), way, at, dup, loss)
-        return [(tree_id, *r) for r in t.rows()]
-
-    marked = trees._as_text(nodes).join(tips.select(F.col("tree_id").cast("string"), F.col("node").cast("string"), F.col("species").cast("string")), ID, "left")
-    return trees._by_tree(marked.select("tree_id", "node", "parent", "dist", "species"), run, trees.NODES)
+    """root_by_events() of every tree; a tree must fit in a task, the species tree needn't."""
+    text = lambda df, *cols: df.select(*(F.col(c).cast("string").alias(c) for c in cols))
+    marked = trees.Numbered(text(species, "node", "parent"), lost=True).mark(text(tips, "tree_id", "node", "species"))
+    return rooted_packed(clumps.pack(trees._as_text(nodes).join(marked, ID, "left")), dup, loss)
+
+
+#: Species whose routes a task keeps as tuples.
+KEPT = 20_000
+
+
+def rooted_packed(nodes: DataFrame, dup: float = 1, loss: float = 1) -> DataFrame:
+    """rooted_forest() of packed trees whose leaves have `pre` and `route` of their species (trees.Numbered with lost); nothing is dealt."""
+
+    def task(batches):
+        way, kept = Routes(), {}
+        for batch in batches:
+            own = batch.column("own")
+            flat = own.flatten()
+            names, parents, dist, pre = (flat.field(c).to_pylist() for c in ("node", "parent", "dist", "pre"))
+            route, out = flat.field("route"), []
+            if len(kept) > KEPT:
+                kept.clear()
+            first = {}
+            for i, p in enumerate(pre):
+                if p is not None and p not in kept:
+                    first.setdefault(p, i)
+            for p, r in zip(first, route.take(pa.array(list(first.values()), pa.int64())).to_pylist(), strict=True):
+                kept[p] = tuple((x["head"], x["level"], x["passed"], x["last"]) for x in r)
+            start = 0
+            for tree_id, size in zip(batch.column("tree_id").to_pylist(), pc.list_value_length(own).to_pylist(), strict=True):
+                end = start + size
+                rows = sorted(set(zip(names[start:end], parents[start:end], dist[start:end], strict=True)), key=lambda r: r[0])
+                at = {n: kept[p] for n, p in zip(names[start:end], pre[start:end], strict=True) if p is not None}
+                t = root_by_events(Tree(rows), way, at, dup, loss)
+                out += [(tree_id, *r) for r in t.rows()]
+                start = end
+            cols = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(),) * 3 + (pa.float64(),), strict=True)], ["tree_id", "node", "parent", "dist"])
+
+    own = F.transform("own", lambda n: F.struct(*(n[c].cast("string").alias(c) for c in ("node", "parent")), *(n[c].alias(c) for c in ("dist", "pre", "route"))))
+    return nodes.select(F.col("tree_id").cast("string").alias("tree_id"), own.alias("own")).mapInArrow(task, trees.NODES)
 
 
 # Joins over all trees

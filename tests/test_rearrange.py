@@ -161,3 +161,23 @@ def test_multispecies_probabilities_sum_to_one(spark):
     got = {r.tree_id: math.exp(r.log_p) for r in rearrange.multispecies_log_prob(n, sp, recon, F.lit(2.0)).collect()}
     apart = math.exp(-1.5 / 2)
     assert got == pytest.approx({"0": 1 - apart, "1": apart / 3, "2": apart / 3, "3": apart / 3})
+
+
+def test_roots_are_found_without_the_species_tree(spark, monkeypatch):
+    """A species tree of any size: tasks tell common ancestors and losses from the routes of a tree's own species."""
+    monkeypatch.setattr(trees, "small_tree", None)
+    monkeypatch.setattr(rearrange, "KEPT", 2)
+    rng, rows, tips, want = random.Random(9), [], [], {}
+    sp = [("s0", None, 0.0)] + [(f"s{i}", f"s{rng.randrange(max(0, i - 9), i)}", 0.0) for i in range(1, 40)]
+    for t in range(40):
+        names = [f"n{i}" for i in range(rng.randint(2, 14))]
+        mine = [(n, names[rng.randrange(i)] if i else None, float(rng.randint(1, 9))) for i, n in enumerate(names)]
+        got = trees.Tree(sorted(mine))
+        of = {n: f"s{rng.randrange(40)}" for n in got.leaves()}
+        rows += [(f"t{t}", *r) for r in mine]
+        tips += [(f"t{t}", *x) for x in of.items()]
+        want |= {(f"t{t}", n): (p, d) for n, p, d in rearrange.root_by_events(got, trees.Tree(sp), of, 2, 1).rows()}
+    nodes = spark.createDataFrame(rows, "tree_id string, node string, parent string, dist double")
+    species = spark.createDataFrame([r[:2] for r in sp], "node string, parent string")
+    got = rearrange.rooted_forest(nodes, species, spark.createDataFrame(tips, "tree_id string, node string, species string"), 2, 1)
+    assert {(r.tree_id, r.node): (r.parent, r.dist) for r in got.collect()} == want
