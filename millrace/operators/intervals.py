@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import graph, scan
 
 
 def union_ids(df: DataFrame, key: list[str], ident: str, s: str = "s", e: str = "e") -> DataFrame:
@@ -80,20 +80,42 @@ def following(points: DataFrame, df: DataFrame, key: list[str], point: str = "p"
     return brackets(points, df.select(*key, "s"), key, point, "s").drop("below").withColumnRenamed("above", "next")
 
 
+#: Rectangles of both sides of a key up to which they are held against each other in one task.
+HELD = 10_000
+
+
 def rectangle_join(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of overlapping rectangles (x1, y1, x2, y2) and (u1, v1, u2, v2) of equal key; half open.
 
-    Grids of cells that double in width from level to level: a rectangle is held at the level
+    Each side is dealt by key once and the key's rectangles meet there; those of keys of more than HELD
+    meet on grids, which deal a rectangle to every cell it is in or looks into. Of rectangles with a null
+    or non-finite side no pair is made.
+    """
+    one, two = ("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2")
+    a, b = (df.where(reduce(lambda p, q: p & q, (F.abs(F.col(c).cast("double")) < float("inf") for c in cols))) for df, cols in ((a, one), (b, two)))
+    if not key:
+        return _on_grids(a, b, key)
+    many = a.groupBy(*key).agg(F.count("*").alias("_n")).join(b.groupBy(*key).agg(F.count("*").alias("_m")), key)
+    large = graph.cut(many.where(F.col("_n") + F.col("_m") > HELD).select(*key))
+    touch = (F.col("x2") > F.col("u1")) & (F.col("x1") <= F.col("u2")) & (F.col("y2") > F.col("v1")) & (F.col("y1") <= F.col("v2"))
+    if large.isEmpty():
+        return a.hint("merge").join(b, key).where(touch)
+    small = a.join(large, key, "left_anti").hint("merge").join(b.join(large, key, "left_anti"), key).where(touch)
+    return small.unionByName(_on_grids(a.join(large, key, "left_semi"), b.join(large, key, "left_semi"), key).select(*small.columns))
+
+
+def _on_grids(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """rectangle_join() of finite rectangles on grids of cells that double in width from level to level.
+
+    A rectangle is held at the level
     whose cells are as wide as its longer side or up to twice that, in four of them
     at most, and looks for wider ones in four cells at most of each level above where the other side
     has any. So a wide rectangle costs no more than a small one, and a pair is met once, in
-    the cell that holds the lower corner of what the two share. Of rectangles with a null
-    or non-finite side no pair is made.
+    the cell that holds the lower corner of what the two share.
     """
     one, two = ("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2")
     sides = []
     for df, cols in ((a, one), (b, two)):
-        df = df.where(reduce(lambda p, q: p & q, (F.abs(F.col(c).cast("double")) < float("inf") for c in cols)))
         longer = F.greatest(F.col(cols[2]) - F.col(cols[0]), F.col(cols[3]) - F.col(cols[1])).cast("double")
         far = F.greatest(*(F.abs(F.col(c).cast("double")) for c in cols))
         # cells are numbered by longs: so far from the origin none is narrower than 2^-50 of the way

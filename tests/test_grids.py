@@ -27,6 +27,19 @@ def test_rectangles_of_all_sizes(spark, seed):
     assert got == want and len(want) > 500
 
 
+@pytest.mark.parametrize("held", [0, 300, intervals.HELD])
+def test_rectangles_of_large_keys_meet_on_grids(spark, monkeypatch, held):
+    """Of 600 rectangles a key has 300 or so: none, one or both of the keys are held whole."""
+    monkeypatch.setattr(intervals, "HELD", held)
+    a, b = [(k if i % 7 else "a", *r) for i, (k, *r) in enumerate(boxes(3, 300))], boxes(4, 300)
+    one = spark.createDataFrame(a, "k string, i int, x1 double, y1 double, x2 double, y2 double")
+    two = spark.createDataFrame(b, "k string, j int, u1 double, v1 double, u2 double, v2 double")
+    joined = intervals.rectangle_join(one, two, ["k"])
+    want = sorted((k, i, j) for k, i, x1, y1, x2, y2 in a for m, j, u1, v1, u2, v2 in b if k == m and x2 > u1 and x1 <= u2 and y2 > v1 and y1 <= v2)
+    assert sorted((r.k, r.i, r.j) for r in joined.collect()) == want
+    assert ("_cx" in joined._jdf.queryExecution().optimizedPlan().toString()) == (held < 10_000)
+
+
 def test_a_wide_rectangle_is_a_few_rows(spark):
     """One across everything beside many small ones: cells would be millions at one width."""
     small = spark.range(2000).selectExpr("id as i", "id * 1000.0 as x1", "id * 1000.0 as y1", "id * 1000.0 + 0.5 as x2", "id * 1000.0 + 0.5 as y2")
